@@ -28,7 +28,8 @@ from .shared import settle, text_rows
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 BUCKETS = 1 << 16
 LONG = 96
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 600_000
+ROWS_AT_ONCE = 1000
 
 
 def java_pattern(pattern: str) -> str:
@@ -106,12 +107,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     def look_up(batches):
         vocabulary, ids, by_bytes = sent.value
         flat_ids, starts = np.asarray(ids.flatten(), np.int32), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths(), np.int64))]) if len(ids) else np.zeros(1, np.int64)
-        vocabulary_set = pa.array(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             words = batch.column("words")
             counts = np.asarray(words.value_lengths(), np.int64)
             flat = words.flatten()
-            at = np.asarray(pc.index_in(flat.cast(pa.large_string()), value_set=vocabulary_set).fill_null(-1), np.int64)
+            at = np.asarray(pc.index_in(flat.cast(pa.large_string()), value_set=vocabulary).fill_null(-1), np.int64)
             lengths = np.where(at >= 0, starts[np.maximum(at, 0) + 1] - starts[np.maximum(at, 0)], 0) if len(ids) else np.zeros(len(at), np.int64)
             rare = at < 0
             long = np.flatnonzero(rare & (np.asarray(pc.binary_length(flat), np.int64) > LONG))
