@@ -120,7 +120,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
             lengths[long] = [len(m) for m in merged]
             ends = np.cumsum(lengths)
             source = np.repeat(np.where(at >= 0, starts[np.maximum(at, 0)], 0) - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-            values = flat_ids[source] if len(flat_ids) else np.zeros(len(source), np.int32)
+            values = flat_ids[np.minimum(source, len(flat_ids) - 1)] if len(flat_ids) else np.zeros(len(source), np.int32)
             for k, m in zip(long, merged):
                 values[ends[k] - len(m) : ends[k]] = m
             # A document is known ids cut at each rare word: one more run of ids than rare words.

@@ -104,7 +104,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 seen, n = np.unique(pairs[:, 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    held = settle(drawn.select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1"), "language-grams")
+    held = settle(drawn.select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     out = []
     for lang in counts:
         top = held.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram").toArrow()
