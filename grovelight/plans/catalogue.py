@@ -1,4 +1,475 @@
-"""Queries of the engine's own operators, by name."""
+"""Queries of the engine's own operators, by name, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import forest as forests
+from ..config import RunConfig
+from ..functions.portable import settle
+from ..operators import binning, grow, impurity, metrics, sampling, score
+from ..sources import tables
+from ..streaming.scoring import score_stream
+from . import oracles as o
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+SEED, BINS, TREES = 11, 10, 3
+#: A shallow forest on lineitem; L_FOREST and its SQL have the same settings.
+L_FOREST = RunConfig(n_bins=BINS, n_estimators=TREES, max_depth=3, random_state=SEED, max_samples=0.5, min_samples_leaf=20)
+E_FOREST = RunConfig(n_bins=4, n_estimators=TREES, max_depth=3, random_state=SEED)
+P_FOREST = RunConfig(mode="regression", n_bins=5, n_estimators=TREES, max_depth=3, random_state=SEED, max_features=2, quantile=())
+L_CLASSES = (0.0, 1.0, 2.0)
+_L_SQL = o.forest(o.L_ROWS, BINS, 4, TREES, 2, SEED, 2, 3, min_leaf=20, m="greatest(round_even(n * 0.5, 0)::BIGINT, 1)")
+_E_SQL = o.forest(o.E_ROWS, 4, 64, TREES, 8, SEED, 2, 10)
+_P_SQL = o.forest(o.P_ROWS, 5, 2, TREES, 2, SEED, 2, None)
+_PICK = ", ".join(f"f[{i + 1}] AS f{i}" for i in range(4))
+_L_QUANTILE = (0, 1)
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def r6(c: str):
+    return F.round(c, 6).alias(c)
+
+
+L = tables.lineitem_rows
+E = tables.embedding_rows
+P = tables.part_rows
+
+
+def columns_of(arrays: DataFrame, name: str, prefix: str, n: int = 4) -> list:
+    return [F.get(name, F.lit(i)).alias(f"{prefix}{i}") for i in range(n)]
+
+
+@query(o.with_(o.L_ROWS, select=f"SELECT split, client, row_id, y, {_PICK} FROM rows"))
+def scan_rows(spark, d):
+    return L(spark, d).select("split", "client", "row_id", "y", *columns_of(None, "features", "f"))
+
+
+@query("SELECT * EXCLUDE (l_returnflag) FROM lineitem")
+def drop_label(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").drop("l_returnflag")
+
+
+@query(o.with_(o.E_ROWS, select="SELECT client, row_id, i::INTEGER AS feature, round(f[i + 1], 6) AS x FROM rows, range(64) t(i)"))
+def wide_to_long(spark, d):
+    return binning.long_view(E(spark, d)).select("client", "row_id", "feature", r6("x"))
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL OR isnan({c}))::BIGINT AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem")
+def validate_numeric(spark, d):
+    return tables.count_missing(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@query("SELECT 4::BIGINT AS n_features, 1::BIGINT AS n_labels")
+def validate_schema(spark, d):
+    rows = L(spark, d).select(*columns_of(None, "features", "f"), F.col("y").alias("label"))
+    tables.check_schema(rows, rows, "label")
+    return spark.range(1).select(F.lit(len(rows.columns) - 1).cast("bigint").alias("n_features"), F.lit(1).cast("bigint").alias("n_labels"))
+
+
+_T = o.draw(str(SEED), "'t'", "client", "row_id")
+_K = o.draw(str(SEED), "'k'", "'0'", "client", "row_id")
+_C = o.draw(str(SEED), "'c'", "client", "row_id")
+_LH = o.draw(str(SEED), "'l'", "client", "row_id")
+
+
+@query(o.with_(o.L_ROWS, select=f"SELECT client, row_id, CASE WHEN {_T} < {int(0.25 * (1 << 32))} THEN 'test' ELSE 'train' END AS role FROM rows"))
+def split_train_test(spark, d):
+    return sampling.train_test(L(spark, d), 0.25, SEED).select("client", "row_id", "role")
+
+
+@query(o.with_(o.L_ROWS, select=f"SELECT client, row_id, ((row_number() OVER (ORDER BY {_K}, client, row_id) - 1) % 10)::INTEGER AS fold FROM rows"))
+def kfold_assign(spark, d):
+    return sampling.kfold(L(spark, d), 10, SEED).select("client", "row_id", "fold")
+
+
+@query(o.with_(o.L_ROWS, select=f"SELECT client, row_id, floor((row_number() OVER (ORDER BY {_C}, client, row_id) - 1) * 3 / count(*) OVER ())::INTEGER AS dealt FROM rows"))
+def client_partition(spark, d):
+    return sampling.deal_clients(L(spark, d), 3, SEED).select("client", "row_id", "dealt")
+
+
+@query(o.with_(o.L_ROWS, f"s AS (SELECT client, y, row_number() OVER (PARTITION BY client ORDER BY {_LH}, row_id) - 1 AS row_id FROM rows)", select="SELECT client, row_id, y FROM s"))
+def label_shuffle(spark, d):
+    return sampling.shuffle_labels(L(spark, d), SEED).select("client", "row_id", "y")
+
+
+@query(o.with_(o.L_ROWS, o.moments(4), select="SELECT client, feature, n, round(sxx, 3) AS sxx, round(sx, 3) AS sx FROM part"))
+def moments_partial(spark, d):
+    return binning.moments_partial(L(spark, d)).select("client", "feature", "n", F.round("sxx", 3).alias("sxx"), F.round("sx", 3).alias("sx"))
+
+
+@query(o.with_(o.L_ROWS, o.moments(4), select="SELECT feature, round(mean, 5) AS mean, round(sd, 5) AS stddev FROM stats"))
+def moments_global(spark, d):
+    return binning.moments_global(binning.moments_partial(L(spark, d))).select("feature", F.round("mean", 5).alias("mean"), F.round("stddev", 5).alias("stddev"))
+
+
+@query(o.with_(o.L_ROWS, select="SELECT client, i::INTEGER AS feature, min(f[i + 1]) AS mn, max(f[i + 1]) AS mx FROM rows, range(4) t(i) GROUP BY client, i"))
+def minmax_partial(spark, d):
+    return binning.minmax_partial(L(spark, d)).select("client", "feature", "mn", "mx")
+
+
+@query(o.with_(o.L_ROWS, o.edges(4, BINS), select="SELECT feature, mn, mx FROM mm"))
+def minmax_global(spark, d):
+    return binning.minmax_global(binning.minmax_partial(L(spark, d))).select("feature", "mn", "mx")
+
+
+@query(o.with_(o.L_ROWS, o.edges(4, BINS), select=f"SELECT feature, i::INTEGER AS bin, round(e[i + 1], 6) AS edge FROM edges, range({BINS}) t(i)"))
+def bucket_edges(spark, d):
+    edges = binning.bucket_edges(binning.minmax_global(binning.minmax_partial(L(spark, d))), BINS)
+    return edges.select("feature", F.posexplode("edges").alias("bin", "edge")).select("feature", "bin", r6("edge"))
+
+
+def binned(rows: DataFrame, n_bins: int, quantile: tuple[int, ...] = ()) -> DataFrame:
+    return binning.bin_rows(rows, binning.edge_table(rows, n_bins, quantile), n_bins)
+
+
+_BINS4 = ", ".join(f"bins[{i + 1}] AS b{i}" for i in range(4))
+
+
+@query(o.with_(o.L_ROWS, o.binned(4, BINS), select=f"SELECT client, row_id, {_BINS4} FROM binned"))
+def bucket_bins(spark, d):
+    return binned(L(spark, d), BINS).select("client", "row_id", *columns_of(None, "bins", "b"))
+
+
+_Z = "CASE WHEN sd <> 0 THEN (f[feature + 1] - mean) / sd ELSE 0 END"
+
+
+@query(o.with_(o.L_ROWS, o.moments(4), select=f"SELECT client, row_id, feature, round({_Z}, 4) AS z FROM rows, stats"))
+def zscore(spark, d):
+    rows = L(spark, d)
+    stats = binning.moments_global(binning.moments_partial(rows))
+    return binning.long_view(rows).join(F.broadcast(stats), ["split", "feature"]).select("client", "row_id", "feature", F.round(binning.zscore(F.col("x"), F.col("mean"), F.col("stddev")), 4).alias("z"))
+
+
+_QBINS = ", ".join(f"max(len(list_filter({o.quantile_list(BINS)}, lambda v: v <= {_Z}))) FILTER (WHERE feature = {i})::INTEGER AS b{i}" for i in range(4))
+_MIXED = ", ".join([f"max(len(list_filter({o.quantile_list(BINS)}, lambda v: v <= {_Z}))) FILTER (WHERE s.feature = {i})::INTEGER AS b{i}" for i in _L_QUANTILE] + [f"max(len(list_filter(e, lambda v: v <= f[{i + 1}]))) FILTER (WHERE s.feature = {i})::INTEGER - 1 AS b{i}" for i in (2, 3)]).replace("f[feature + 1]", "f[s.feature + 1]")
+
+
+@query(o.with_(o.L_ROWS, o.moments(4), select=f"SELECT client, row_id, {_QBINS} FROM rows, stats GROUP BY client, row_id"))
+def quantile_bins(spark, d):
+    return binned(L(spark, d), BINS, (0, 1, 2, 3)).select("client", "row_id", *columns_of(None, "bins", "b"))
+
+
+@query(o.with_(o.L_ROWS, o.moments(4), o.edges(4, BINS), select=f"SELECT client, row_id, {_MIXED} FROM rows, stats s JOIN edges e2 ON s.feature = e2.feature GROUP BY client, row_id"))
+def combined_bins(spark, d):
+    return binned(L(spark, d), BINS, _L_QUANTILE).select("client", "row_id", *columns_of(None, "bins", "b"))
+
+
+@query(o.with_(o.L_ROWS, select="SELECT DISTINCT y FROM rows"))
+def classes_distinct(spark, d):
+    return L(spark, d).select("y").distinct()
+
+
+@query(o.with_(o.L_ROWS, select="SELECT client, y, count(*) AS n FROM rows GROUP BY client, y"))
+def class_freq(spark, d):
+    return metrics.class_frequency(L(spark, d)).select("client", "y", "n")
+
+
+@query(o.with_(o.L_ROWS, select="SELECT y, round(sum(count(*)) OVER () / count(*), 6)::DOUBLE AS weight FROM rows GROUP BY y"))
+def class_weights(spark, d):
+    return metrics.class_weights(L(spark, d)).select("y", r6("weight"))
+
+
+@query(o.with_(o.features(5, 64, 8, SEED), select="SELECT tree, pos, feature FROM tf"))
+def feature_subset(spark, d):
+    return sampling.feature_subset(spark, 5, 64, 8, SEED)
+
+
+@query(o.with_(o.L_ROWS, o.bootstrap(TREES, SEED), select="SELECT client, tree, row_id, mult FROM sample"))
+def bootstrap_with(spark, d):
+    return sampling.bootstrap(L(spark, d), TREES, SEED).select("client", "tree", "row_id", "mult")
+
+
+_S = o.draw(str(SEED), "'s'", "'0'", "client", "t.i", "row_id")
+
+
+@query(o.with_(o.L_ROWS, "z AS (SELECT client, greatest(round_even(count(*) * 0.3, 0)::BIGINT, 1) AS m FROM rows GROUP BY client)", f"r AS (SELECT client, t.i::INTEGER AS tree, row_id, row_number() OVER (PARTITION BY client, t.i ORDER BY {_S}, row_id) - 1 AS nth FROM rows, range({TREES}) t(i))", select="SELECT r.client, tree, row_id, 1::BIGINT AS mult FROM r JOIN z ON r.client = z.client WHERE nth < m"))
+def bootstrap_without(spark, d):
+    return sampling.bootstrap(L(spark, d), TREES, SEED, 0.3, replace=False).select("client", "tree", "row_id", "mult")
+
+
+def whole_root(spark: SparkSession, rows: DataFrame, n_bins: int, p: int) -> tuple[DataFrame, DataFrame]:
+    """Every row once in the root of one tree that uses all features in order."""
+    sample = rows.select("split", "client", "row_id", F.lit(0).alias("tree"), F.lit(1).cast("bigint").alias("mult"))
+    features = spark.range(p).select(F.lit(0).alias("tree"), F.col("id").cast("int").alias("pos"), F.col("id").cast("int").alias("feature"))
+    return grow.initial_assign(binned(rows, n_bins), sample), features
+
+
+_ROOT = lambda rows, p, n_bins, k, weights=None, min_leaf=1: ",\n".join([rows, o.binned(p, n_bins), f"tf AS (SELECT 0 AS tree, i::INTEGER AS pos, i::INTEGER AS feature FROM range({p}) t(i))", "a1 AS MATERIALIZED (SELECT client, 0 AS tree, 1::BIGINT AS node, 1::BIGINT AS mult, bins, y FROM binned)", o.level(1, n_bins, k, 2, min_leaf, weights)])
+_L_ROOT = _ROOT(o.L_ROWS, 4, BINS, 3)
+_P_ROOT = _ROOT(o.P_ROWS, 2, 5, None)
+_WEIGHTS = [3.0, 1.5, 2.0]
+
+
+def l_root(spark, d) -> DataFrame:
+    assign, features = whole_root(spark, L(spark, d), BINS, 4)
+    return impurity.cumulative(impurity.histogram(assign, features), BINS, list(L_CLASSES))
+
+
+def p_root(spark, d) -> DataFrame:
+    assign, features = whole_root(spark, P(spark, d), 5, 2)
+    return impurity.cumulative(impurity.histogram(assign, features), 5, None)
+
+
+@query(o.with_(_L_ROOT, select="SELECT client, feature, bins[feature + 1] AS bin, y, count(*) AS n FROM a1, tf GROUP BY client, feature, bins[feature + 1], y"))
+def histogram(spark, d):
+    assign, features = whole_root(spark, L(spark, d), BINS, 4)
+    return impurity.histogram(assign, features).select("client", "feature", "bin", "y", "n")
+
+
+@query(o.with_(_L_ROOT, select="SELECT client, feature, thr, round(score, 6) AS score FROM s1"))
+def gini_local(spark, d):
+    return impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES)).select("client", "feature", "thr", r6("score"))
+
+
+@query(o.with_(_ROOT(o.L_ROWS, 4, BINS, 3, _WEIGHTS), select="SELECT client, feature, thr, round(score, 6) AS score FROM s1"))
+def gini_weighted(spark, d):
+    return impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES), _WEIGHTS).select("client", "feature", "thr", r6("score"))
+
+
+@query(o.with_(_P_ROOT, select="SELECT client, feature, thr, round(score, 4) AS score FROM s1"))
+def mse_local(spark, d):
+    return impurity.local_scores(p_root(spark, d), 5, None).select("client", "feature", "thr", F.round("score", 4).alias("score"))
+
+
+_PARENT = "(t2 / t0 - (t1 / t0) * (t1 / t0))"
+
+
+@query(o.with_(_P_ROOT, select=f"SELECT client, feature, thr, round(CASE WHEN l0 = 0 OR l0 = t0 THEN {_PARENT} ELSE {_PARENT} - ({o.score_sql(None)}) END, 4) AS score FROM h1"))
+def mse_reduction(spark, d):
+    return impurity.local_scores(p_root(spark, d), 5, None, compat_min_reduction=True).select("client", "feature", "thr", F.round("score", 4).alias("score"))
+
+
+@query(o.with_(_L_ROOT, select="SELECT feature, thr, round(score, 6) AS score FROM g1"))
+def split_scores_global(spark, d):
+    return impurity.global_scores(impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES))).select("feature", "thr", r6("score"))
+
+
+@query(o.with_(_L_ROOT, select="SELECT pos, feature, thr, round(score, 6) AS score FROM b1"))
+def best_split_root(spark, d):
+    scores = impurity.global_scores(impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES)))
+    return impurity.best_splits(scores).select("pos", "feature", "thr", r6("score"))
+
+
+def l_decisions(spark, d, g: grow.Growth | None = None) -> DataFrame:
+    g = g or grow.Growth(BINS, 3, classes=L_CLASSES)
+    cum = settle(l_root(spark, d), "cumulative")
+    best = impurity.best_splits(impurity.global_scores(impurity.local_scores(cum, BINS, list(L_CLASSES))))
+    return grow.decide(grow.child_stats(cum, best, g), g)
+
+
+@query(o.with_(_L_ROOT, select="SELECT a.client, 2 + (bins[feature + 1] > thr)::BIGINT AS node_id, count(*) AS n FROM a1 a, b1 GROUP BY ALL"))
+def child_assign(spark, d):
+    assign, _ = whole_root(spark, L(spark, d), BINS, 4)
+    best = impurity.best_splits(impurity.global_scores(impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES)))).select("split", "tree", "feature", "thr")
+    node = F.col("node_id") * 2 + (F.get("bins", F.col("feature")) > F.col("thr")).cast("bigint")
+    return assign.join(F.broadcast(best), ["split", "tree"]).groupBy("client", node.alias("node_id")).agg(F.count("*").alias("n"))
+
+
+@query(o.with_(_L_ROOT, select="SELECT ln AS left_n, li AS left_impure, rn AS right_n, ri AS right_impure FROM n1"))
+def child_stats(spark, d):
+    return l_decisions(spark, d).select(F.col("left.n").alias("left_n"), F.col("left.impure").cast("bigint").alias("left_impure"), F.col("right.n").alias("right_n"), F.col("right.impure").cast("bigint").alias("right_impure"))
+
+
+@query(o.with_(_L_ROOT, select="SELECT 1 AS x, li AS left_impure, ri AS right_impure FROM n1"))
+def local_purity(spark, d):
+    return l_decisions(spark, d).select(F.lit(1).alias("x"), F.col("left.impure").cast("bigint").alias("left_impure"), F.col("right.impure").cast("bigint").alias("right_impure"))
+
+
+@query(o.with_(_ROOT(o.L_ROWS, 4, BINS, 3, min_leaf=100), select="SELECT leaf AS is_leaf, lleaf AS left_leaf, rleaf AS right_leaf FROM n1"))
+def stopping_rules(spark, d):
+    return l_decisions(spark, d, grow.Growth(BINS, 3, min_samples_leaf=100, classes=L_CLASSES)).select("is_leaf", "left_leaf", "right_leaf")
+
+
+@query(o.with_(_L_ROOT, select="SELECT lv AS left_value, rv AS right_value, tv AS value FROM n1"))
+def leaf_class(spark, d):
+    return l_decisions(spark, d).select(F.col("left.value").alias("left_value"), F.col("right.value").alias("right_value"), "value")
+
+
+@query(o.with_(_P_ROOT, select="SELECT round(lv, 4) AS left_value, round(rv, 4) AS right_value, round(tv, 4) AS value FROM n1"))
+def leaf_mean(spark, d):
+    g = grow.Growth(5, 3)
+    cum = settle(p_root(spark, d), "cumulative")
+    best = impurity.best_splits(impurity.global_scores(impurity.local_scores(cum, 5, None)))
+    return grow.child_stats(cum, best, g).select(F.round("left.value", 4).alias("left_value"), F.round("right.value", 4).alias("right_value"), F.round("value", 4).alias("value"))
+
+
+_NODES = "SELECT tree, node_id, depth, feature, thr, round(score, 4) AS score, is_leaf, round(value, 4) AS value FROM nodes"
+
+
+def node_view(nodes: DataFrame, *more: str) -> DataFrame:
+    return nodes.select(*more, "tree", "node_id", "depth", "feature", "thr", F.round("score", 4).alias("score"), "is_leaf", F.round("value", 4).alias("value"))
+
+
+@query(o.with_(_L_SQL, select=_NODES + " WHERE tree = 0"))
+def tree_depth3(spark, d):
+    return node_view(forests.train(L(spark, d), L_FOREST).nodes).filter("tree = 0")
+
+
+@query(o.with_(_L_SQL, select=_NODES))
+def forest_depth3(spark, d):
+    return node_view(forests.train(L(spark, d), L_FOREST).nodes)
+
+
+@query(o.with_(_E_SQL, select=_NODES))
+def forest_multiclass(spark, d):
+    return node_view(forests.train(E(spark, d), E_FOREST).nodes)
+
+
+@query(o.with_(_P_SQL, select=_NODES))
+def forest_regression(spark, d):
+    return node_view(forests.train(P(spark, d), P_FOREST).nodes)
+
+
+@query(f"SELECT a.*, s.split FROM ({o.with_(_E_SQL, select=_NODES)}) a, (VALUES ('fold0'), ('fold1')) s(split)")
+def forest_multi_split(spark, d):
+    both = F.explode(F.array(F.lit("fold0"), F.lit("fold1"))).alias("fold")
+    twice = lambda df: df.select("*", both).drop("split").withColumnRenamed("fold", "split")
+    rows = E(spark, d)
+    # Both folds get the draws of split '0', so that they must agree with it and with each other.
+    assign = grow.initial_assign(twice(binned(rows, 4)), twice(sampling.bootstrap(rows, TREES, SEED)))
+    g = grow.Growth(4, 3, classes=tuple(float(i) for i in range(10)))
+    return node_view(grow.grow(assign, sampling.feature_subset(spark, TREES, 64, 8, SEED), g), "split")
+
+
+def l_trained(spark, d) -> tuple[DataFrame, forests.Forest]:
+    rows = L(spark, d)
+    return rows, forests.train(rows, L_FOREST)
+
+
+@query(o.with_(_L_SQL, o.predictions(2), select="SELECT client, row_id, tree, pred FROM preds"))
+def predict_trees(spark, d):
+    rows, forest = l_trained(spark, d)
+    return forest.predict_trees(rows).select("client", "row_id", "tree", "pred")
+
+
+_MAJORITY = "maj AS (SELECT client, row_id, y, pred FROM preds GROUP BY client, row_id, y, pred QUALIFY row_number() OVER (PARTITION BY client, row_id ORDER BY count(*) DESC, pred) = 1)"
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, select="SELECT client, row_id, pred FROM maj"))
+def vote_majority(spark, d):
+    rows, forest = l_trained(spark, d)
+    return forest.predict(rows).select("client", "row_id", "pred")
+
+
+_OOB = f"""oob AS (SELECT client, tree, row_id FROM (SELECT client, t.i::INTEGER AS tree, row_id FROM rows, range({TREES}) t(i)) x ANTI JOIN sample s USING (client, tree, row_id)),
+acc AS (SELECT p.tree, 1 - sum((pred <> y)::INTEGER)::DOUBLE / (SELECT count(*) FROM rows) AS accuracy FROM preds p JOIN oob USING (client, tree, row_id) GROUP BY p.tree),
+tw AS (SELECT tree, accuracy, accuracy / sum(accuracy) OVER () AS weight FROM acc)"""
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _OOB, "v AS (SELECT client, row_id, pred, list_reduce(list(weight ORDER BY p.tree), lambda a, b: a + b) AS s FROM preds p JOIN tw USING (tree) GROUP BY client, row_id, pred)", select="SELECT client, row_id, pred FROM v QUALIFY row_number() OVER (PARTITION BY client, row_id ORDER BY s DESC, pred) = 1"))
+def vote_weighted(spark, d):
+    rows = L(spark, d)
+    config = RunConfig(**{**L_FOREST.__dict__, "oob": True})
+    return forests.train(rows, config).predict(rows).select("client", "row_id", "pred")
+
+
+@query(o.with_(_P_SQL, o.predictions(2), select=f"SELECT client, row_id, round(list_reduce(list(pred ORDER BY tree), lambda a, b: a + b) / {TREES}, 4) AS pred FROM preds GROUP BY client, row_id"))
+def vote_mean(spark, d):
+    rows = P(spark, d)
+    return forests.train(rows, P_FOREST).predict(rows).select("client", "row_id", F.round("pred", 4).alias("pred"))
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _OOB, select="SELECT client, tree, row_id FROM oob"))
+def oob_rows(spark, d):
+    rows = L(spark, d)
+    return score.oob_rows(rows, sampling.bootstrap(rows, TREES, SEED, 0.5), TREES).select("client", "tree", "row_id")
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _OOB, select="SELECT tree, round(accuracy, 6) AS accuracy, round(weight, 6) AS weight FROM tw"))
+def tree_weights(spark, d):
+    rows, forest = l_trained(spark, d)
+    out_of_bag = score.oob_rows(rows, sampling.bootstrap(rows, TREES, SEED, 0.5), TREES)
+    return score.tree_weights(forest.predict_trees(rows), rows, out_of_bag).select("tree", r6("accuracy"), r6("weight"))
+
+
+def l_pairs(spark, d) -> DataFrame:
+    rows, forest = l_trained(spark, d)
+    return forest.predict(rows).join(rows, score.KEY).select("y", "pred")
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, select="SELECT y, pred, count(*) AS n FROM maj GROUP BY y, pred"))
+def confusion(spark, d):
+    return metrics.confusion(l_pairs(spark, d))
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, select="SELECT round(avg((y = pred)::INTEGER), 6) AS accuracy FROM maj"))
+def accuracy(spark, d):
+    return metrics.accuracy(l_pairs(spark, d)).select(r6("accuracy"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1)::DOUBLE AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0)::DOUBLE AS tn,
+  count(*) FILTER (WHERE quality = 0 AND toxic = 1)::DOUBLE AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 0)::DOUBLE AS fn FROM labels)
+SELECT CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN round((tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 6) ELSE 0.0::DOUBLE END AS mcc FROM c""")
+def mcc_binary(spark, d):
+    return metrics.mcc_binary(spark.read.parquet(f"{d}/labels.parquet"), "quality", "toxic").select(r6("mcc"))
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, """t AS (SELECT y, count(*)::DOUBLE AS t FROM maj GROUP BY y), p AS (SELECT pred, count(*)::DOUBLE AS p FROM maj GROUP BY pred),
+m AS (SELECT sum(coalesce(t, 0) * coalesce(p, 0)) AS tp, sum(coalesce(t, 0) * coalesce(t, 0)) AS tt, sum(coalesce(p, 0) * coalesce(p, 0)) AS pp FROM t FULL JOIN p ON t.y = p.pred),
+s AS (SELECT count(*)::DOUBLE AS s, count(*) FILTER (WHERE y = pred)::DOUBLE AS c FROM maj)""", select="SELECT CASE WHEN s * s - pp > 0 AND s * s - tt > 0 THEN round((c * s - tp) / (sqrt(s * s - pp) * sqrt(s * s - tt)), 6) ELSE 0.0::DOUBLE END AS mcc FROM m, s"))
+def mcc_multiclass(spark, d):
+    return metrics.mcc_multiclass(l_pairs(spark, d)).select(r6("mcc"))
+
+
+@query("SELECT i::INTEGER AS feature FROM range(64) t(i) WHERE i NOT IN (0, 1)")
+def set_difference(spark, d):
+    return spark.range(1).select(F.explode(F.array_except(F.sequence(F.lit(0), F.lit(63)), F.array(F.lit(0), F.lit(1)))).alias("feature"))
+
+
+@query(o.with_(o.L_ROWS, select="SELECT y FROM rows WHERE client = 0 UNION SELECT y FROM rows WHERE client = 1"))
+def set_union(spark, d):
+    rows = L(spark, d)
+    return rows.filter("client = 0").select("y").union(rows.filter("client = 1").select("y")).distinct()
+
+
+@query(o.with_(o.L_ROWS, o.bootstrap(1, SEED), select="SELECT client, row_id FROM rows ANTI JOIN sample USING (client, row_id)"))
+def anti_members(spark, d):
+    rows = L(spark, d)
+    return rows.join(sampling.bootstrap(rows, 1, SEED), ["split", "client", "row_id"], "left_anti").select("client", "row_id")
+
+
+def scratch(df: DataFrame) -> str:
+    from ..functions import portable
+
+    settle(df.sparkSession.range(0), "scratch")
+    return f"{df.sparkSession.conf.get('spark.checkpoint.dir', None) or portable._own_dir[0]}/scratch-{uuid.uuid4().hex}"
+
+
+@query(o.with_(o.L_ROWS, select="SELECT y AS y_true FROM rows"))
+def write_read_roundtrip(spark, d):
+    rows = L(spark, d)
+    tables.write_truth(rows, path := scratch(rows), ";")
+    return spark.read.csv(path, header=True, sep=";", schema="y_true double")
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, select="SELECT client, row_id, pred FROM maj"))
+def model_roundtrip(spark, d):
+    rows, forest = l_trained(spark, d)
+    forest.save(path := scratch(rows))
+    return forests.Forest.load(spark, path).predict(rows).select("client", "row_id", "pred")
+
+
+@query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, select="SELECT client, row_id, pred FROM maj"))
+def stream_score(spark, d):
+    rows, forest = l_trained(spark, d)
+    rows.write.parquet(source := scratch(rows))
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    target = scratch(rows)
+    run = score_stream(stream, forest).writeStream.format("parquet").option("path", target).option("checkpointLocation", scratch(rows)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(target).select("client", "row_id", "pred")

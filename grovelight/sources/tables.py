@@ -87,4 +87,4 @@ def embedding_rows(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFram
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return canonical(df, [F.col("p_size"), F.col("p_partkey") % 50], F.col("p_retailprice"), F.col("p_partkey") % 3, ["p_partkey"], ["p_partkey"])
+    return canonical(df, [F.col("p_size"), F.col("p_partkey") % 50], F.round("p_retailprice"), F.col("p_partkey") % 3, ["p_partkey"], ["p_partkey"])
