@@ -6,7 +6,7 @@ bin that its own hash sequence names first (optimal densification). Documents of
 anything is compared. Classes that share a band's bucket are linked to the bucket's centre only, so a bucket of n
 gives n - 1 candidate pairs and not n(n-1)/2. Each pair is confirmed on the full sets. That alone could lose a link
 between two members that both miss the centre, so buckets that still hold several components go through further
-rounds with twice as many new centres each, until one component is left or every member has been a centre.
+rounds with eight times as many centres each, until one component is left or every member has been a centre.
 
 Defined cases: null and empty texts and texts of white space have an empty set, are linked with nothing and kept;
 a text of fewer than five words is one shingle; repeated rows are one class; an empty table gives none; other columns
@@ -158,8 +158,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
         labelled = settle(labelled.join(open_buckets, "bucket", "left_semi"), "open-members")
         if labelled.isEmpty():
             break
+        more_centres = 8 * centres
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        ranked = labelled.withColumn("turn", turn).filter(F.col("turn") <= 2 * centres).filter(F.col("turn") > centres)
+        ranked = labelled.withColumn("turn", turn).filter(F.col("turn") <= more_centres).filter(F.col("turn") > centres)
         new = candidates(labelled, ranked.select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp")))
         new = settle(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
             if not more.isEmpty():
                 links = links.unionByName(more)
                 comps = components(links)
-        centres, largest = 2 * centres, labelled.agg(F.max("size")).first()[0]
+        centres, largest = more_centres, labelled.agg(F.max("size")).first()[0]
 
     joined = comps.join(classes.select(F.col("key").alias("v"), "least_id"), "v")
     smallest = joined.groupBy("comp").agg(F.min("least_id").alias("least_of_all"))
