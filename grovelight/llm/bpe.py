@@ -28,8 +28,8 @@ from .shared import settle, text_rows
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 BUCKETS = 1 << 16
 LONG = 96
-TABLE_WORDS = 600_000
-ROWS_AT_ONCE = 1000
+TABLE_WORDS = 1_000_000
+ROWS_AT_ONCE = 2000
 
 
 def java_pattern(pattern: str) -> str:
