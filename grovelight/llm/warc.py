@@ -22,13 +22,21 @@ DATE = "2020-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: 20 bits, so five hex digits, give four letters."""
-    hexed = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """Bare upper-case base32 of a 20-byte digest: 20 bits, so five hex digits, give four letters."""
+    hexed = F.hex(digest)
     quads = F.concat(*[F.lpad(F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)])
     return F.translate(F.upper(quads), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def sha1(payload: Column) -> Column:
+    return F.unhex(F.sha1(payload))
+
+
+def sha256(payload: Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
 def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
@@ -45,7 +53,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     """Write a record for each page to ``path``."""
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    keyed = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
+    keyed = rows.select("page_id", "url", sha256(F.col("payload")).alias("address"), sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     first = keyed.groupBy("address").agg(F.min("page_id").alias("first_id"))
     decided = keyed.join(first, "address")
     response = (F.col("size") < min_bytes) | F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
@@ -57,7 +65,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         line("WARC-Record-ID", record_id(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         F.when(response, F.lit("")).otherwise(F.concat(line("WARC-Profile", F.lit(REVISIT)), line("WARC-Refers-To", record_id(F.col("first_id"))))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(response, F.col("size")).otherwise(F.lit(0)).cast("string")),
@@ -65,7 +73,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     )
     archive = Archive(f"{path}/records", f"{path}/payloads")
     decided.select(F.encode(head, "UTF-8").alias("head"), "address").write.option("compression", "zstd").parquet(archive.records)
-    rows.groupBy(F.sha2("payload", 256).alias("address")).agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(archive.payloads)
+    rows.groupBy(sha256(F.col("payload")).alias("address")).agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
@@ -74,9 +82,9 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     text = F.decode(F.col("head"), "UTF-8")
     field = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
     number = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: <urn:page:([^>]*)>\r\n", 1), F.lit("")).cast("long")
-    records = spark.read.schema("head binary, address string").parquet(archive.records)
-    payloads = spark.read.schema("address string, payload binary").parquet(archive.payloads)
-    sound = payloads.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("address", F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.lit("a payload differs from its address"))))
+    records = spark.read.schema("head binary, address binary").parquet(archive.records)
+    payloads = spark.read.schema("address binary, payload binary").parquet(archive.payloads)
+    sound = payloads.withColumn("digest", base32(sha1(F.col("payload")))).withColumn("address", F.when(sha256(F.col("payload")) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.lit("a payload differs from its address"))))
     joined = records.join(sound, "address")
     right = (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("digest"))) & ((field("WARC-Type") == "revisit") | (field("Content-Length").cast("long") == F.octet_length("payload")))
     return joined.select(
