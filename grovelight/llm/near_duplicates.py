@@ -8,6 +8,11 @@ gives n - 1 candidate pairs and not n(n-1)/2. Each pair is confirmed on the full
 between two members that both miss the centre, so buckets that still hold several components go through further
 rounds with eight times as many centres each, until one component is left or every member has been a centre.
 
+A shingle found in one compared set only can be in no intersection. So a set of n shingles, ``own`` of them its own,
+shares n - own at most, and pairs (and members of a bucket) that this bound rules out are never formed. It loses no
+link, and leaves little of the pairs that a long shared passage or many edits of one text would give. The centre is
+the member with the fewest own shingles: in a group of edited copies, the text nearest to the unedited one.
+
 Defined cases: null and empty texts and texts of white space have an empty set, are linked with nothing and kept;
 a text of fewer than five words is one shingle; repeated rows are one class; an empty table gives none; other columns
 are ignored. Rows of a null id take part like others, but null is never a component_id while another id is there.
@@ -135,19 +140,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
     classes = settle(classes, "classes")
 
     members = classes.select("key", "n", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    members = settle(members.join(buckets, "bucket").select("bucket", "key", "n", "centre", "size"), "bucket-members")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1")
+    members = settle(members.join(buckets.select("bucket", "least_n"), "bucket"), "bucket-members")
     compared = members.select("key").distinct().join(classes.select("key", "least_id"), "key").select(F.col("least_id").alias("doc_id")).distinct()
     sets = settle(rows.join(compared, "doc_id", "left_semi").select("text").filter("text <> ''").mapInArrow(_sets, "key binary, hashes array<bigint>").filter("size(hashes) > 0").groupBy("key").agg(F.first("hashes").alias("hashes")), "full-sets")
 
+    own = sets.select("key", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("key").alias("key"), F.count("*").alias("sets")).filter("sets = 1").groupBy("key").agg(F.count("*").alias("own"))
+    shared = members.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # What a member can share must do for the smallest set of its bucket.
+    able = shared.filter((100 + percent) * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least_n"))).drop("least_n")
+    able = settle(able, "able-members")
+    buckets = able.groupBy("bucket").agg(F.min(F.struct("own", "key")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    members = settle(able.join(buckets.select("bucket", F.col("centre.key").alias("centre"), "size"), "bucket"), "starred-members")
+
     def candidates(members: DataFrame, centres: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) of members and centres of a bucket whose sizes allow the similarity."""
-        far = members.join(centres, "bucket").filter((F.col("key") != F.col("c")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
+        """Distinct pairs (a, b) of members and centres of a bucket that can share enough for the similarity."""
+        most = F.least(F.col("n") - F.col("own"), F.col("cn") - F.col("cown"))
+        far = members.join(centres, "bucket").filter((F.col("key") != F.col("c")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("cn"))))
         if "comp" in members.columns:
             far = far.filter(F.col("comp") != F.col("ccomp"))
         return far.select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
 
-    first = members.filter("key = centre").select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"))
+    first = members.filter("key = centre").select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("own").alias("cown"))
     tested = settle(candidates(members, first), "pairs")
     links = settle(confirm(tested, sets, percent), "links")
     comps = components(links)
@@ -159,9 +173,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
         if labelled.isEmpty():
             break
         more_centres = 8 * centres
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "key"))
         ranked = labelled.withColumn("turn", turn).filter(F.col("turn") <= more_centres).filter(F.col("turn") > centres)
-        new = candidates(labelled, ranked.select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp")))
+        new = candidates(labelled, ranked.select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("own").alias("cown"), F.col("comp").alias("ccomp")))
         new = settle(new.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             tested = tested.unionByName(new)
