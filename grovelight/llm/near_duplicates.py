@@ -5,8 +5,9 @@ shingle gives the whole signature: the top bits pick a bin, each bin keeps its l
 bin that its own hash sequence names first (optimal densification). Documents of equal sets are one class before
 anything is compared. Classes that share a band's bucket are linked to the bucket's centre only, so a bucket of n
 gives n - 1 candidate pairs and not n(n-1)/2. Each pair is confirmed on the full sets. That alone could lose a link
-between two members that both miss the centre, so buckets that still hold several components go through further
-rounds with eight times as many centres each, until one component is left or every member has been a centre.
+between two members that both miss the centre, so the members of buckets that still hold several components go
+through an exact join: sets ordered by how rare their shingles are can only be similar if they share a shingle among
+their first ones, early enough that what follows in both can make up the intersection.
 
 A shingle found in one compared set only can be in no intersection. So a set of n shingles, ``own`` of them its own,
 shares n - own at most, and pairs (and members of a bucket) that this bound rules out are never formed. It loses no
@@ -131,6 +132,24 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def missed_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (key, n, comp) of different components that can be similar, every similar one among them."""
+    tokens = settle(sets.join(members, "key").select("key", "n", "comp", F.explode("hashes").alias("hash")), "open-shingles")
+    counted = tokens.join(tokens.groupBy("hash").agg(F.count("*").alias("sets")), "hash")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("sets", "hash"))
+    needed = F.ceil(F.col("n") * percent / 100)
+    first = counted.withColumn("i", turn).filter((F.col("i") <= F.col("n") - needed + 1) & (F.col("sets") > 1))
+    first = settle(first.select("hash", "key", "n", "comp", "i"), "first-shingles")
+    # From place i on, n - i + 1 shingles are left; they must do for the smallest set that has the shingle.
+    able = first.join(first.groupBy("hash").agg(F.min("n").alias("least_n")), "hash").filter((100 + percent) * (F.col("n") - F.col("i") + 1) >= percent * (F.col("n") + F.col("least_n")))
+    mixed = able.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("hash")
+    able = settle(able.join(mixed, "hash", "left_semi").select("hash", "key", "n", "comp", "i"), "able-shingles")
+    other = able.select("hash", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"), F.col("i").alias("ci"))
+    left = F.least(F.col("n") - F.col("i"), F.col("cn") - F.col("ci")) + 1
+    pairs = able.join(other, "hash").filter((F.col("key") < F.col("c")) & (F.col("comp") != F.col("ccomp")) & ((100 + percent) * left >= percent * (F.col("n") + F.col("cn"))))
+    return pairs.select(F.col("key").alias("a"), F.col("c").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     rows = text_rows(docs, id_col=id_col, text_col=text_col)
@@ -151,39 +170,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
     able = shared.filter((100 + percent) * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least_n"))).drop("least_n")
     able = settle(able, "able-members")
     buckets = able.groupBy("bucket").agg(F.min(F.struct("own", "key")).alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    members = settle(able.join(buckets.select("bucket", F.col("centre.key").alias("centre"), "size"), "bucket"), "starred-members")
-
-    def candidates(members: DataFrame, centres: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) of members and centres of a bucket that can share enough for the similarity."""
-        most = F.least(F.col("n") - F.col("own"), F.col("cn") - F.col("cown"))
-        far = members.join(centres, "bucket").filter((F.col("key") != F.col("c")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("cn"))))
-        if "comp" in members.columns:
-            far = far.filter(F.col("comp") != F.col("ccomp"))
-        return far.select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
-
-    first = members.filter("key = centre").select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("own").alias("cown"))
-    tested = settle(candidates(members, first), "pairs")
-    links = settle(confirm(tested, sets, percent), "links")
+    members = settle(able.join(buckets.select("bucket", F.col("centre.key").alias("centre")), "bucket"), "starred-members")
+
+    # Distinct pairs (a, b) of members and centres that can share enough for the similarity.
+    star = members.filter("key = centre").select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("own").alias("cown"))
+    most = F.least(F.col("n") - F.col("own"), F.col("cn") - F.col("cown"))
+    star = members.join(star, "bucket").filter((F.col("key") != F.col("c")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("cn"))))
+    pairs = settle(star.select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct(), "pairs")
+    links = settle(confirm(pairs, sets, percent), "links")
     comps = components(links)
-    centres, largest = 1, members.agg(F.max("size")).first()[0] or 0
-    while centres + 1 < largest:
-        labelled = members.filter(F.col("size") > centres + 1).join(comps.withColumnRenamed("v", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        open_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        labelled = settle(labelled.join(open_buckets, "bucket", "left_semi"), "open-members")
-        if labelled.isEmpty():
-            break
-        more_centres = 8 * centres
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "key"))
-        ranked = labelled.withColumn("turn", turn).filter(F.col("turn") <= more_centres).filter(F.col("turn") > centres)
-        new = candidates(labelled, ranked.select("bucket", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("own").alias("cown"), F.col("comp").alias("ccomp")))
-        new = settle(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            more = settle(confirm(new, sets, percent), "links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                comps = components(links)
-        centres, largest = more_centres, labelled.agg(F.max("size")).first()[0]
+    labelled = members.join(comps.withColumnRenamed("v", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    open_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    open_members = settle(labelled.join(open_buckets, "bucket", "left_semi").select("key", "n", "comp").distinct(), "open-members")
+    more = settle(confirm(settle(missed_pairs(open_members, sets, percent), "pairs"), sets, percent), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
 
     joined = comps.join(classes.select(F.col("key").alias("v"), "least_id"), "v")
     smallest = joined.groupBy("comp").agg(F.min("least_id").alias("least_of_all"))
