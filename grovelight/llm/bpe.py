@@ -141,7 +141,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     cut = rows.mapInArrow(look_up, f"doc_id {kind}, runs array<array<int>>, rare array<string>")
     rare_ids = F.transform("rare", lambda w: fold_merges(w.cast("binary"), table))
     joined = F.flatten(F.zip_with("runs", rare_ids, lambda run, more: F.concat(run, F.coalesce(more, F.array().cast("array<int>")))))
-    return cut.select("doc_id", F.when(F.size("rare") == 0, F.flatten("runs")).otherwise(joined).alias("ids"))
+    # Settled, so that no task keeps the workers that look words up beside those that decode or digest ids.
+    return settle(cut.select("doc_id", F.when(F.size("rare") == 0, F.flatten("runs")).otherwise(joined).alias("ids")), "ids")
 
 
 def ids_bytes(ids: Column) -> Column:
