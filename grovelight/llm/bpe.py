@@ -14,6 +14,7 @@ an empty table gives an empty table; other columns are ignored. A word of over `
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,11 @@ from .shared import settle, text_rows
 
 #: Unicode's White_Space, which Java's \s is not.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-BUCKETS = 1 << 16
+#: A word of up to LONG bytes is folded; its pairs' places take PLACE_BITS bits.
 LONG = 96
+PLACE_BITS = 7
+PLACES = 1 << PLACE_BITS
+WINDOW = 256
 TABLE_WORDS = 1_000_000
 ROWS_AT_ONCE = 2000
 
@@ -41,45 +45,80 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: crc32 buckets of `` HEX=rank`` entries, ranks as five digits (they sort as text)."""
-    buckets = [""] * BUCKETS
-    for token, rank in ranks.items():
-        key = token.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS] += f" {key}={rank:05d}"
-    return F.split(F.lit(",".join(buckets)), ",")
-
+class RankMap(NamedTuple):
+    """The rank of each pair of adjacent pieces, as literal arrays: ``left`` gives a piece's row, the row's start plus
+    the right piece's id is a slot, and the slot holds the left piece it belongs to and the merged piece's id."""
 
-def fold_merges(word: Column, table: Column) -> Column:
-    """Ids of a non-empty binary word: fold over its byte array; a step either finds or makes the next merge."""
-    nothing = F.lit("z")
+    first: Column  # id of a byte, by the top byte of its crc32 (all 256 differ)
+    left: Column
+    owner: Column
+    merged: Column
 
-    def rank(piece: Column) -> Column:
-        bucket = F.get(table, F.crc32(piece.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.substring(F.split_part(bucket, F.concat(F.lit(" "), piece, F.lit("=")), F.lit(2)), 1, 5)
 
-    spelled = F.hex(word)
-    n = (F.length(spelled) / 2).cast("int")
-    start = F.struct(
-        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(spelled, i * 2 + 1, F.lit(2))).alias("parts"),
-        F.lit("").alias("next"),
-    )
+def rank_map(ranks: dict[bytes, int]) -> RankMap:
+    """Rows of pairs laid over each other, the longest first, each at the first start where
+    its slots are free; starts that had no room for a longer row aren't tried again."""
+    size = max(ranks.values(), default=-1) + 1
+    rows: dict[int, dict[int, int]] = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                rows.setdefault(a, {})[b] = rank
+    starts, owner, merged = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+    low = 0
+    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        right = np.fromiter(sorted(row), np.int64, len(row))
+        begin = owner[:0]
+        while not len(begin):
+            if low + WINDOW + size > len(owner):
+                owner, merged = (np.concatenate([x, np.full(size + WINDOW, -1, np.int64)]) for x in (owner, merged))
+            begin = np.arange(low, low + WINDOW)
+            for r in right:
+                begin = begin[owner[begin + r] < 0]
+                if not len(begin):
+                    break
+            low += 0 if len(begin) else WINDOW
+        starts[a] = begin[0]
+        owner[starts[a] + right] = a
+        merged[starts[a] + right] = [row[b] for b in right.tolist()]
+    # Every slot that is asked for, even by a piece that starts no pair, is there.
+    room = np.full(max(0, int(starts.max(initial=0)) + size - len(owner)), -1, np.int64)
+    owner, merged = np.concatenate([owner, room]), np.concatenate([merged, room])
+    first = sorted((zlib.crc32(bytes([b])) >> 24, ranks.get(bytes([b]), -1)) for b in range(256))
+
+    def literal(values) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+    return RankMap(literal([rank for _, rank in first]), literal(starts.tolist()), literal(owner.tolist()), literal(merged.tolist()))
+
+
+def fold_merges(word: Column, table: RankMap) -> Column:
+    """Ids of a non-empty binary word: fold over its byte array; each step makes the leftmost merge of lowest rank."""
+    n = F.octet_length(word)
+    start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(table.first, F.shiftright(F.crc32(F.substring(word, i, F.lit(1))), 24).cast("int")))
+
+    def offer(parts: Column, right: Column, k: Column) -> Column:
+        left = F.get(parts, k)
+        slot = F.get(table.left, left) + right
+        return F.when(F.get(table.owner, slot) == left, F.get(table.merged, slot) * PLACES + k)
 
     def step(state: Column, _: Column) -> Column:
-        parts, found = state["parts"], state["next"]
-        i = F.substring(found, 7, 4).cast("int")
-        merged = F.concat(F.slice(parts, F.lit(1), i), F.array(F.concat(F.get(parts, i), F.get(parts, i + 1))), F.slice(parts, i + 3, F.size(parts)))
-        least = F.array_min(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda right, k: F.concat(rank(F.concat(F.get(parts, k), right)), nothing, F.lpad(k.cast("string"), 4, "0"))))
-        return (
-            F.when(found.startswith("z"), state)
-            .when(found == "", F.struct(parts.alias("parts"), F.coalesce(least, nothing).alias("next")))
-            .otherwise(F.struct(merged.alias("parts"), F.lit("").alias("next")))
-        )
+        parts, over = state["parts"], state["over"]
+        least = F.array_min(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda right, k: offer(parts, right, k)))
+
+        def merge(found: Column) -> Column:
+            i = found.bitwiseAND(F.lit(PLACES - 1))
+            done = F.concat(F.slice(parts, F.lit(1), i), F.array(F.shiftright(found, PLACE_BITS)), F.slice(parts, i + 3, F.size(parts)))
+            return F.when(found.isNull(), F.struct(parts.alias("parts"), F.lit(True).alias("over"))).otherwise(F.struct(done.alias("parts"), F.lit(False).alias("over")))
+
+        # An array of one element, so that the least offer is worked out once.
+        return F.when(over, state).otherwise(F.get(F.transform(F.array(least), merge), F.lit(0)))
 
-    return F.aggregate(F.sequence(F.lit(1), 2 * n), start, step, lambda s: F.transform(s["parts"], lambda p: rank(p).cast("int")))
+    begin = F.struct(start.alias("parts"), (n < 2).alias("over"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, step, lambda s: s["parts"])
 
 
-def word_table(words: DataFrame, table: Column, most: int) -> pa.Table:
+def word_table(words: DataFrame, table: RankMap, most: int) -> pa.Table:
     """(word, ids) of the most frequent words; how frequent follows from counts over all words, so at most ``most`` rows."""
     counts = settle(words.filter(F.octet_length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     by_count = counts.groupBy("n").agg(F.count("*").alias("words")).filter("n > 1").orderBy(F.desc("n"))
@@ -96,8 +135,8 @@ def word_table(words: DataFrame, table: Column, most: int) -> pa.Table:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, ids array<int>): the ids of every whole text, without special tokens."""
     ranks = load_ranks(ranks_path)
-    if max(ranks.values(), default=0) > 99_999:
-        raise ValueError("ranks of more than five digits aren't supported")
+    if max(ranks.values(), default=0) >= 1 << 31 - PLACE_BITS:
+        raise ValueError("a rank and a place together have to fit in 31 bits")
     table = rank_map(ranks)
     rows = text_rows(docs, id_col=id_col, text_col=text_col).select("doc_id", split_words(F.col("text"), pattern).alias("words"))
     known = word_table(rows.select(F.explode("words").alias("word")), table, table_words)
