@@ -26,10 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and its size is known."""
+def settle(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and its size is known.
+
+    The columns ``folders``, last in ``df``, become folders: reading some of their values leaves out other files.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -172,6 +172,16 @@ def test_lm_scores(docs, nothing):
     assert lm_score.score_documents(docs, F.lit(True)).filter("score is null or isnan(score)").count() == 0
 
 
+def test_lm_trains_on_every_token(docs):
+    seen = []
+    got = lm_score.score_documents(docs, F.col("doc_id") < 5, shard_tokens=100, fitted_on=seen.append).first()
+    passes, rounds, width = lm_score.schedule(got.train_tokens, 100)
+    assert rounds > 2 and len(seen) == passes * rounds and sum(seen) == passes * got.train_tokens
+    for n in (3_000_000, 60_000_000, 4_000_000_000):
+        passes, rounds, width = lm_score.schedule(n)
+        assert passes == 1 and lm_score.SHARD_TOKENS * rounds * width >= n and rounds <= 2 * max(width, lm_score.SHARDS)
+
+
 def test_lm_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     counts = np.zeros(gru.HEAD)
