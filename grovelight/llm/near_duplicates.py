@@ -17,6 +17,8 @@ the member with the fewest own shingles: in a group of edited copies, the text n
 Defined cases: null and empty texts and texts of white space have an empty set, are linked with nothing and kept;
 a text of fewer than five words is one shingle; repeated rows are one class; an empty table gives none; other columns
 are ignored. Rows of a null id take part like others, but null is never a component_id while another id is there.
+One row of each component is kept: that of the smallest id (null last), of its rows the one numbered first. Rows are
+told apart by that number and never by id, so the texts of a repeated id are documents of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -99,8 +101,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [set_key(s) if len(s) else None for s in sets]
         bands = [band_keys(signature(s, borrow)) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "key", "bands"],
+            [piece.column("row"), piece.column("doc_id"), piece.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["row", "doc_id", "mark", "n_shingles", "key", "bands"],
         )
 
 
@@ -150,19 +152,21 @@ def missed_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return pairs.select(F.col("key").alias("a"), F.col("c").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    rows = text_rows(docs, id_col=id_col, text_col=text_col)
+def judge(docs: DataFrame, row: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, kept) of every document; ``row`` numbers the rows and is read once."""
+    rows = text_rows(docs, row.alias("row"), id_col=id_col, text_col=text_col).withColumn("mark", F.xxhash64("doc_id", "text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = settle(rows.mapInArrow(_signatures, f"doc_id {kind}, n_shingles bigint, key binary, bands array<bigint>"), "signatures")
-    classes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    signed = settle(rows.mapInArrow(_signatures, f"row bigint, doc_id {kind}, mark bigint, n_shingles bigint, key binary, bands array<bigint>"), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    classes = signed.filter("key is not null").groupBy("key").agg(least.alias("least"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = settle(classes, "classes")
 
     members = classes.select("key", "n", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("n").alias("least_n")).filter("size > 1")
     members = settle(members.join(buckets.select("bucket", "least_n"), "bucket"), "bucket-members")
-    compared = members.select("key").distinct().join(classes.select("key", "least_id"), "key").select(F.col("least_id").alias("doc_id")).distinct()
-    sets = settle(rows.join(compared, "doc_id", "left_semi").select("text").filter("text <> ''").mapInArrow(_sets, "key binary, hashes array<bigint>").filter("size(hashes) > 0").groupBy("key").agg(F.first("hashes").alias("hashes")), "full-sets")
+    # One row of each class, found again by the hash of its id and text; a collision only fetches one row more.
+    compared = members.select("key").distinct().join(classes.select("key", "mark"), "key").select("mark").distinct()
+    sets = settle(rows.select("mark", "text").join(compared, "mark", "left_semi").select("text").filter("text <> ''").mapInArrow(_sets, "key binary, hashes array<bigint>").filter("size(hashes) > 0").groupBy("key").agg(F.first("hashes").alias("hashes")), "full-sets")
 
     own = sets.select("key", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("key").alias("key"), F.count("*").alias("sets")).filter("sets = 1").groupBy("key").agg(F.count("*").alias("own"))
     shared = members.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0)))
@@ -186,16 +190,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
     if not more.isEmpty():
         comps = components(links.unionByName(more))
 
-    joined = comps.join(classes.select(F.col("key").alias("v"), "least_id"), "v")
-    smallest = joined.groupBy("comp").agg(F.min("least_id").alias("least_of_all"))
+    joined = comps.join(classes.select(F.col("key").alias("v"), "least"), "v")
+    smallest = joined.groupBy("comp").agg(F.min("least").alias("least_of_all"))
     smaller = joined.join(smallest, "comp").select(F.col("v").alias("key"), "least_of_all")
-    named = settle(classes.select("key", "least_id").join(smaller, "key", "left").select("key", F.coalesce("least_of_all", "least_id").alias("component_id")), "components")
-    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.col("key").isNull()).alias("kept"))
+    named = settle(classes.select("key", "least").join(smaller, "key", "left").select("key", F.coalesce("least_of_all", "least").alias("first")), "components")
+    out = signed.select("row", "doc_id", "n_shingles", "key").join(named, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), (F.col("key").isNull() | (F.col("row") == F.col("first.row"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    return judge(docs, F.monotonically_increasing_id(), percent, id_col, text_col).drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; all columns stay. Repeated rows of it stay once."""
-    gone = near_duplicates(docs, percent, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(settle(gone, "near-duplicates"), F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each group, that of the smallest id; all columns stay. Repeated rows of it stay once."""
+    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    gone = judge(numbered, F.col("__row"), percent, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("__row"))
+    return numbered.join(settle(gone, "near-duplicates"), "__row", "left_anti").drop("__row")

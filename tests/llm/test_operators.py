@@ -268,6 +268,22 @@ def test_near_duplicates(spark, docs, nothing):
     assert near_duplicates.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rng = random.Random(11)
+    base, alone = words(rng, 200, 5000), words(rng, 200, 5000)
+    near = [base[:i] + ["changed"] + base[i + 1 :] for i in (0, 199)]
+    bare = words(rng, 200, 5000)
+    nameless = [bare, bare[:-1] + ["other"], ["other"] + bare[1:]]
+    rows = [(1, base), (1, base), (5, near[0]), (5, alone), (None, base), (None, near[1]), *((None, x) for x in nameless), (7, [])]
+    df = table(spark, [(i, " ".join(x), "en", "a") for i, x in rows])
+    got = near_duplicates.near_duplicates(df)
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got.collect()), key=repr) == sorted([(1, 1, True), (1, 1, False), (5, 1, False), (5, 5, True), *[(None, 1, False)] * 2, (None, None, True), *[(None, None, False)] * 2, (7, 7, True)], key=repr)
+    left = near_duplicates.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    seen = [(r.doc_id, r.text.split()) for r in left.collect()]
+    assert len(seen) == 4 and all(x in seen for x in [(1, base), (5, alone), (7, [])]) and sum(i is None and x in nameless for i, x in seen) == 1
+
+
 def test_signatures_find_similar_sets():
     rng, borrow, missed = np.random.default_rng(4), near_duplicates.detours(), 0
     for n in [2, 5, 12, 40, 300] * 40:
