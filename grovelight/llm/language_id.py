@@ -2,8 +2,8 @@
 
 Learning: in a sample of labelled documents (at most about ``sample`` a language, drawn by hash) the tasks count in
 how many documents each letter n-gram occurs; each language keeps its ``grams`` most frequent ones. All languages
-share one bit-sliced Bloom filter: a slot is a 64-bit mask with one bit a language, so ANDing the slots of an n-gram
-gives every language that holds it. A text's score for a language is its share of n-grams held, corrected for the
+share one bit-sliced Bloom filter: a slot is a mask with one bit a language, of as many 64-bit words as all labels need,
+so ANDing the slots of an n-gram gives every language that holds it. A text's score for a language is its share of n-grams held, corrected for the
 filter's false positives: (hits/n - f) / (1 - f). The highest decides; ties go to the language with more documents.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with nothing to learn from, all are
@@ -25,7 +25,6 @@ N = 4
 SAMPLE = 4000
 GRAMS = 40_000
 SLOT_BITS = 20
-LANGUAGES = 64
 UND = "und"
 
 _letters: list[np.ndarray] = []
@@ -62,23 +61,23 @@ def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """Bit-sliced Bloom filter over up to 64 languages."""
+    """Bit-sliced Bloom filter over all languages, 64 to a word."""
 
     def __init__(self, languages: list[str], held: list[np.ndarray]):
         self.languages = languages
-        self.masks = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.masks = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
         for k, h in enumerate(held):
             for s in slots(h):
-                self.masks[s] |= np.uint64(1 << k)
-        share = [np.mean((self.masks >> np.uint64(k)) & np.uint64(1)) for k in range(len(languages))]
+                self.masks[k // 64, s] |= np.uint64(1 << k % 64)
+        share = [np.mean((self.masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)) for k in range(len(languages))]
         self.false = np.array(share, float) ** 2
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         h, owner, has = grams(texts)
         a, b = slots(h)
-        held = self.masks[a] & self.masks[b]
+        held = [m[a] & m[b] for m in self.masks]
         total = np.bincount(owner, minlength=len(texts))
-        hits = np.stack([np.bincount(owner[(held >> np.uint64(k)) & np.uint64(1) != 0], minlength=len(texts)) for k in range(len(self.languages))], 1)
+        hits = np.stack([np.bincount(owner[(held[k // 64] >> np.uint64(k % 64)) & np.uint64(1) != 0], minlength=len(texts)) for k in range(len(self.languages))], 1)
         share = (hits / np.maximum(total, 1)[:, None] - self.false) / (1 - self.false)
         best = share.argmax(1)
         score = np.clip(share[np.arange(len(texts)), best], 0, 1)
@@ -88,7 +87,7 @@ class Filter:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filter | None:
     """The filter of the languages in ``docs``; what reaches the driver is bounded by languages times ``GRAMS``."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return None
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])

@@ -152,6 +152,16 @@ def test_language_scores_are_corrected():
     assert all(0 < x < 1e-3 for x in f.false)
 
 
+def test_language_id_learns_every_label(spark, monkeypatch):
+    rng, n = random.Random(13), 66
+    own = {f"l{k:02}": ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(5)) for _ in range(20)] for k in range(n)}
+    df = table(spark, [(k, " ".join(w), lang, "a") for k, (lang, w) in enumerate(own.items())])
+    monkeypatch.setattr(language_id, "settle", lambda x, name: x.coalesce(1).cache())
+    model = language_id.learn(df)
+    assert sorted(model.languages) == sorted(own)
+    assert model.predict([" ".join(w[:10]) for w in own.values()])[0] == list(own)
+
+
 def test_lm_scores(docs, nothing):
     rest = shared.remainder("doc_id", 5) == 1
     got = {r.doc_id: r for r in lm_score.score_documents(docs, rest, table_words=10).collect()}
