@@ -2,9 +2,9 @@
 
 Words (matches of the tokenizer's pattern) are counted over the whole corpus. Each frequent distinct word is
 encoded once: a Spark higher-order function folds the ranked merges over its byte array, looking ranks up in a
-literal map. The frequent words' ids (at most ``table_words`` of them, so the broadcast has a fixed bound) go to
-the tasks as Arrow arrays; the distinct remaining words of a document are folded in its own row, so no text and
-no word position is ever shuffled. Decoding concatenates the tokens' binary pieces.
+literal map. The frequent words' ids (at most ``table_words`` of them, of ``LONG`` bytes at most, so the broadcast has
+a fixed bound) go to the tasks; the distinct remaining words of a document are folded in its own row, each once, so no
+text and no word position is ever shuffled. Decoding concatenates the tokens' binary pieces.
 
 Defined cases: a null text is an empty one and gives no ids; equal ids and repeated rows each give their own row;
 an empty table gives an empty table; other columns are ignored. A word of over ``LONG`` bytes is merged on a heap
@@ -14,35 +14,27 @@ an empty table gives an empty table; other columns are ignored. A word of over `
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .letters import Splitter
 from .merges import load_ranks, merge_word
-from .shared import settle, text_rows
+from .shared import pieces, settle, text_rows
 
-#: Unicode's White_Space, which Java's \s is not.
-SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: A word of up to LONG bytes is folded; its pairs' places take PLACE_BITS bits.
 LONG = 96
 PLACE_BITS = 7
 PLACES = 1 << PLACE_BITS
 WINDOW = 256
-TABLE_WORDS = 1_000_000
-ROWS_AT_ONCE = 2000
-
-
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with white space spelled out for Java's regular expressions."""
-    return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]")
-
-
-def split_words(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
+TABLE_WORDS = 250_000
+COUNTED_AT_ONCE = 500_000
+PIECE = 1 << 20
 
 
 class RankMap(NamedTuple):
@@ -118,9 +110,29 @@ def fold_merges(word: Column, table: RankMap) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, step, lambda s: s["parts"])
 
 
-def word_table(words: DataFrame, table: RankMap, most: int) -> pa.Table:
+def count_words(rows: DataFrame, split: Splitter) -> DataFrame:
+    """(word, n) of all words of up to ``LONG`` bytes: counted in the tasks first, a bounded number of words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            short = [w for w in counts if len(w.encode()) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(list(map(counts.get, short)), pa.int64())], ["word", "n"])
+
+        for piece in pieces(batches, most=PIECE):
+            for text in piece.column("text"):
+                counts.update(split(text.as_py()))
+            if len(counts) > COUNTED_AT_ONCE:
+                yield out()
+                counts.clear()
+        yield out()
+
+    return rows.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_table(counts: DataFrame, table: RankMap, most: int) -> pa.Table:
     """(word, ids) of the most frequent words; how frequent follows from counts over all words, so at most ``most`` rows."""
-    counts = settle(words.filter(F.octet_length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     by_count = counts.groupBy("n").agg(F.count("*").alias("words")).filter("n > 1").orderBy(F.desc("n"))
     running, least = 0, None
     for row in by_count.toLocalIterator():
@@ -132,54 +144,70 @@ def word_table(words: DataFrame, table: RankMap, most: int) -> pa.Table:
     return kept.select("word", fold_merges(F.col("word").cast("binary"), table).alias("ids")).toArrow().combine_chunks()
 
 
+class Known(dict):
+    """word -> its place in the table, -1 for a word outside it."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, ids array<int>): the ids of every whole text, without special tokens."""
     ranks = load_ranks(ranks_path)
     if max(ranks.values(), default=0) >= 1 << 31 - PLACE_BITS:
         raise ValueError("a rank and a place together have to fit in 31 bits")
-    table = rank_map(ranks)
-    rows = text_rows(docs, id_col=id_col, text_col=text_col).select("doc_id", split_words(F.col("text"), pattern).alias("words"))
-    known = word_table(rows.select(F.explode("words").alias("word")), table, table_words)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((known.column("word").combine_chunks().cast(pa.large_string()), known.column("ids").combine_chunks(), ranks))
-
-    def look_up(batches):
-        vocabulary, ids, by_bytes = sent.value
-        flat_ids, starts = np.asarray(ids.flatten(), np.int32), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths(), np.int64))]) if len(ids) else np.zeros(1, np.int64)
-        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
-            words = batch.column("words")
-            counts = np.asarray(words.value_lengths(), np.int64)
-            flat = words.flatten()
-            at = np.asarray(pc.index_in(flat.cast(pa.large_string()), value_set=vocabulary).fill_null(-1), np.int64)
-            lengths = np.where(at >= 0, starts[np.maximum(at, 0) + 1] - starts[np.maximum(at, 0)], 0) if len(ids) else np.zeros(len(at), np.int64)
-            rare = at < 0
-            long = np.flatnonzero(rare & (np.asarray(pc.binary_length(flat), np.int64) > LONG))
-            merged = [[by_bytes[p] for p in merge_word([bytes([c]) for c in flat[int(k)].as_py().encode()], lambda a, b: by_bytes.get(a + b), lambda a, b: a + b)] for k in long]
-            rare[long] = False
-            lengths[long] = [len(m) for m in merged]
+    table, split = rank_map(ranks), Splitter.of(pattern)
+    rows = text_rows(docs, id_col=id_col, text_col=text_col)
+    sent = docs.sparkSession.sparkContext.broadcast((word_table(settle(count_words(rows, split), "word-counts"), table, table_words), ranks))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, by_bytes = sent.value
+        ids = vocabulary.column("ids").combine_chunks()
+        flat_ids = np.append(np.asarray(ids.flatten(), np.int32), np.int32(0))
+        starts = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths(), np.int64))])
+        place = Known(zip(vocabulary.column("word").to_pylist(), range(len(ids)))).__getitem__
+        for piece in pieces(batches, most=PIECE):
+            texts = [split(t.as_py()) for t in piece.column("text")]
+            doc_end = np.cumsum([len(t) for t in texts])
+            flat = [w for t in texts for w in t]
+            at = np.fromiter(map(place, flat), np.int64, len(flat))
+            lengths = np.where(at >= 0, starts[at + 1] - starts[at], 0)
+            lacking = np.flatnonzero(at < 0)
+            merged, rare_at = {}, []
+            for k in lacking.tolist():
+                if len(word := flat[k].encode()) > LONG:
+                    merged[k] = [by_bytes[p] for p in merge_word([bytes([c]) for c in word], lambda a, b: by_bytes.get(a + b), lambda a, b: a + b)]
+                    lengths[k] = len(merged[k])
+                else:
+                    rare_at.append(k)
             ends = np.cumsum(lengths)
-            source = np.repeat(np.where(at >= 0, starts[np.maximum(at, 0)], 0) - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-            values = flat_ids[np.minimum(source, len(flat_ids) - 1)] if len(flat_ids) else np.zeros(len(source), np.int32)
-            for k, m in zip(long, merged):
+            source = np.repeat(np.where(at >= 0, starts[at], 0) - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+            values = flat_ids[np.minimum(source, len(flat_ids) - 1)]
+            for k, m in merged.items():
                 values[ends[k] - len(m) : ends[k]] = m
             # A document is known ids cut at each rare word: one more run of ids than rare words.
-            doc_end = np.cumsum(counts)
-            rare_at = np.flatnonzero(rare)
+            rare_at = np.array(rare_at, np.int64)
             per_doc = np.diff(np.concatenate([[0], np.searchsorted(rare_at, doc_end)]))
             total = np.concatenate([[0], ends])
             cuts = np.sort(np.concatenate([total[rare_at], total[doc_end]]), kind="stable")
             runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]).astype(np.int32)), pa.array(values, pa.int32()))
             run_ends = np.concatenate([[0], np.cumsum(per_doc + 1)]).astype(np.int32)
-            rare_ends = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
+            rare, which = [], []
+            for own in np.split(rare_at, np.cumsum(per_doc)[:-1]):
+                nth: dict[str, int] = {}
+                which.append([nth.setdefault(flat[k], len(nth)) for k in own.tolist()])
+                rare.append(list(nth))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(run_ends), runs), pa.ListArray.from_arrays(pa.array(rare_ends), flat.take(pa.array(rare_at)).cast(pa.string()))],
-                ["doc_id", "runs", "rare"],
+                [piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(run_ends), runs), pa.array(rare, pa.list_(pa.string())), pa.array(which, pa.list_(pa.int32()))],
+                ["doc_id", "runs", "rare", "which"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = rows.mapInArrow(look_up, f"doc_id {kind}, runs array<array<int>>, rare array<string>")
-    rare_ids = F.transform("rare", lambda w: fold_merges(w.cast("binary"), table))
-    joined = F.flatten(F.zip_with("runs", rare_ids, lambda run, more: F.concat(run, F.coalesce(more, F.array().cast("array<int>")))))
+    cut = rows.mapInArrow(look_up, f"doc_id {kind}, runs array<array<int>>, rare array<string>, which array<int>")
+    folded = F.transform("rare", lambda w: fold_merges(w.cast("binary"), table))
+    put = lambda own: F.flatten(F.zip_with("runs", F.col("which"), lambda run, k: F.concat(run, F.coalesce(F.get(own, k), F.array().cast("array<int>")))))
+    # An array of one element, so that the rare words are folded once a document.
+    joined = F.get(F.transform(F.array(folded), put), F.lit(0))
     # Settled, so that no task keeps the workers that look words up beside those that decode or digest ids.
     return settle(cut.select("doc_id", F.when(F.size("rare") == 0, F.flatten("runs")).otherwise(joined).alias("ids")), "ids")
 
