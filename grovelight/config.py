@@ -34,6 +34,8 @@ class RunConfig:
     #: How the compatible readings of ambiguous formulas are chosen.
     oob_denominator: str = "all"
     weighted_gini: str = "lengths"
+    compat_min_reduction: bool = False
+    max_classes: int = 1000
 
     def __post_init__(self):
         if self.mode not in MODES:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import RunConfig
-from .functions.portable import settle
+from .functions.portable import discard, settle
 from .operators import binning, grow, metrics, sampling, score
 
 
@@ -37,34 +37,54 @@ class Forest:
         return score.predict_trees(binning.bin_rows(rows, self.edges, self.n_bins), self.nodes, self.depth)
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """(split, client, row_id, pred) of raw features."""
-        preds = self.predict_trees(rows)
-        if self.mode == "regression":
-            return score.vote_mean(preds)
-        return score.vote_weighted(preds, self.trees.select("split", "tree", "weight")) if self.weighted else score.vote_majority(preds)
+        """(split, client, row_id, pred) of raw features, of a table or a stream; trees vote by their weights if the forest was fitted so."""
+        binned = binning.bin_rows(rows, self.edges, self.n_bins)
+        return score.predict_rows(binned, self.nodes, self.depth, self.mode, self.trees if self.weighted else None)
+
+
+def check_rows(rows: DataFrame) -> int:
+    """Number of features. An empty table, rows of unequal length and missing labels are errors (ValueError)."""
+    k = F.size("features")
+    seen = rows.agg(F.min(k).alias("least"), F.max(k).alias("most"), F.count_if(F.col("y").isNull() | F.isnan("y")).alias("missing")).first()
+    if seen.least is None:
+        raise ValueError("there are no training rows")
+    if seen.least != seen.most:
+        raise ValueError("training rows differ in their number of features")
+    if seen.missing:
+        raise ValueError(f"{seen.missing} training rows have no label")
+    return seen.least
+
+
+def split_weights(rows: DataFrame, classes: tuple[float, ...]) -> DataFrame:
+    """(split, weights): each split's own class weights in order of the classes; 0 for a class that it lacks."""
+    by_class = metrics.class_weights(rows).groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("y", "weight"))).alias("m"))
+    return by_class.select("split", F.array(*[F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)).cast("double") for c in classes]).alias("weights"))
 
 
 def train(rows: DataFrame, config: RunConfig) -> Forest:
-    """Fit all trees of all splits on ``rows`` (split, client, row_id, features, y)."""
+    """Fit all trees of all splits on ``rows`` (split, client, row_id, features, y).
+
+    The rows are read several times: settle them first if they cost much. The classes of all splits, one value
+    each, are collected; more than ``config.max_classes`` are an error. See ``check_rows`` for tables that are refused.
+    """
     spark = rows.sparkSession
-    n_features = rows.select(F.size("features").alias("k")).first().k
+    n_features = check_rows(rows)
     edges = settle(binning.edge_table(rows, config.n_bins, config.quantile), "edges")
-    binned = binning.bin_rows(rows, edges, config.n_bins)
+    binned = settle(binning.bin_rows(rows, edges, config.n_bins).select("split", "client", "row_id", "bins", "y"), "binned")
     classes = weights = None
     if config.mode == "classification":
-        classes = tuple(r.y for r in rows.select("y").distinct().orderBy("y").collect())
-        if config.use_weighted_classes:
-            per_split = metrics.class_weights(rows).collect()
-            if len({r.split for r in per_split}) > 1:
-                raise ValueError("class weights are fitted a split at a time")
-            by_class = {r.y: r.weight for r in per_split}
-            weights = tuple(float(by_class.get(c, 0.0)) for c in classes)
+        classes = tuple(r.y for r in rows.select("y").distinct().orderBy("y").limit(config.max_classes + 1).collect())
+        if len(classes) > config.max_classes:
+            raise ValueError(f"there are more than {config.max_classes} classes")
+        weights = settle(split_weights(rows, classes), "class-weights") if config.use_weighted_classes else None
     features = settle(sampling.feature_subset(spark, config.n_estimators, n_features, sampling.feature_count(config.max_features, n_features), config.random_state), "tree-features")
     sample = settle(sampling.bootstrap(rows, config.n_estimators, config.random_state, config.max_samples, config.bootstrap), "bootstrap")
-    g = grow.Growth(config.n_bins, config.max_depth, config.min_samples_split, config.min_samples_leaf, classes, weights, config.weighted_gini)
-    nodes = grow.grow(grow.initial_assign(binned, sample), features, g)
+    g = grow.Growth(config.n_bins, config.max_depth, config.min_samples_split, config.min_samples_leaf, classes, weights, config.weighted_gini, config.compat_min_reduction)
+    nodes = grow.grow(grow.initial_state(binned, sample), features, g)
     trees = nodes.select("split", "tree").distinct().withColumn("weight", F.lit(1.0))
     if config.oob:
         preds = score.predict_trees(binned, nodes, config.max_depth)
         trees = settle(score.tree_weights(preds, rows, score.oob_rows(rows, sample, config.n_estimators), config.oob_denominator).select("split", "tree", "weight"), "trees")
+    discard(binned)
+    discard(sample)
     return Forest(edges, nodes, trees, config.n_bins, config.max_depth, config.mode, config.oob)

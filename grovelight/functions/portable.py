@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Draws are 32 bits; the top bits of a draw are its bucket, so that bucket order is draw order.
+BUCKET_WIDTH = 1 << 16
+
 _own_dir: list[str] = []
+_settled: dict[int, tuple[DataFrame, str]] = {}
 
 
 def draw(*parts: Column | str | int) -> Column:
@@ -18,27 +22,52 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("bigint")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a temporary one, and only with a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="grovelight-"))
+    return _own_dir[0]
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` (a temporary one only if unset) and read back."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="grovelight-"))
-        folder = _own_dir[0]
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back: lineage ends here, and the table's size is known."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _settled[id(out)] = out, path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a settled table that nothing reads any more."""
+    _, path = _settled.pop(id(df))
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that is not ``taken``, in any case of letters."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
-def dense_number(df: DataFrame, by: list[str], bucket: Column, order: list[Column | str], name: str) -> DataFrame:
-    """``name``: 0-based position of each row within ``by`` in the order (bucket, order).
+def dense_number(df: DataFrame, by: list[str], h: Column, ties: list[Column | str], name: str) -> DataFrame:
+    """``name``: 0-based position of each row within ``by`` in the order (h, ties); ``h`` is a draw.
 
-    One window over ``by`` would sort a whole site in one task. Here rows are numbered inside (by, bucket) and the
-    sizes of the earlier buckets, a small table, are added.
+    One window over ``by`` would sort a whole site in one task. Here rows are numbered inside the buckets of the draw
+    and the sizes of the earlier buckets, 65,536 rows a group at most, are added. The numbers don't depend on the buckets.
     """
-    rows = df.withColumn("__bucket", bucket)
+    rows = df.withColumn("__h", h).withColumn("__bucket", F.floor(F.col("__h") / BUCKET_WIDTH))
     sizes = rows.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
     earlier = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(*by, "__bucket", F.coalesce(earlier, F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(*order)) - 1
-    return rows.withColumn("__inside", inside).join(starts, [*by, "__bucket"]).withColumn(name, (F.col("__start") + F.col("__inside")).cast("bigint")).drop("__bucket", "__start", "__inside")
+    inside = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__h", *ties)) - 1
+    return rows.withColumn("__inside", inside).join(starts, [*by, "__bucket"]).withColumn(name, (F.col("__start") + F.col("__inside")).cast("bigint")).drop("__h", "__bucket", "__start", "__inside")

@@ -1,8 +1,10 @@
 """Level-by-level growth of all trees of all splits together.
 
-The rows are read once a level, for the histogram. Everything else (split scores, child sizes, purity, leaf values)
-follows from the histogram's small tables. ``assign`` is written to the shared folder after each level, which ends its
-lineage; rows of finished leaves drop out of it.
+A data row stands once, with its bins and an array of (tree, slot, multiplicity): the slot numbers the open nodes of a
+tree at this level. The rows are read once a level, for the histogram, where the array is exploded before partial sums,
+and once to move them down. Everything else (split scores, child sizes, purity, leaf values) follows from the
+histogram's small tables. Each level's rows are written to the shared folder, which ends their lineage, and the former
+level's are deleted.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.portable import settle
+from ..functions.portable import discard, settle
 from . import impurity
 
 TREE_NODE = ["split", "tree", "node_id"]
@@ -25,7 +28,8 @@ class Growth:
     min_samples_split: int = 2
     min_samples_leaf: int = 1
     classes: tuple[float, ...] | None = None
-    weights: tuple[float, ...] | None = None
+    #: (split, weights array<double>, one a class), or None.
+    weights: DataFrame | None = None
     lengths: str = "lengths"
     compat_min_reduction: bool = False
 
@@ -36,9 +40,28 @@ def initial_assign(binned: DataFrame, sample: DataFrame) -> DataFrame:
     return joined.withColumn("node_id", F.lit(1).cast("bigint"))
 
 
-def rows_in(sums: Column) -> Column:
-    """Rows of a node from its class counts, summed."""
-    return F.aggregate(sums, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def initial_state(binned: DataFrame, sample: DataFrame) -> DataFrame:
+    """(split, client, bins, y, at): each sampled row once, in the first slot of its trees."""
+    key = ["split", "client", "row_id"]
+    own = sample.groupBy(*key).agg(F.collect_list(F.struct("tree", F.lit(0).alias("slot"), "mult")).alias("at"))
+    return binned.select(*key, "bins", "y").join(own, key).select("split", "client", "bins", "y", "at")
+
+
+def unpacked(state: DataFrame) -> DataFrame:
+    """One row a data row and tree, with ``slot``; only ever the input of partial sums."""
+    return state.select("split", "client", "bins", "y", F.explode("at").alias("a")).select("split", "client", "bins", "y", "a.tree", "a.slot", "a.mult")
+
+
+def moved(state: DataFrame, steps: DataFrame) -> DataFrame:
+    """Rows in the slots of the next level. ``steps``: (split, steps), one row a split, broadcast: by tree and slot the
+    split and the children's slots, null for a leaf; trees times open nodes a tree."""
+
+    def to(x: Column) -> Column:
+        s = F.get(F.get("__steps", x["tree"]), x["slot"])
+        return F.struct(x["tree"].alias("tree"), F.when(F.get("bins", s["feature"]) > s["thr"], s["right"]).otherwise(s["left"]).alias("slot"), x["mult"].alias("mult"))
+
+    at = F.filter(F.transform("at", to), lambda x: x["slot"].isNotNull())
+    return state.join(F.broadcast(steps.withColumnRenamed("steps", "__steps")), "split").withColumn("at", at).drop("__steps")
 
 
 def leaf_value(parts: Column, g: Growth) -> Column:
@@ -77,38 +100,58 @@ def decide(stats: DataFrame, g: Growth) -> DataFrame:
     return stats.withColumns({"is_leaf": small, "left_leaf": ends("left"), "right_leaf": ends("right")})
 
 
-def grow(assign: DataFrame, tree_features: DataFrame, g: Growth) -> DataFrame:
-    """(split, tree, node_id, depth, feature, thr, score, is_leaf, value) of all reachable nodes. No leaf is deeper than max_depth - 1."""
+def grow(state: DataFrame, tree_features: DataFrame, g: Growth) -> DataFrame:
+    """(split, tree, node_id, depth, feature, thr, score, is_leaf, value) of all reachable nodes. No leaf is deeper than max_depth - 1.
+
+    ``state`` is that of ``initial_state``.
+    """
     classes = list(g.classes) if g.classes is not None else None
-    weights = list(g.weights) if g.weights is not None else None
-    assign = settle(assign, "assign")
+    state = settle(state, "state")
+    n_trees = tree_features.agg(F.max("tree")).first()[0] + 1
     nodes: list[DataFrame] = []
     spot = lambda depth, node, feature, thr, score, leaf, value: [F.col("split"), F.col("tree"), node.alias("node_id"), F.lit(depth).alias("depth"), feature.alias("feature"), thr.alias("thr"), score.alias("score"), leaf.alias("is_leaf"), value.alias("value")]
     none_int, none_double = F.lit(None).cast("int"), F.lit(None).cast("double")
+    in_root = lambda df: df.withColumn("node_id", F.col("slot") + F.lit(1).cast("bigint"))
     if g.max_depth == 1:
         first = tree_features.groupBy("tree").agg(F.min("pos").alias("pos"), F.min_by("feature", "pos").alias("feature"))
-        cum = impurity.cumulative(impurity.histogram(assign, first), 1, classes)
+        cum = impurity.cumulative(impurity.histogram(in_root(unpacked(state)), first), 1, classes)
         root = cum.groupBy(*TREE_NODE).agg(F.transform(F.array_sort(F.collect_list(F.struct("client", "total"))), lambda x: x["total"]).alias("t"))
         return settle(root.select(*spot(0, F.col("node_id"), none_int, none_int, none_double, F.lit(True), leaf_value(F.col("t"), g))), "nodes")
+    frontier = None
     for depth in range(1, g.max_depth):
-        cum = settle(impurity.cumulative(impurity.histogram(assign, tree_features), g.n_bins, classes), "cumulative")
-        local = impurity.local_scores(cum, g.n_bins, classes, weights, g.lengths, g.compat_min_reduction)
+        hist = impurity.histogram(unpacked(state).withColumn("node_id", F.col("slot").cast("bigint")), tree_features)
+        cum = impurity.cumulative(hist, g.n_bins, classes).withColumnRenamed("node_id", "slot")
+        cum = settle(in_root(cum) if frontier is None else cum.join(frontier, ["split", "tree", "slot"]), "cumulative")
+        weighted = cum if g.weights is None else cum.join(F.broadcast(g.weights), "split")
+        local = impurity.local_scores(weighted, g.n_bins, classes, None if g.weights is None else F.col("weights"), g.lengths, g.compat_min_reduction)
         best = impurity.best_splits(impurity.global_scores(local))
-        made = settle(decide(child_stats(cum, best, g), g), "decisions")
+        slots = cum.select(*TREE_NODE, "slot").distinct()
+        made = settle(decide(child_stats(cum, best, g), g).join(slots, TREE_NODE), "decisions")
         last = depth == g.max_depth - 1
         kept = made.filter(~F.col("is_leaf"))
         nodes.append(made.select(*spot(depth - 1, F.col("node_id"), F.when(~F.col("is_leaf"), F.col("feature")), F.when(~F.col("is_leaf"), F.col("thr")), F.when(~F.col("is_leaf"), F.col("score")), F.col("is_leaf"), F.when(F.col("is_leaf"), F.col("value")))))
         for side, bit in (("left", 0), ("right", 1)):
             done = kept if last else kept.filter(F.col(f"{side}_leaf"))
             nodes.append(done.select(*spot(depth, F.col("node_id") * 2 + bit, none_int, none_int, none_double, F.lit(True), F.col(f"{side}.value"))))
-        goes_on = kept.filter(~F.col("left_leaf") | ~F.col("right_leaf"))
-        if last or goes_on.isEmpty():
+        if last:
+            break
+        sides = F.explode(F.array(F.struct(F.lit(0).alias("bit"), F.col("left_leaf").alias("ends")), F.struct(F.lit(1).alias("bit"), F.col("right_leaf").alias("ends")))).alias("s")
+        child = F.col("node_id") * 2 + F.col("s.bit")
+        opened = kept.select("split", "tree", F.col("slot").alias("parent"), "node_id", sides).filter(~F.col("s.ends")).select("split", "tree", "parent", "s.bit", child.alias("node_id"))
+        # Slots are numbered inside a tree, so the windows are as small as a tree's level.
+        opened = settle(opened.withColumn("slot", F.row_number().over(Window.partitionBy("split", "tree").orderBy("node_id")) - 1), "frontier")
+        if opened.isEmpty():
             break
-        # One row a frontier node: bounded by trees times 2**depth, whatever the data.
-        step = goes_on.select(*TREE_NODE, "feature", "thr", "left_leaf", "right_leaf")
-        right = F.get("bins", F.col("feature")) > F.col("thr")
-        moved = assign.join(F.broadcast(step), TREE_NODE).filter(F.when(right, ~F.col("right_leaf")).otherwise(~F.col("left_leaf")))
-        assign = settle(moved.withColumn("node_id", F.col("node_id") * 2 + right.cast("bigint")).select(assign.columns), "assign")
+        side = lambda bit, name: F.max(F.when(F.col("bit") == bit, F.col("next"))).alias(name)
+        after = opened.select("split", "tree", F.col("parent").alias("slot"), "bit", F.col("slot").alias("next")).groupBy("split", "tree", "slot").agg(side(0, "left"), side(1, "right"))
+        each = made.select("split", "tree", "slot", "feature", "thr").join(after, ["split", "tree", "slot"], "left")
+        per_tree = each.groupBy("split", "tree").agg(F.array_sort(F.collect_list(F.struct("slot", "feature", "thr", "left", "right"))).alias("x"))
+        by_tree = per_tree.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("tree", "x"))).alias("m"))
+        steps = settle(by_tree.select("split", F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.try_element_at("m", t)).alias("steps")), "steps")
+        former, state = state, settle(moved(state.filter(F.size("at") > 0), steps), "state")
+        discard(former)
+        frontier = opened.select("split", "tree", "slot", "node_id")
+    discard(state)
     out = nodes[0]
     for more in nodes[1:]:
         out = out.unionByName(more)

@@ -33,18 +33,18 @@ def _add(values: list[Column]) -> Column:
     return out
 
 
-def gini(left: Column, total: Column, k: int, weights: list[float] | None = None, lengths: str = "lengths") -> Column:
-    """Gini of a split from class counts; 1.0 if a side is empty. Weights enter the squares; ``lengths`` says whether
-    the sides are divided by their row counts (the computed form) or by their weighted counts (the documented form)."""
-    w = weights or [1.0] * k
+def gini(left: Column, total: Column, k: int, weights: Column | list[float] | None = None, lengths: str = "lengths") -> Column:
+    """Gini of a split from class counts; 1.0 if a side is empty. Weights, one a class, enter the squares; ``lengths`` says
+    whether the sides are divided by their row counts (the computed form) or by their weighted counts (the documented form)."""
+    w = [F.lit(1.0)] * k if weights is None else [F.get(weights, F.lit(i)) for i in range(k)] if isinstance(weights, Column) else [F.lit(x) for x in weights]
     lc = [F.get(left, F.lit(i)) for i in range(k)]
     rc = [F.get(total, F.lit(i)) - F.get(left, F.lit(i)) for i in range(k)]
     nl, nr = _add(lc), _add(rc)
     both = nl + nr
 
     def side(counts: list[Column], n: Column) -> Column:
-        by = n if weights is None or lengths == "lengths" else _add([c * F.lit(x) for c, x in zip(counts, w)])
-        squares = _add([(c * F.lit(x) / by) * (c * F.lit(x) / by) if weights else (c / by) * (c / by) for c, x in zip(counts, w)])
+        by = n if weights is None or lengths == "lengths" else _add([c * x for c, x in zip(counts, w)])
+        squares = _add([(c * x / by) * (c * x / by) if weights is not None else (c / by) * (c / by) for c, x in zip(counts, w)])
         return n / both * (1.0 - squares)
 
     return F.when((nl == 0) | (nr == 0), F.lit(1.0)).otherwise(side(lc, nl) + side(rc, nr))
@@ -70,9 +70,11 @@ def pure(total: Column, classes: list[float] | None) -> Column:
     return (n == 0) | (n * ss - s * s <= 1e-9 * n * ss)
 
 
-def local_scores(cum: DataFrame, n_bins: int, classes: list[float] | None, weights: list[float] | None = None, lengths: str = "lengths", compat_min_reduction: bool = False) -> DataFrame:
+def local_scores(cum: DataFrame, n_bins: int, classes: list[float] | None, weights: Column | list[float] | None = None, lengths: str = "lengths", compat_min_reduction: bool = False) -> DataFrame:
     """(split, client, tree, node_id, pos, feature, thr, score): each site's own scores; 0 for a node pure at the site, the root excepted."""
-    each = cum.select(*NODE, "pos", "feature", "total", F.posexplode("left").alias("thr", "left"))
+    more = [weights.alias("weights")] if isinstance(weights, Column) else []
+    each = cum.select(*NODE, "pos", "feature", "total", *more, F.posexplode("left").alias("thr", "left"))
+    weights = F.col("weights") if more else weights
     if classes is not None:
         score = gini(F.col("left"), F.col("total"), len(classes), weights, lengths)
     else:

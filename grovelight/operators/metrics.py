@@ -34,13 +34,14 @@ def mcc_binary(pairs: DataFrame, truth: str = "y", pred: str = "pred") -> DataFr
     return counts.select(F.when(scale > 0, (tp * tn - fp * fn) / scale).otherwise(0.0).alias("mcc"))
 
 
-def mcc_multiclass(pairs: DataFrame, truth: str = "y", pred: str = "pred") -> DataFrame:
-    """R_K statistic from the confusion counts; 0 where all truths or all predictions are one class."""
-    n = confusion(pairs, truth, pred)
-    t = n.groupBy("y").agg(F.sum("n").cast("double").alias("t"))
-    p = n.groupBy("pred").agg(F.sum("n").cast("double").alias("p"))
-    margins = t.join(p, F.col("y") == F.col("pred"), "full").select(F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("p", F.lit(0.0)).alias("p"))
-    m = margins.agg(F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("p") * F.col("p")).alias("pp"))
-    s = n.agg(F.sum("n").cast("double").alias("s"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).cast("double").alias("c"))
+def mcc_multiclass(pairs: DataFrame, truth: str = "y", pred: str = "pred", by: tuple[str, ...] = ()) -> DataFrame:
+    """R_K statistic from the confusion counts, for each group ``by``; 0 where all truths or all predictions are one class."""
+    n = pairs.groupBy(*by, F.col(truth).alias("y"), F.col(pred).alias("pred")).agg(F.count("*").cast("double").alias("n"))
+    # Confusion counts, one row a class pair, are small: margins are sums over the other class.
+    t = n.groupBy(*by, F.col("y").alias("c")).agg(F.sum("n").alias("t"))
+    p = n.groupBy(*by, F.col("pred").alias("c")).agg(F.sum("n").alias("p"))
+    margins = t.join(p, [*by, "c"], "full").select(*by, F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("p", F.lit(0.0)).alias("p"), F.lit(0.0).alias("n"), F.lit(0.0).alias("hit"))
+    both = margins.unionByName(n.select(*by, F.lit(0.0).alias("t"), F.lit(0.0).alias("p"), "n", F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0.0).alias("hit")))
+    sums = both.groupBy(*by).agg(F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum("n").alias("s"), F.sum("hit").alias("c"))
     scale = F.sqrt(F.col("s") * F.col("s") - F.col("pp")) * F.sqrt(F.col("s") * F.col("s") - F.col("tt"))
-    return s.crossJoin(m).select(F.when(scale > 0, (F.col("c") * F.col("s") - F.col("tp")) / scale).otherwise(0.0).alias("mcc"))  # one row each
+    return sums.select(*by, F.when(scale > 0, (F.col("c") * F.col("s") - F.col("tp")) / scale).otherwise(0.0).alias("mcc"))

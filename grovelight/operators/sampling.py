@@ -10,10 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions.portable import dense_number, draw
 
-BUCKETS = 64
-#: Draws are 32 bits; the top of a draw is its bucket, so that bucket order is draw order.
-BUCKET_WIDTH = (1 << 32) // BUCKETS
-
 
 def feature_count(max_features: str | float | int, n_features: int) -> int:
     if max_features == "sqrt":
@@ -49,7 +45,7 @@ def bootstrap(rows: DataFrame, n_trees: int, seed: int, max_samples: float | int
         picked = draws.select("split", "client", "tree", (draw(seed, "b", F.col("split"), F.col("client"), F.col("tree"), F.col("i")) % F.col("n")).alias("row_id"))
         return picked.groupBy("split", "client", "tree", "row_id").agg(F.count("*").alias("mult"))
     each = rows.select("split", "client", "row_id", trees).withColumn("h", draw(seed, "s", F.col("split"), F.col("client"), F.col("tree"), F.col("row_id")))
-    ranked = dense_number(each, ["split", "client", "tree"], F.floor(F.col("h") / BUCKET_WIDTH), ["h", "row_id"], "nth")
+    ranked = dense_number(each, ["split", "client", "tree"], F.col("h"), ["row_id"], "nth")
     return ranked.join(F.broadcast(sizes.select("split", "client", "m")), ["split", "client"]).filter("nth < m").select("split", "client", "tree", "row_id", F.lit(1).cast("bigint").alias("mult"))
 
 
@@ -61,13 +57,13 @@ def train_test(rows: DataFrame, share: float, seed: int) -> DataFrame:
 def kfold(rows: DataFrame, k: int, seed: int, repeat: int = 0) -> DataFrame:
     """``fold``: position in draw order, modulo k, so folds differ by one row at most."""
     drawn = rows.withColumn("h", draw(seed, "k", repeat, F.col("client"), F.col("row_id")))
-    return dense_number(drawn, ["split"], F.floor(F.col("h") / BUCKET_WIDTH), ["h", "client", "row_id"], "nth").withColumn("fold", (F.col("nth") % k).cast("int")).drop("h", "nth")
+    return dense_number(drawn, ["split"], F.col("h"), ["client", "row_id"], "nth").withColumn("fold", (F.col("nth") % k).cast("int")).drop("h", "nth")
 
 
 def deal_clients(rows: DataFrame, n_clients: int, seed: int) -> DataFrame:
     """``dealt``: contiguous slices of the rows in draw order, one for each site."""
     drawn = rows.withColumn("h", draw(seed, "c", F.col("client"), F.col("row_id")))
-    ranked = dense_number(drawn, ["split"], F.floor(F.col("h") / BUCKET_WIDTH), ["h", "client", "row_id"], "nth")
+    ranked = dense_number(drawn, ["split"], F.col("h"), ["client", "row_id"], "nth")
     sizes = rows.groupBy("split").agg(F.count("*").alias("n"))
     return ranked.join(F.broadcast(sizes), "split").withColumn("dealt", F.floor(F.col("nth") * n_clients / F.col("n")).cast("int")).drop("h", "nth", "n")
 
@@ -75,6 +71,6 @@ def deal_clients(rows: DataFrame, n_clients: int, seed: int) -> DataFrame:
 def shuffle_labels(rows: DataFrame, seed: int) -> DataFrame:
     """Labels permuted within each site: the row at natural position i gets the label at draw position i."""
     drawn = rows.select("split", "client", "row_id", "y").withColumn("h", draw(seed, "l", F.col("client"), F.col("row_id")))
-    order = dense_number(drawn, ["split", "client"], F.floor(F.col("h") / BUCKET_WIDTH), ["h", "row_id"], "nth")
+    order = dense_number(drawn, ["split", "client"], F.col("h"), ["row_id"], "nth")
     labels = order.select("split", "client", F.col("nth").alias("row_id"), F.col("y").alias("new_y"))
     return rows.join(labels, ["split", "client", "row_id"]).withColumn("y", F.col("new_y")).drop("new_y")

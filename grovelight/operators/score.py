@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEY = ["split", "client", "row_id"]
 
 
-def packed_trees(nodes: DataFrame) -> DataFrame:
-    """(split, tree, m): each tree as one map node_id -> (feature, thr, is_leaf, value); a tree has at most 2**depth nodes."""
-    return nodes.groupBy("split", "tree").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("feature", "thr", "is_leaf", "value")))).alias("m"))
+def packed_trees(nodes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(split, forest): one row a split, array of (tree, weight, spots); a spot is a node, its children given by place.
 
+    Places are dense in a tree, so a step down costs one array look-up. A forest has trees times 2**depth spots at most.
+    """
+    node = F.struct("node_id", "feature", "thr", "value")
+    per_tree = nodes.groupBy("split", "tree").agg(F.array_sort(F.collect_list(node)).alias("n"))
+    place = lambda x, bit: (F.array_position(F.transform("n", lambda y: y["node_id"]), x["node_id"] * 2 + bit) - 1).cast("int")
+    spot = lambda x: F.struct(x["feature"].alias("feature"), x["thr"].alias("thr"), place(x, 0).alias("left"), place(x, 1).alias("right"), x["value"].alias("value"))
+    known = per_tree.withColumn("weight", F.lit(1.0)) if weights is None else per_tree.join(weights.select("split", "tree", "weight"), ["split", "tree"])
+    spots = known.select("split", F.struct("tree", "weight", F.transform("n", spot).alias("spots")).alias("t"))
+    return spots.groupBy("split").agg(F.array_sort(F.collect_list("t")).alias("forest"))
 
-def predict_trees(binned: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """(split, client, row_id, tree, pred): every row walks down every tree of its split in its own projection."""
-    start = F.lit(1).cast("bigint")
 
-    def walk(node, _):
-        at = F.element_at("m", node)
-        return F.when(at["is_leaf"], node).otherwise(node * 2 + (F.get("bins", at["feature"]) > at["thr"]).cast("bigint"))
+def leaf_values(depth: int) -> Column:
+    """Array of the trees' answers to a row of ``bins`` and ``forest``."""
+
+    def answer(tree: Column) -> Column:
+        def down(at: Column, _: Column) -> Column:
+            x = F.get(tree["spots"], at)
+            return F.when(x["feature"].isNull(), at).otherwise(F.when(F.get("bins", x["feature"]) > x["thr"], x["right"]).otherwise(x["left"]))
+
+        return F.get(tree["spots"], F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), F.lit(0), down))["value"]
 
-    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), start, walk)
-    return binned.join(F.broadcast(packed_trees(nodes)), "split").select(*KEY, "tree", F.element_at("m", leaf)["value"].alias("pred"))
+    return F.transform("forest", answer)
+
+
+def predict_trees(binned: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """(split, client, row_id, tree, pred): every row walks down every tree of its split in its own projection."""
+    walked = binned.join(F.broadcast(packed_trees(nodes)), "split").withColumn("__preds", leaf_values(depth))
+    pairs = F.arrays_zip(F.transform("forest", lambda t: t["tree"]).alias("tree"), F.col("__preds").alias("pred"))
+    return walked.select(*KEY, F.explode(pairs).alias("p")).select(*KEY, F.col("p.tree").alias("tree"), F.col("p.pred").alias("pred"))
+
+
+def predict_rows(binned: DataFrame, nodes: DataFrame, depth: int, mode: str, weights: DataFrame | None = None) -> DataFrame:
+    """(split, client, row_id, pred): the trees vote inside the row, so nothing is shuffled, in batch or stream.
+
+    Classes: largest sum of weights, added in order of the tree, ties to the smallest class. Regression: mean.
+    """
+    walked = binned.join(F.broadcast(packed_trees(nodes, weights)), "split").withColumn("__preds", leaf_values(depth))
+    if mode == "regression":
+        out = F.aggregate("__preds", F.lit(0.0), lambda a, x: a + x) / F.size("__preds")
+        return walked.select(*KEY, out.alias("pred"))
+    votes = F.zip_with("__preds", "forest", lambda p, t: F.struct(p.alias("pred"), t["weight"].alias("weight")))
+    total = lambda c: F.aggregate(votes, F.lit(0.0), lambda a, v: a + F.when(v["pred"] == c, v["weight"]).otherwise(0.0))
+    ranked = F.transform(F.array_distinct("__preds"), lambda c: F.struct(total(c).alias("s"), (-c).alias("neg")))
+    return walked.select(*KEY, (-F.array_max(ranked)["neg"]).alias("pred"))
 
 
 def vote_majority(preds: DataFrame) -> DataFrame:

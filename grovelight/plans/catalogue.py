@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import evaluate
 from .. import forest as forests
+from .. import run as runs
 from ..config import RunConfig
-from ..functions.portable import settle
+from ..functions.portable import settle, shared_dir
 from ..operators import binning, grow, impurity, metrics, sampling, score
 from ..sources import tables
 from ..streaming.scoring import score_stream
@@ -45,9 +48,17 @@ def r6(c: str):
     return F.round(c, 6).alias(c)
 
 
-L = tables.lineitem_rows
-E = tables.embedding_rows
-P = tables.part_rows
+def L(spark, d) -> DataFrame:
+    """The test tables' rows are settled: numbering them costs a shuffle and a sort, and most queries read them several times."""
+    return settle(tables.lineitem_rows(spark, d), "rows")
+
+
+def E(spark, d) -> DataFrame:
+    return settle(tables.embedding_rows(spark, d), "rows")
+
+
+def P(spark, d) -> DataFrame:
+    return settle(tables.part_rows(spark, d), "rows")
 
 
 def columns_of(arrays: DataFrame, name: str, prefix: str, n: int = 4) -> list:
@@ -74,11 +85,20 @@ def validate_numeric(spark, d):
     return tables.count_missing(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@query("SELECT 4::BIGINT AS n_features, 1::BIGINT AS n_labels")
+@query("SELECT * FROM (VALUES ('same', NULL), ('text', 'train: column p_name is not numeric'), ('width', 'train and test differ in their number of features'), ('no label', 'test: the label column must occur exactly once')) t(pair, refused)")
 def validate_schema(spark, d):
-    rows = L(spark, d).select(*columns_of(None, "features", "f"), F.col("y").alias("label"))
-    tables.check_schema(rows, rows, "label")
-    return spark.range(1).select(F.lit(len(rows.columns) - 1).cast("bigint").alias("n_features"), F.lit(1).cast("bigint").alias("n_labels"))
+    """For pairs of tables, whether they may train and test one forest, and why not."""
+    part, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("part", "lineitem"))
+    sizes = part.select("p_partkey", "p_size")
+    pairs = {"same": (sizes, sizes), "text": (part, part), "width": (sizes, part.select("p_partkey", "p_size", "p_retailprice")), "no label": (sizes, lines.select("l_tax", "l_discount"))}
+
+    def why(train: DataFrame, test: DataFrame) -> str | None:
+        try:
+            tables.check_schema(train, test, "p_size")
+        except ValueError as refused:
+            return str(refused)
+
+    return spark.createDataFrame([(name, why(*pair)) for name, pair in pairs.items()], "pair string, refused string")
 
 
 _T = o.draw(str(SEED), "'t'", "client", "row_id")
@@ -209,7 +229,7 @@ def whole_root(spark: SparkSession, rows: DataFrame, n_bins: int, p: int) -> tup
     return grow.initial_assign(binned(rows, n_bins), sample), features
 
 
-_ROOT = lambda rows, p, n_bins, k, weights=None, min_leaf=1: ",\n".join([rows, o.binned(p, n_bins), f"tf AS (SELECT 0 AS tree, i::INTEGER AS pos, i::INTEGER AS feature FROM range({p}) t(i))", "a1 AS MATERIALIZED (SELECT client, 0 AS tree, 1::BIGINT AS node, 1::BIGINT AS mult, bins, y FROM binned)", o.level(1, n_bins, k, 2, min_leaf, weights)])
+_ROOT = lambda rows, p, n_bins, k, weights=None, min_leaf=1, lengths="lengths": ",\n".join([rows, o.binned(p, n_bins), f"tf AS (SELECT 0 AS tree, i::INTEGER AS pos, i::INTEGER AS feature FROM range({p}) t(i))", "a1 AS MATERIALIZED (SELECT client, 0 AS tree, 1::BIGINT AS node, 1::BIGINT AS mult, bins, y FROM binned)", o.level(1, n_bins, k, 2, min_leaf, weights, lengths)])
 _L_ROOT = _ROOT(o.L_ROWS, 4, BINS, 3)
 _P_ROOT = _ROOT(o.P_ROWS, 2, 5, None)
 _WEIGHTS = [3.0, 1.5, 2.0]
@@ -241,6 +261,12 @@ def gini_weighted(spark, d):
     return impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES), _WEIGHTS).select("client", "feature", "thr", r6("score"))
 
 
+@query(o.with_(_ROOT(o.L_ROWS, 4, BINS, 3, _WEIGHTS, lengths="weights"), select="SELECT client, feature, thr, round(score, 6) AS score FROM s1"))
+def gini_weighted_counts(spark, d):
+    """The documented form: sides divided by their weighted counts."""
+    return impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES), _WEIGHTS, "weights").select("client", "feature", "thr", r6("score"))
+
+
 @query(o.with_(_P_ROOT, select="SELECT client, feature, thr, round(score, 4) AS score FROM s1"))
 def mse_local(spark, d):
     return impurity.local_scores(p_root(spark, d), 5, None).select("client", "feature", "thr", F.round("score", 4).alias("score"))
@@ -285,9 +311,14 @@ def child_stats(spark, d):
     return l_decisions(spark, d).select(F.col("left.n").alias("left_n"), F.col("left.impure").cast("bigint").alias("left_impure"), F.col("right.n").alias("right_n"), F.col("right.impure").cast("bigint").alias("right_impure"))
 
 
-@query(o.with_(_L_ROOT, select="SELECT 1 AS x, li AS left_impure, ri AS right_impure FROM n1"))
+@query(o.with_(_L_ROOT, select="SELECT a.client, 2 + (bins[feature + 1] > thr)::BIGINT AS node_id, count(DISTINCT y) <= 1 AS pure FROM a1 a, b1 GROUP BY ALL"))
 def local_purity(spark, d):
-    return l_decisions(spark, d).select(F.lit(1).alias("x"), F.col("left.impure").cast("bigint").alias("left_impure"), F.col("right.impure").cast("bigint").alias("right_impure"))
+    """Whether each child of the root has one label at most, site by site."""
+    cum = settle(l_root(spark, d), "cumulative")
+    best = impurity.best_splits(impurity.global_scores(impurity.local_scores(cum, BINS, list(L_CLASSES))))
+    own = cum.join(best.select(*grow.TREE_NODE, "pos", "thr"), [*grow.TREE_NODE, "pos"]).withColumn("l", F.get("left", F.col("thr")))
+    sides = F.array(F.struct(F.lit(2).cast("bigint").alias("node_id"), F.col("l").alias("n")), F.struct(F.lit(3).cast("bigint").alias("node_id"), F.zip_with("total", "l", lambda t, x: t - x).alias("n")))
+    return own.select("client", F.explode(sides).alias("s")).select("client", F.col("s.node_id").alias("node_id"), impurity.pure(F.col("s.n"), list(L_CLASSES)).alias("pure"))
 
 
 @query(o.with_(_ROOT(o.L_ROWS, 4, BINS, 3, min_leaf=100), select="SELECT leaf AS is_leaf, lleaf AS left_leaf, rleaf AS right_leaf FROM n1"))
@@ -335,15 +366,23 @@ def forest_regression(spark, d):
     return node_view(forests.train(P(spark, d), P_FOREST).nodes)
 
 
-@query(f"SELECT a.*, s.split FROM ({o.with_(_E_SQL, select=_NODES)}) a, (VALUES ('fold0'), ('fold1')) s(split)")
+_FOLDS = " UNION ALL ".join(f"SELECT *, 'fold{f}' AS split FROM ({o.with_(o.forest(o.e_rows(f'fold{f}', f'vec_id % 2 = {f}'), 4, 64, TREES, 8, SEED, 2, 10, split=f'fold{f}'), select=_NODES)})" for f in (0, 1))
+
+
+@query(_FOLDS)
 def forest_multi_split(spark, d):
-    both = F.explode(F.array(F.lit("fold0"), F.lit("fold1"))).alias("fold")
-    twice = lambda df: df.select("*", both).drop("split").withColumnRenamed("fold", "split")
-    rows = E(spark, d)
-    # Both folds get the draws of split '0', so that they must agree with it and with each other.
-    assign = grow.initial_assign(twice(binned(rows, 4)), twice(sampling.bootstrap(rows, TREES, SEED)))
-    g = grow.Growth(4, 3, classes=tuple(float(i) for i in range(10)))
-    return node_view(grow.grow(assign, sampling.feature_subset(spark, TREES, 64, 8, SEED), g), "split")
+    """Two splits of different rows, fitted together, each by its own edges, draws and nodes."""
+    rows = settle(tables.embedding_rows(spark, d, split=F.concat(F.lit("fold"), (F.col("vec_id") % 2).cast("string"))), "rows")
+    return node_view(forests.train(rows, E_FOREST).nodes, "split")
+
+
+_CW = "cw AS MATERIALIZED (SELECT " + ", ".join(f"max(CASE WHEN y = {c} THEN w END) AS w{c}" for c in range(3)) + " FROM (SELECT y, sum(count(*)) OVER () / count(*)::DOUBLE AS w FROM rows GROUP BY y))"
+_W_SQL = o.forest(o.L_ROWS + ",\n" + _CW, BINS, 4, TREES, 2, SEED, 2, 3, min_leaf=20, m="greatest(round_even(n * 0.5, 0)::BIGINT, 1)", weights=[f"(SELECT w{c} FROM cw)" for c in range(3)])
+
+
+@query(o.with_(_W_SQL, select=_NODES))
+def forest_weighted(spark, d):
+    return node_view(forests.train(L(spark, d), replace(L_FOREST, use_weighted_classes=True)).nodes)
 
 
 def l_trained(spark, d) -> tuple[DataFrame, forests.Forest]:
@@ -374,8 +413,7 @@ tw AS (SELECT tree, accuracy, accuracy / sum(accuracy) OVER () AS weight FROM ac
 @query(o.with_(_L_SQL, o.predictions(2), _OOB, "v AS (SELECT client, row_id, pred, list_reduce(list(weight ORDER BY p.tree), lambda a, b: a + b) AS s FROM preds p JOIN tw USING (tree) GROUP BY client, row_id, pred)", select="SELECT client, row_id, pred FROM v QUALIFY row_number() OVER (PARTITION BY client, row_id ORDER BY s DESC, pred) = 1"))
 def vote_weighted(spark, d):
     rows = L(spark, d)
-    config = RunConfig(**{**L_FOREST.__dict__, "oob": True})
-    return forests.train(rows, config).predict(rows).select("client", "row_id", "pred")
+    return forests.train(rows, replace(L_FOREST, oob=True)).predict(rows).select("client", "row_id", "pred")
 
 
 @query(o.with_(_P_SQL, o.predictions(2), select=f"SELECT client, row_id, round(list_reduce(list(pred ORDER BY tree), lambda a, b: a + b) / {TREES}, 4) AS pred FROM preds GROUP BY client, row_id"))
@@ -397,6 +435,14 @@ def tree_weights(spark, d):
     return score.tree_weights(forest.predict_trees(rows), rows, out_of_bag).select("tree", r6("accuracy"), r6("weight"))
 
 
+@query(o.with_(_L_SQL, o.predictions(2), _OOB, select="SELECT p.tree, round(1 - sum((pred <> y)::INTEGER)::DOUBLE / count(*), 6) AS accuracy FROM preds p JOIN oob USING (client, tree, row_id) GROUP BY p.tree"))
+def oob_accuracy(spark, d):
+    """Errors divided by the out-of-bag rows themselves."""
+    rows, forest = l_trained(spark, d)
+    out_of_bag = score.oob_rows(rows, sampling.bootstrap(rows, TREES, SEED, 0.5), TREES)
+    return score.tree_weights(forest.predict_trees(rows), rows, out_of_bag, "oob").select("tree", r6("accuracy"))
+
+
 def l_pairs(spark, d) -> DataFrame:
     rows, forest = l_trained(spark, d)
     return forest.predict(rows).join(rows, score.KEY).select("y", "pred")
@@ -426,15 +472,20 @@ def mcc_multiclass(spark, d):
     return metrics.mcc_multiclass(l_pairs(spark, d)).select(r6("mcc"))
 
 
-@query("SELECT i::INTEGER AS feature FROM range(64) t(i) WHERE i NOT IN (0, 1)")
+_TF = o.features(TREES, 64, 8, SEED)
+
+
+@query(o.with_(_TF, select=f"SELECT t.i::INTEGER AS tree, g.i::INTEGER AS feature FROM range({TREES}) t(i), range(64) g(i) WHERE NOT EXISTS (SELECT 1 FROM tf WHERE tf.tree = t.i AND tf.feature = g.i)"))
 def set_difference(spark, d):
-    return spark.range(1).select(F.explode(F.array_except(F.sequence(F.lit(0), F.lit(63)), F.array(F.lit(0), F.lit(1)))).alias("feature"))
+    """The features that a tree doesn't use."""
+    every = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(63)), F.collect_list("feature"))).alias("feature")
+    return sampling.feature_subset(spark, TREES, 64, 8, SEED).groupBy("tree").agg(every)
 
 
-@query(o.with_(o.L_ROWS, select="SELECT y FROM rows WHERE client = 0 UNION SELECT y FROM rows WHERE client = 1"))
+@query(o.with_(o.E_ROWS, select="SELECT DISTINCT y FROM rows"))
 def set_union(spark, d):
-    rows = L(spark, d)
-    return rows.filter("client = 0").select("y").union(rows.filter("client = 1").select("y")).distinct()
+    """The classes of all sites."""
+    return E(spark, d).groupBy("client").agg(F.collect_set("y").alias("ys")).agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys")).select(F.explode("ys").alias("y"))
 
 
 @query(o.with_(o.L_ROWS, o.bootstrap(1, SEED), select="SELECT client, row_id FROM rows ANTI JOIN sample USING (client, row_id)"))
@@ -444,10 +495,7 @@ def anti_members(spark, d):
 
 
 def scratch(df: DataFrame) -> str:
-    from ..functions import portable
-
-    settle(df.sparkSession.range(0), "scratch")
-    return f"{df.sparkSession.conf.get('spark.checkpoint.dir', None) or portable._own_dir[0]}/scratch-{uuid.uuid4().hex}"
+    return f"{shared_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
 
 
 @query(o.with_(o.L_ROWS, select="SELECT y AS y_true FROM rows"))
@@ -473,3 +521,57 @@ def stream_score(spark, d):
     run = score_stream(stream, forest).writeStream.format("parquet").option("path", target).option("checkpointLocation", scratch(rows)).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(target).select("client", "row_id", "pred")
+
+
+_CSV = "(p_partkey % 2 + 1)::INTEGER AS client, 'fold' || (p_partkey // 2 % 2) AS split, p_size::DOUBLE AS a, (p_partkey % 50)::DOUBLE AS b, (floor(p_retailprice) % 3)::DOUBLE AS y, p_partkey % 5 = 0 AS is_test FROM part"
+_NUMBERED = f"row_number() OVER (PARTITION BY client ORDER BY {o.draw('a::VARCHAR', 'b::VARCHAR', 'y::VARCHAR').replace(chr(39) + '|' + chr(39), chr(39) + ',' + chr(39))}, a, b, y) - 1 AS row_id, [a, b] AS f"
+
+
+def csv_sites(spark, d) -> str:
+    """Parts as CSV files of two sites and two folds, with training and test rows."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    key = F.col("p_partkey")
+    rows = part.select((key % 2 + 1).cast("int").alias("client"), F.concat(F.lit("fold"), (F.floor(key / 2) % 2).cast("string")).alias("split"), F.col("p_size").cast("double").alias("size (cm)"), (key % 50).cast("double").alias("b"), (F.floor("p_retailprice") % 3).cast("double").alias("kind"), (key % 5 == 0).alias("is_test"))
+    rows, root = settle(rows, "parts"), scratch(part)
+    for client in (1, 2):
+        for fold in ("fold0", "fold1"):
+            for name, wanted in (("train", ~F.col("is_test")), ("test", F.col("is_test"))):
+                own = rows.filter((F.col("client") == client) & (F.col("split") == fold) & wanted)
+                own.select("size (cm)", "b", "kind").write.csv(f"{root}/client{client}/{fold}/{name}.csv", sep=";", header=True)
+    return root
+
+
+C_FOREST = RunConfig(sep=";", label="kind", split_mode="directory", n_bins=5, n_estimators=TREES, max_depth=3, random_state=SEED, max_features=2)
+
+
+@query(f"SELECT split, client, a, b, y FROM (SELECT {_CSV}) WHERE NOT is_test")
+def csv_scan(spark, d):
+    rows = tables.read_csv_sites(spark, f"{csv_sites(spark, d)}/client*/*/train.csv", "kind", ";")
+    return rows.select("split", "client", F.get("features", F.lit(0)).alias("a"), F.get("features", F.lit(1)).alias("b"), "y")
+
+
+_MAJ = "SELECT client, row_id, y, pred FROM preds GROUP BY client, row_id, y, pred QUALIFY row_number() OVER (PARTITION BY client, row_id ORDER BY count(*) DESC, pred) = 1"
+_DIRECTORY = " UNION ALL ".join(f"""SELECT 'fold{f}' AS split, client, row_id, pred FROM ({o.with_(f"own AS (SELECT * FROM (SELECT {_CSV}) WHERE split = 'fold{f}')", o.forest(f"rows AS MATERIALIZED (SELECT client, {_NUMBERED}, y FROM own WHERE NOT is_test)", 5, 2, TREES, 2, SEED, 2, 3, split=f"fold{f}"), f"tests AS (SELECT client, {_NUMBERED}, y FROM own WHERE is_test)", o.bins_of(2, "tests", "tbinned"), o.predictions(2, "tbinned"), select=_MAJ)})""" for f in (0, 1))
+
+
+@query(_DIRECTORY)
+def run_directory_mode(spark, d):
+    """From files to files: the predictions of both folds' test rows, read back from the prediction files."""
+    root = csv_sites(spark, d)
+    runs.run(spark, C_FOREST, root, f"{root}/out")
+    return spark.read.csv(f"{root}/out/{C_FOREST.pred_out}", sep=";", header=True, schema="row_id bigint, pred double, split string, client int")
+
+
+_CV = " UNION ALL ".join(f"""SELECT 'r0-f{f}' AS split, CASE WHEN s * s - pp > 0 AND s * s - tt > 0 THEN round((c * s - tp) / (sqrt(s * s - pp) * sqrt(s * s - tt)), 6) ELSE 0.0::DOUBLE END AS mcc FROM ({o.with_(
+    o.E_ROWS.replace("rows AS", "every AS", 1), f"folded AS MATERIALIZED (SELECT *, (row_number() OVER (ORDER BY {_K}, client, row_id) - 1) % 2 AS fold FROM every)",
+    o.forest(f"rows AS MATERIALIZED (SELECT client, row_number() OVER (PARTITION BY client ORDER BY {o.draw(chr(39) + f'r0-f{f}' + chr(39), 'client', 'row_id')}, row_id) - 1 AS row_id, f, y FROM folded WHERE fold <> {f})", 4, 64, TREES, 8, SEED, 2, 10, split=f"r0-f{f}"),
+    f"tests AS MATERIALIZED (SELECT client, row_id, f, y FROM folded WHERE fold = {f})", o.bins_of(64, "tests", "tbinned"), o.predictions(2, "tbinned"), f"maj AS MATERIALIZED ({_MAJ})",
+    "t AS (SELECT y, count(*)::DOUBLE AS t FROM maj GROUP BY y), p AS (SELECT pred, count(*)::DOUBLE AS p FROM maj GROUP BY pred)",
+    "m AS (SELECT sum(coalesce(t, 0) * coalesce(p, 0)) AS tp, sum(coalesce(t, 0) * coalesce(t, 0)) AS tt, sum(coalesce(p, 0) * coalesce(p, 0)) AS pp FROM t FULL JOIN p ON t.y = p.pred)",
+    "s AS (SELECT count(*)::DOUBLE AS s, count(*) FILTER (WHERE y = pred)::DOUBLE AS c FROM maj)", select="SELECT * FROM m, s")})""" for f in (0, 1))
+
+
+@query(_CV)
+def cv_mcc(spark, d):
+    """Two folds, each fitted without its rows and scored on them."""
+    return evaluate.cross_validate(E(spark, d), E_FOREST, k=2, repeats=1).select("split", r6("mcc"))

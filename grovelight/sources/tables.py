@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from ..functions.portable import dense_number, draw
 
-BUCKETS = 64
-
 
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -35,20 +33,29 @@ def count_missing(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def canonical(df: DataFrame, features: list[Column], y: Column, client: Column, key: list[str], order: list[str], split: Column | None = None) -> DataFrame:
-    """Rows with dense ids per (split, client), in the order of the key's hash bucket and then ``order``."""
+    """Rows with dense ids per (split, client), in the order of the key's draw and then ``order``."""
     rows = df.withColumns({"split": F.lit("0") if split is None else split, "client": client.cast("int"), "features": F.array(*[c.cast("double") for c in features]), "y": y.cast("double")})
-    numbered = dense_number(rows, ["split", "client"], draw(*[F.col(k) for k in key]) % BUCKETS, order, "row_id")
+    numbered = dense_number(rows, ["split", "client"], draw(*[F.col(k) for k in key]), order, "row_id")
     return numbered.select("split", "client", "row_id", "features", "y")
 
 
 def read_csv_sites(spark: SparkSession, pattern: str, label: str, sep: str = ",") -> DataFrame:
-    """One scan of all sites' files: ``client`` and ``split`` come from the path .../client<k>[/<split>]/<file>.csv."""
-    df = spark.read.csv(pattern, sep=sep, header=True, inferSchema=True)
-    names = [c for c in df.columns if c != label]
+    """One scan of all sites' files, as doubles: ``client`` and ``split`` come from the path .../client<k>[/.../<split>]/<file>.csv.
+
+    The header is read once; a value that is no number is an error, a missing one is null. Raises ValueError unless
+    the label occurs exactly once. Rows are numbered within (split, client) in the order of their values' draw.
+    """
+    df = spark.read.csv(pattern, sep=sep, header=True)
+    if df.columns.count(label) != 1:
+        raise ValueError("the label column must occur exactly once")
+    number = lambda c: F.when(F.trim(F.lower(quoted(c))).isin("", "na", "nan"), None).otherwise(quoted(c)).cast("double")
     path = F.col("_metadata.file_path")
-    split = F.regexp_extract(path, r"client\d+/([^/]+)/[^/]+$", 1)
-    located = df.select(F.regexp_extract(path, r"client(\d+)/", 1).cast("int").alias("client"), F.when(split == "", F.lit("0")).otherwise(split).alias("split"), F.array(*[quoted(c).cast("double") for c in names]).alias("features"), quoted(label).cast("double").alias("y"))
-    return dense_number(located, ["split", "client"], F.lit(0), ["features", "y"], "row_id").select("split", "client", "row_id", "features", "y")
+    # A file named .csv may be a folder of part files.
+    folders = F.regexp_replace(F.regexp_extract(path, r"client\d+/(.*)$", 1), r"(^|/)([^/]*\.csv(/.*)?|[^/]*)$", "")
+    split = F.regexp_extract(folders, r"([^/]+)$", 1)
+    located = df.select(F.regexp_extract(path, r"client(\d+)/", 1).cast("int").alias("client"), F.when(split == "", F.lit("0")).otherwise(split).alias("split"), F.array(*[number(c) for c in df.columns if c != label]).alias("features"), number(label).alias("y"))
+    whole = F.concat_ws(",", F.transform("features", lambda x: x.cast("string")), F.col("y").cast("string"))
+    return dense_number(located, ["split", "client"], draw(whole), ["features", "y"], "row_id").select("split", "client", "row_id", "features", "y")
 
 
 def require_sites(rows: DataFrame) -> None:
@@ -63,12 +70,20 @@ def synthetic(spark: SparkSession, rows: int, features: int, classes: list[int]
     return spark.range(rows).select(*[F.rand(seed + 1 + i).alias(n) for i, n in enumerate(names)], target.alias("Target"))
 
 
-def write_predictions(predictions: DataFrame, path: str, sep: str = ",") -> None:
-    predictions.select("pred").write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+def write_column(rows: DataFrame, column: str, path: str, sep: str, by_site: bool) -> None:
+    out = rows.select("split", "client", "row_id", column) if by_site else rows.select(column)
+    writer = out.write.mode("overwrite").option("header", True).option("sep", sep)
+    (writer.partitionBy("split", "client") if by_site else writer).csv(path)
+
+
+def write_predictions(predictions: DataFrame, path: str, sep: str = ",", by_site: bool = False) -> None:
+    """Column ``pred``; ``by_site`` adds row_id and gives each (split, client) a folder of its own."""
+    write_column(predictions, "pred", path, sep, by_site)
 
 
-def write_truth(rows: DataFrame, path: str, sep: str = ",") -> None:
-    rows.select(F.col("y").alias("y_true")).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+def write_truth(rows: DataFrame, path: str, sep: str = ",", by_site: bool = False) -> None:
+    """Column ``y_true``; as ``write_predictions``."""
+    write_column(rows.withColumn("y_true", F.col("y")), "y_true", path, sep, by_site)
 
 
 # The test tables as canonical rows.
@@ -80,9 +95,9 @@ def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(df, [F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")], y, F.col("l_orderkey") % 3, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], df.columns)
 
 
-def embedding_rows(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
+def embedding_rows(spark: SparkSession, sf_dir: str, dims: int = 64, split: Column | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return canonical(df, [F.get("embedding", F.lit(i)) for i in range(dims)], F.col("label"), F.col("vec_id") % 3, ["vec_id"], ["vec_id"])
+    return canonical(df, [F.get("embedding", F.lit(i)) for i in range(dims)], F.col("label"), F.col("vec_id") % 3, ["vec_id"], ["vec_id"], split)
 
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

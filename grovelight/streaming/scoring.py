@@ -3,26 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..forest import Forest
-from ..operators import binning, score
 
 
 def score_stream(rows: DataFrame, forest: Forest) -> DataFrame:
-    """``rows`` (batch or stream; split, client, row_id, features) with ``pred``; the trees of a split are one array of maps."""
-    binned = binning.bin_rows(rows, forest.edges, forest.n_bins)
-    packed = score.packed_trees(forest.nodes).groupBy("split").agg(F.collect_list("m").alias("ms"))
-
-    def pred(m):
-        def walk(node, _):
-            at = F.element_at(m, node)
-            return F.when(at["is_leaf"], node).otherwise(node * 2 + (F.get("bins", at["feature"]) > at["thr"]).cast("bigint"))
-
-        return F.element_at(m, F.aggregate(F.sequence(F.lit(1), F.lit(max(1, forest.depth))), F.lit(1).cast("bigint"), walk))["value"]
-
-    values = F.transform("ms", pred)
-    distinct = F.array_sort(F.array_distinct(values))
-    votes = F.transform(distinct, lambda v: F.size(F.filter(values, lambda x: x == v)))
-    out = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values) if forest.mode == "regression" else F.get(distinct, (F.array_position(votes, F.array_max(votes)) - 1).cast("int"))
-    return binned.join(F.broadcast(packed), "split").select("split", "client", "row_id", out.alias("pred"))
+    """(split, client, row_id, pred) of a stream (or table) of rows: weights, votes and means are those of ``Forest.predict``."""
+    return forest.predict(rows)

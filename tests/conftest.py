@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -10,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    conf = {"spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC"}
-    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    shared = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    conf = {"spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": shared}
+    s = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from grovelight import config, forest
+from grovelight import config, forest, run
 from grovelight.operators import binning, grow, impurity, metrics, sampling
 from grovelight.sources import tables
 
@@ -145,3 +145,39 @@ def test_schema_checks(spark):
 def test_synthetic(spark):
     df = tables.synthetic(spark, 50, 3, [0, 1], 3)
     assert df.columns == ["Feature_1", "Feature_2", "Feature_3", "Target"] and {r.Target for r in df.collect()} == {0, 1}
+
+
+def test_training_refuses_unusable_rows(spark):
+    c = config.RunConfig(n_bins=4, n_estimators=1, max_depth=2)
+    for bad, why in ((grid(spark).filter("false"), "no training rows"), (grid(spark).withColumn("y", F.when(F.col("row_id") > 3, F.col("y"))), "no label"), (grid(spark).withColumn("features", F.slice("features", 1, F.col("client") + 1)), "features")):
+        with pytest.raises(ValueError, match=why):
+            forest.train(bad, c)
+    with pytest.raises(ValueError, match="classes"):
+        forest.train(grid(spark), config.RunConfig(n_bins=4, n_estimators=1, max_classes=1))
+
+
+def test_each_split_has_its_own_class_weights(spark):
+    df = grid(spark).withColumn("split", F.when(F.col("row_id") < 20, "a").otherwise("b"))
+    weights = {r.split: r.weights for r in forest.split_weights(df, (0.0, 1.0, 2.0)).collect()}
+    for split, w in weights.items():
+        n = {r.y: r.n for r in df.filter(F.col("split") == split).groupBy("y").agg(F.count("*").alias("n")).collect()}
+        assert w == pytest.approx([sum(n.values()) / n[0.0], sum(n.values()) / n[1.0], 0.0])
+    both = forest.train(df, config.RunConfig(n_bins=4, n_estimators=2, max_depth=3, use_weighted_classes=True)).nodes
+    assert {r.split for r in both.collect()} == {"a", "b"}
+
+
+def test_run_of_files(spark, tmp_path):
+    for client in (1, 2):
+        d = tmp_path / f"client{client}"
+        d.mkdir()
+        for name, n in (("train.csv", 40), ("test.csv", 10)):
+            (d / name).write_text("a,b,target\n" + "".join(f"{i % 7},{i % 5},{int(i % 7 > 3)}\n" for i in range(n)))
+    c = config.RunConfig(n_bins=7, n_estimators=3, max_depth=3, max_features=2, oob=True)
+    done = run.run(spark, c, str(tmp_path), str(tmp_path / "out"))
+    assert done.predictions.count() == 20 and done.forest.weighted
+    pred = spark.read.csv(f"{tmp_path}/out/pred.csv", header=True, inferSchema=True)
+    truth = spark.read.csv(f"{tmp_path}/out/y_true.csv", header=True, inferSchema=True)
+    assert pred.join(truth, ["split", "client", "row_id"]).filter("pred = y_true").count() == 20
+    (tmp_path / "client2" / "train.csv").rename(tmp_path / "client2" / "other.csv")
+    with pytest.raises(RuntimeError):
+        run.run(spark, c, str(tmp_path))
