@@ -117,7 +117,7 @@ def count_words(rows: DataFrame, split: Splitter) -> DataFrame:
         counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            short = [w for w in counts if len(w.encode()) <= LONG]
+            short = [w for w in counts if 4 * len(w) <= LONG or len(w.encode()) <= LONG]
             return pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(list(map(counts.get, short)), pa.int64())], ["word", "n"])
 
         for piece in pieces(batches, most=PIECE):
