@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import fresh, settle
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -34,15 +34,21 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
+def host_of(url: Column) -> Column:
+    """Lower-case host of a url, without user and port; null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)), F.lit(""))
+
+
 def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
-    """``pages`` with boilerplate lines cut from ``text_col``; ``counts`` adds n_lines and n_dropped."""
+    """``pages`` with boilerplate lines cut from ``text_col``; ``counts`` sets n_lines and n_dropped, in place of such columns."""
     text = F.col(text_col)
+    at, list_, split, kept = (fresh(pages.columns, name) for name in ("__host", "__lines", "__split", "__kept"))
     # Settled, so Spark knows its size and broadcasts it only while it is under the session's threshold.
     found = settle(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    joined = pages.join(found, F.coalesce(F.concat(F.lit("="), host), F.lit("")) == F.col("__host"), "left")
-    split = F.split(text, "\n", -1)
-    kept = F.when(F.col("__lines").isNull(), split).otherwise(F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__lines"), digest(x))))
-    more = {"n_lines": F.coalesce(F.size("__split"), F.lit(0)), "n_dropped": F.coalesce(F.size("__split") - F.size("__kept"), F.lit(0))} if counts else {}
-    out = joined.withColumns({"__split": split, "__kept": kept}).withColumns(more | {text_col: F.array_join("__kept", "\n")})
-    return out.drop("__host", "__lines", "__split", "__kept")
+    found = found.select(F.col("host").alias(at), F.col("lines").alias(list_))
+    joined = pages.withColumn(split, F.coalesce(F.concat(F.lit("="), host), F.lit(""))).join(found, F.col(split) == F.col(at), "left")
+    parts = F.split(text, "\n", -1)
+    good = F.when(F.col(list_).isNull(), parts).otherwise(F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(list_), digest(x))))
+    more = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size(split) - F.size(kept), F.lit(0))} if counts else {}
+    out = joined.withColumns({split: parts, kept: good}).withColumns(more | {text_col: F.array_join(kept, "\n")})
+    return out.drop(at, list_, split, kept)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,20 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="grovelight-"))
-    return _own_dir[0]
+from ..functions import portable
+from ..functions.portable import discard, fresh, shared_dir  # noqa: F401
 
 
 def settle(df: DataFrame, name: str, *folders: str) -> DataFrame:
@@ -31,8 +21,10 @@ def settle(df: DataFrame, name: str, *folders: str) -> DataFrame:
 
     The columns ``folders``, last in ``df``, become folders: reading some of their values leaves out other files.
     """
+    if not folders:
+        return portable.settle(df, name)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
