@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import WordHash, mix, pieces, settle, text_rows
+from .shared import WordHash, discard, fresh, mix, pieces, settle, text_rows
 
 WORDS = 5
 BANDS = 24
@@ -116,14 +116,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): the least vertex that each vertex of the edges (a, b) reaches. Neighbour minimum, then pointer jump."""
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).select(F.col("a").alias("v"), "comp"), "labels")
+    labels = table = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).select(F.col("a").alias("v"), "comp"), "labels")
     while True:
         seen = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         nearer = labels.join(seen, F.col("v") == F.col("a")).select("v", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("comp").alias("far"))
         after = settle(nearer.join(jump, "low").select("v", F.least("low", "far").alias("comp"), (F.least("low", "far") != F.col("comp")).alias("moved")), "labels")
-        labels = after.select("v", "comp")
+        discard(table)
+        labels, table = after.select("v", "comp"), after
         if after.filter("moved").isEmpty():
+            discard(both)
             return labels
 
 
@@ -206,6 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, that of the smallest id; all columns stay. Repeated rows of it stay once."""
-    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    gone = judge(numbered, F.col("__row"), percent, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return numbered.join(settle(gone, "near-duplicates"), "__row", "left_anti").drop("__row")
+    at = fresh(docs.columns, "__row")
+    numbered = settle(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    gone = judge(numbered, F.col(at), percent, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias(at))
+    return numbered.join(settle(gone, "near-duplicates"), at, "left_anti").drop(at)
