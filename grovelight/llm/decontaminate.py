@@ -1,13 +1,13 @@
 """Operator 3: benchmark decontamination by spaced-seed hashing.
 
 Tokens are lower-case words without punctuation at their ends. Fixed masks over ``SPAN`` tokens ignore some
-positions; each mask gives a hash at every position of every test item and every whole document. A bitmap of fixed
-size, built from the items' hashes, keeps only document positions that may match; a join on the hash finds which do.
-Around a hit, document and item are laid side by side at the hit's offset and the best run of agreeing tokens is
-measured, where a substitution costs ``COST`` tokens. A run of ``least`` agreeing tokens (or four fifths of a shorter
-item) is a leak.
+positions; each mask gives a hash at every position of every test item and every whole document. An item of fewer
+tokens is one seed of all of them. A bitmap, sized to the number of seeds up to a fixed limit, keeps only document
+positions that may match; a join on the hash finds which do. Around a hit, document and item are laid side by side at
+the hit's offset and the best run of agreeing tokens is measured, where a substitution costs ``COST`` tokens. A run of
+``least`` agreeing tokens (four fifths of an item of under ``least`` / 0.8 tokens, the whole of one under ``SPAN``) is a leak.
 
-Defined cases: null and empty texts hold nothing and leak nothing; items under ``SPAN`` tokens say too little and
+Defined cases: null and empty texts hold nothing and leak nothing; items under ``shortest`` tokens say too little and
 match nothing; items of the same tokens count as one, under their smallest id; equal texts are verified once and each
 of their rows is reported; with an empty table on either side there are no leaks; other columns are ignored.
 """
@@ -21,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHash, mix, pieces, settle
+from .shared import WordHash, fresh, mix, pieces, settle
 
 #: Fixed masks: 1 is read, 0 is ignored.
 MASKS = ("1111111111", "1110111011", "1101101111", "1011110111")
 SPAN = 10
 LEAST = 13
 COST = 3
-BITMAP_BITS = 24
+#: Items under this many tokens match nothing.
+SHORTEST = 5
+#: The bitmap has 16 bits a seed, 2**16 at least and 2**27 (16 MB) at most.
+BITS = (16, 27)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡"
 
 
@@ -47,48 +50,52 @@ class TokenHash(WordHash):
         return h[h != 0]
 
 
-def seed_hashes(tokens: np.ndarray) -> np.ndarray:
-    """(masks, positions) hashes of the windows of ``SPAN`` tokens."""
-    n = max(0, len(tokens) - SPAN + 1)
-    out = np.empty((len(MASKS), n), np.uint64)
-    for m, mask in enumerate(MASKS):
-        h = np.full(n, m + 1, np.uint64)
-        for i in range(SPAN):
-            if mask[i] == "1":
-                h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + n]
-        out[m] = mix(h)
-    return out
+def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
+    """Hash of the mask's window at every position."""
+    n = max(0, len(tokens) - len(mask) + 1)
+    h = np.full(n, int(mask, 2), np.uint64)
+    for i in range(len(mask)):
+        if mask[i] == "1":
+            h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + n]
+    return mix(h)
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """Masks for an item of n tokens."""
+    return MASKS if n >= SPAN else ("1" * n,) if n else ()
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def item_tables(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, tokens array<long>, seeds array<long>), items of equal tokens once. seeds: mask after mask."""
+def item_tables(items: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
+    """(item_id, tokens array<long>, seeds array<long>, places array<int>), items of equal tokens once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = TokenHash()
         for batch in batches:
             tokens = [words.tokens(t or "") for t in batch.column("text").to_pylist()]
+            seeds = [[seed_hashes(t, m).view(np.int64) for m in masks_of(len(t))] for t in tokens]
+            joined = lambda own, empty: np.concatenate(own) if own else empty
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id"), pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64())), pa.array([seed_hashes(t).ravel().view(np.int64) for t in tokens], pa.list_(pa.int64()))],
-                ["item_id", "tokens", "seeds"],
+                [batch.column("item_id"), pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64())), pa.array([joined(s, np.zeros(0, np.int64)) for s in seeds], pa.list_(pa.int64())), pa.array([joined([np.arange(len(x), dtype=np.int32) for x in s], np.zeros(0, np.int32)) for s in seeds], pa.list_(pa.int32()))],
+                ["item_id", "tokens", "seeds", "places"],
             )
 
     kind = items.schema[id_col].dataType.simpleString()
-    rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, tokens array<bigint>, seeds array<bigint>")
-    return rows.filter(F.size("tokens") >= SPAN).groupBy("tokens").agg(F.min("item_id").alias("item_id"), F.first("seeds").alias("seeds"))
+    rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, tokens array<bigint>, seeds array<bigint>, places array<int>")
+    return rows.filter(F.size("tokens") >= shortest).groupBy("tokens").agg(F.min("item_id").alias("item_id"), F.first("seeds").alias("seeds"), F.first("places").alias("places"))
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bitmap of the top bits of the hashes: 2**BITMAP_BITS bits at most, however many hashes."""
-    top = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the top ``bits`` bits of the hashes."""
+    top = F.shiftrightunsigned("hash", 64 - bits)
     parts = hashes.select(F.bitmap_bucket_number(top).alias("bucket"), F.bitmap_bit_position(top).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros(1 << BITMAP_BITS, np.bool_)
+    out = np.zeros(1 << bits, np.bool_)
     for part in parts:  # bucket 1 starts at value 1; bucket 0 holds value 0
-        bits = np.unpackbits(np.frombuffer(bytes(part.bits), np.uint8), bitorder="little")
-        at = (part.bucket - 1) * 32768 + 1 + np.flatnonzero(bits) if part.bucket > 0 else np.zeros(1, np.int64)
+        set_ = np.unpackbits(np.frombuffer(bytes(part.bits), np.uint8), bitorder="little")
+        at = (part.bucket - 1) * 32768 + 1 + np.flatnonzero(set_) if part.bucket > 0 else np.zeros(1, np.int64)
         out[at[at < len(out)]] = True
     return np.packbits(out, bitorder="little")
 
@@ -103,37 +110,40 @@ def best_run(a: np.ndarray, b: np.ndarray) -> int:
     return int(same[start:end].sum())
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
     """(key, doc_id, item_id, matched): each document that holds a benchmark item or a large part of one; key is text_key."""
     spark = docs.sparkSession
-    test = settle(item_tables(items, item_col, item_text), "test-items")
-    positions = F.size("tokens") - SPAN + 1
-    test_seeds = test.select("item_id", positions.alias("n"), F.posexplode("seeds").alias("k", "hash")).select("hash", "item_id", (F.col("k") % F.col("n")).alias("item_pos"))
-    longest = test.agg(F.max(F.size("tokens"))).first()[0] or 0
-    sent = spark.sparkContext.broadcast((bitmap(test_seeds), longest))
+    test = settle(item_tables(items, item_col, item_text, shortest), "test-items")
+    test_seeds = test.select("item_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("hash"), "item_id", F.col("s.places").alias("item_pos"))
+    size = F.size("tokens")
+    seen = test.agg(F.max(size).alias("longest"), F.sum(F.size("seeds")).alias("seeds"), F.collect_set(F.when(size < SPAN, size)).alias("short"), F.max(size >= SPAN).alias("long")).first()
+    masks = (MASKS if seen.long else ()) + tuple("1" * n for n in sorted(seen.short))
+    bits = min(max(BITS[0], (16 * (seen.seeds or 0)).bit_length()), BITS[1])
+    sent = spark.sparkContext.broadcast((bitmap(test_seeds, bits), seen.longest or 0))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, reach = sent.value
+        held, reach = sent.value
         words = TokenHash()
         for piece in pieces(batches):
             docs_tokens = [words.tokens(t) for t in piece.column("text").to_pylist()]
             tokens = np.concatenate([*docs_tokens, np.zeros(0, np.uint64)])
             ends = np.cumsum([len(t) for t in docs_tokens])
-            seeds = seed_hashes(tokens)
-            top = seeds >> np.uint64(64 - BITMAP_BITS)
-            hit = (bits[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1
-            mask, pos = np.nonzero(hit)
-            doc = np.searchsorted(ends, pos, side="right")
-            inside = pos + SPAN <= ends[np.minimum(doc, len(ends) - 1)]
-            mask, pos, doc = mask[inside], pos[inside], doc[inside]
+            seeds, pos, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for mask in masks:
+                h = seed_hashes(tokens, mask)
+                top = h >> np.uint64(64 - bits)
+                at = np.flatnonzero((held[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
+                own = np.searchsorted(ends, at, side="right")
+                inside = at + len(mask) <= ends[np.minimum(own, len(ends) - 1)]
+                seeds.append(h[at[inside]]), pos.append(at[inside]), doc.append(own[inside])
+            seeds, pos, doc = (np.concatenate(x) for x in (seeds, pos, doc))
             order = np.argsort(doc, kind="stable")
+            found, first = np.unique(doc[order], return_index=True)
             rows: list[tuple] = []
-            for d, at in zip(*np.unique(doc[order], return_index=True)):
-                own = order[at : at + np.searchsorted(doc[order][at:], d, side="right")]
+            for d, own in zip(found, np.split(order, first[1:])):
                 begin = ends[d] - len(docs_tokens[d])
-                first, last = pos[own].min() - begin, pos[own].max() - begin
-                start, stop = max(0, first - reach), last + SPAN + reach
-                rows.append((d, docs_tokens[d][start:stop].view(np.int64), seeds[mask[own], pos[own]].view(np.int64), (pos[own] - begin - start).astype(np.int32)))
+                start, stop = max(0, pos[own].min() - begin - reach), pos[own].max() - begin + SPAN + reach
+                rows.append((d, docs_tokens[d][start:stop].view(np.int64), seeds[own].view(np.int64), (pos[own] - begin - start).astype(np.int32)))
             if rows:
                 at = pa.array([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays(
@@ -158,12 +168,13 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
         return pa.array(out, pa.int32())
 
     side = pairs.join(texts.select("key", "tokens"), "key").join(test.select("item_id", F.col("tokens").alias("item")), "item_id")
-    need = F.least(F.lit(least), F.ceil(F.size("item") * 0.8).cast("int"))
+    need = F.when(F.size("item") < SPAN, F.size("item")).otherwise(F.least(F.lit(least), F.ceil(F.size("item") * 0.8).cast("int")))
     sure = side.withColumn("matched", matched("tokens", "item", "offset")).filter(F.col("matched") >= need).groupBy("key", "item_id").agg(F.max("matched").alias("matched"))
     return found.select("key", "doc_id").join(sure, "key")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that leak; all columns and all other rows are kept."""
-    bad = settle(leaks(docs, items, id_col=id_col, text_col=text_col).select(F.col("key").alias("__key")).distinct(), "leaking-texts")
-    return docs.withColumn("__key", text_key(F.col(text_col))).join(bad, "__key", "left_anti").drop("__key")
+    at = fresh(docs.columns, "__key")
+    bad = settle(leaks(docs, items, id_col=id_col, text_col=text_col).select(F.col("key").alias(at)).distinct(), "leaking-texts")
+    return docs.withColumn(at, text_key(F.col(text_col))).join(bad, at, "left_anti").drop(at)
