@@ -11,18 +11,21 @@ the words around them; repeated rows each give a row; an empty table gives none;
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 
+from .letters import Splitter, ranges
 from .merges import merge_word
 from .shared import text_rows
 
-#: Unicode's White_Space.
-SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Capitals whose small letters Unicode 15.1 lacks, and the first of those, by range.
+CAPITALS = {"1C89": "1C8A", "A7CB": "264", "A7CC": "A7CD", "A7CE": "A7CF", "A7D2": "A7D3", "A7D4": "A7D5", "A7DA": "A7DB", "A7DC": "19B", "10D50-10D65": "10D70", "16EA0-16EB8": "16EBB"}
+#: Combining marks that the tokenizer's normaliser, which is older, takes for starters.
+NEWER_MARKS = "7FD 899-89B 8CF-8D3 C3C D3B-D3C EBA 1715 1ABF-1AC0 1AC3-1AC4 1ACA 1DF6-1DFA A82C 10EFD-10EFF 10F46-10F47 10F4B 10F4D-10F50 10F83 10F85 11070 1133B 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E4EC-1E4EE"
 REMEMBERED = 300_000
 
 
@@ -69,9 +72,21 @@ def whole_tokens(vocabulary: dict[str, int], merges: dict[tuple[str, str], int],
     return frozenset(out)
 
 
+LOWER = {c: int(small, 16) + c - a for spec, small in CAPITALS.items() for a, b in ranges(spec) for c in range(a, b + 1)}
+cut_at_marks = re.compile("([" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges(NEWER_MARKS)) + "])").split
+capital = re.compile("[" + "".join(f"\\U{c:08x}" for c in LOWER) + "]").search
+
+
 def lower(text: str) -> str:
     """Lower case letter by letter: no final-sigma rule, as the tokenizer does it."""
-    return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+    low = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+    return low.translate(LOWER) if not low.isascii() and capital(low) else low
+
+
+def composed(text: str) -> str:
+    """NFC, where marks newer than the tokenizer's tables neither move nor compose."""
+    parts = cut_at_marks(text)
+    return unicodedata.normalize("NFC", text) if len(parts) == 1 else "".join(unicodedata.normalize("NFC", x) for x in parts)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,20 +97,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, *, id_col: st
     merges = {tuple(pair if isinstance(pair, list) else pair.split(" ")): rank for rank, pair in enumerate(model["merges"])}
     end = model["end_of_word_suffix"]
     specials = [t["content"] for t in spec["added_tokens"]]
-    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
+    words = Splitter.of(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
     sent = docs.sparkSession.sparkContext.broadcast((merges, end, whole_tokens(model["vocab"], merges, end)))
 
     def count(batches):
         counts = WordCounts(*sent.value)
-        words, cut = regex.compile(pattern).findall, regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))).split
+        cut = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))).split
         get = counts.__getitem__
 
         def of(text: str) -> int:
             parts = cut(text) if any(s in text for s in specials) else [text]
             n = len(parts) - 1
             for part in parts:
-                part = part if part.isascii() else unicodedata.normalize("NFC", part)
-                n += sum(map(get, words(lower(part))))
+                n += sum(map(get, words(lower(part if part.isascii() else composed(part)))))
             return n
 
         for batch in batches:
