@@ -6,8 +6,8 @@ against its address and against the header's digest and length, and so rebuilds
 payloads of at least ``min_bytes`` the record of the smallest page id is the response and the others revisit it.
 
 Defined cases: a null html is an empty payload; a null url gives no target line; line ends in a url are
-percent-encoded; rows repeated with the response's id are responses too, and the payload is still stored once; a page
-without an id revisits a page with one, or is a response if there is none; empty tables give empty archives.
+percent-encoded; rows repeated with the response's id are responses too, and the payload is still stored once; ids may be
+numbers or text (an empty text id reads back as null); a page without an id revisits a page with one, or is a response if there is none; empty tables give empty archives.
 """
 
 from __future__ import annotations
@@ -38,15 +38,17 @@ def sha256(payload: Column) -> Column:
 
 
 def record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+    """The id as text, percent-encoded where a header line would break."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("")), F.lit(">"))
 
 
 @dataclass(frozen=True)
 class Archive:
-    """Paths of an archive's two tables."""
+    """Paths of an archive's two tables, and the type of its page ids."""
 
     records: str
     payloads: str
+    id_type: str
 
 
 def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = DATE) -> Archive:
@@ -71,7 +73,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         line("Content-Length", F.when(response, F.col("size")).otherwise(F.lit(0)).cast("string")),
         F.lit(END),
     )
-    archive = Archive(f"{path}/records", f"{path}/payloads")
+    archive = Archive(f"{path}/records", f"{path}/payloads", pages.schema[id_col].dataType.simpleString())
     decided.select(F.encode(head, "UTF-8").alias("head"), "address").write.option("compression", "zstd").parquet(archive.records)
     rows.groupBy(sha256(F.col("payload")).alias("address")).agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(archive.payloads)
     return archive
@@ -81,7 +83,7 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """(page_id, record_type, refers_to, head, payload): every record with its full payload, checked; a wrong one is an error."""
     text = F.decode(F.col("head"), "UTF-8")
     field = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
-    number = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: <urn:page:([^>]*)>\r\n", 1), F.lit("")).cast("long")
+    number = lambda name: F.url_decode(F.nullif(F.regexp_extract(text, rf"\r\n{name}: <urn:page:([^>]*)>\r\n", 1), F.lit(""))).cast(archive.id_type)
     records = spark.read.schema("head binary, address binary").parquet(archive.records)
     payloads = spark.read.schema("address binary, payload binary").parquet(archive.payloads)
     sound = payloads.withColumn("digest", base32(sha1(F.col("payload")))).withColumn("address", F.when(sha256(F.col("payload")) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.lit("a payload differs from its address"))))
