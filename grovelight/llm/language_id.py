@@ -128,4 +128,5 @@ def predict(docs: DataFrame, model: Filter | None, *more: str | Column, id_col:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return remainder(id_col, 4) == 2
+    """A document without an id is not held out."""
+    return F.coalesce(remainder(id_col, 4) == 2, F.lit(False))
