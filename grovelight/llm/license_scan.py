@@ -1,9 +1,11 @@
 """Operator 9: license scan by conditional compression.
 
-A candidate block is a line (of a long line, a sentence) with a word that license notices use. It is compressed on its
+Texts are read as words, so line breaks and comment marks don't matter. Three neighbouring words of a template are a
+hit; the stretches where hit templates would lie, merged where they overlap, are the candidate blocks. A block is compressed on its
 own and once with each template as a zstandard raw dictionary; the templates are ranked by how much that saves. Going
-down the ranking, the first template whose wording the block really holds wins: words are aligned, every word of the
-template that is missing counts as a difference, and a missing number or short marker (such as NC) never is allowed.
+down the ranking, a template is confirmed if the block really holds its wording: words are aligned, and every word of
+the template that is missing counts as a difference. A tenth of the words may differ, one at least, but a missing
+number or telling word (such as NC) never. All templates confirmed at places that don't overlap are returned.
 
 Defined cases: null and empty texts have no block; a block that no template explains is returned without a license;
 repeated rows each give their rows; an empty table gives none; other columns are ignored.
@@ -16,85 +18,146 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_rows
+from .shared import pieces, text_rows
 
-#: Words that mark a candidate block, and short notices by SPDX identifier.
-MARKS = ("licen", "copyright", "warrant", "redistribut", "public domain", "hereby granted", "spdx", "all rights reserved")
+#: Published texts and notices by SPDX identifier.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\""
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons Attribution{0} 4.0 International License."
 TEMPLATES = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "AGPL-3.0-or-later": [_GNU.format("Affero General Public License", 3)],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_TAIL}"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", _CC.format("")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", _CC.format("-NonCommercial")],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", _CC.format("-ShareAlike")],
     "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0-or-later": [_GNU.format("General Public License", 2), "SPDX-License-Identifier: GPL-2.0-or-later"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
+    "GPL-3.0-or-later": [_GNU.format("General Public License", 3), "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
+    "LGPL-3.0-or-later": [_GNU.format("Lesser General Public License", 3)],
+    "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
-LONG_LINE = 1000
 ALLOWED = 0.1
+#: Neighbouring words of a template that make a hit.
+GRAM = 3
 #: Words without which a wording is another license's.
-TELLING = re.compile(r"\d|^(nc|sa|nd|by|mit|bsd|apache|mozilla|affero|lesser|noncommercial|sharealike|attribution)$")
+TELLING = re.compile(r"\d|^(nc|sa|nd|by|cc|mit|bsd|isc|gnu|gpl|apache|mozilla|affero|lesser|noncommercial|sharealike|attribution|neither|later)$")
 
-words = re.compile(r"[A-Za-z]+|\d+(?:\.\d+)*").findall
+word = re.compile(r"[A-Za-z]+|\d+(?:\.\d+)*")
 
 
-def differences(template: list[str], block: list[str]) -> list[str]:
-    """Words of the template that the block lacks or has elsewhere, after aligning both word by word."""
-    matcher = difflib.SequenceMatcher(None, template, block, autojunk=False)
-    return [w for op, a, b, _, _ in matcher.get_opcodes() if op in ("replace", "delete") for w in template[a:b]]
+def aligned(template: list[str], block: list[str]) -> tuple[list[str], int, int]:
+    """Words of the template that the block lacks or has elsewhere, after aligning both word by word; first and end place of the others."""
+    ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
+    same = [(a, b) for op, _, _, a, b in ops if op == "equal"]
+    return [w for op, a, b, _, _ in ops if op in ("replace", "delete") for w in template[a:b]], same[0][0] if same else 0, same[-1][1] if same else 0
 
 
 class Scanner:
-    """Compressors of all templates, made once a task."""
+    """Compressors and word triples of all templates, made once a task."""
 
     def __init__(self, templates: dict[str, list[str]]):
         texts = sorted((name, text) for name, own in templates.items() for text in own)
         self.names = [n for n, _ in texts]
-        self.words = [[w.lower() for w in words(t)] for _, t in texts]
+        self.words = [word.findall(t.lower()) for _, t in texts]
         kind = zstandard.DICT_TYPE_RAWCONTENT
-        self.with_each = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=kind), write_content_size=False, write_dict_id=False) for _, t in texts]
+        self.with_each = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode().ljust(8), dict_type=kind), write_content_size=False, write_dict_id=False) for w in self.words]
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
-        self.of = lru_cache(20_000)(self.scan)
-
-    def scan(self, block: str) -> tuple[str | None, float, list[str]]:
-        data = block.lower().encode("utf-8", "surrogatepass")
+        self.ids: dict[str, int] = {}
+        self.places: dict[int, list[tuple[int, int]]] = {}
+        size = min(GRAM, *map(len, self.words)) if self.words else GRAM
+        self.gram = max(1, size)
+        for k, own in enumerate(self.words):
+            ids = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in own], np.int64)
+            for i, g in enumerate(self.grams(ids).tolist()):
+                self.places.setdefault(g, []).append((k, i))
+        self.known = np.array(sorted(self.places), np.int64)
+        self.of = lru_cache(20_000)(self.confirm)
+
+    def grams(self, ids: np.ndarray) -> np.ndarray:
+        n = max(0, len(ids) - self.gram + 1)
+        out = np.zeros(n, np.int64)
+        for i in range(self.gram):
+            out = out << 20 | ids[i : i + n]
+        return out
+
+    def blocks(self, found: list[str]) -> list[tuple[int, int]]:
+        """Candidate stretches of the words, merged where they overlap."""
+        get = self.ids.get
+        grams = self.grams(np.fromiter((get(w, 0) for w in found), np.int64, len(found)))
+        if not len(self.known):
+            return []
+        at = np.searchsorted(self.known, grams)
+        hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == grams)
+        spans = []
+        for h in hits.tolist():
+            for k, i in self.places[int(grams[h])]:
+                slack = 2 + len(self.words[k]) // 5
+                spans.append((max(0, h - i - slack), min(len(found), h - i + len(self.words[k]) + slack)))
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(set(spans)):
+            if out and a < out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return out
+
+    def confirm(self, block: tuple[str, ...]) -> list[tuple[str | None, float, list[str], int, int]]:
+        """(license, saved, differences, first word, end word) of every template that the block holds; one without a license if none."""
+        data = " ".join(block).encode()
         plain = len(self.alone.compress(data))
-        saved = [(plain - len(c.compress(data))) / plain for c in self.with_each]
-        own = [w.lower() for w in words(block)]
+        saved = [plain - len(c.compress(data)) for c in self.with_each]
+        out: list[tuple[str | None, float, list[str], int, int]] = []
         for i in sorted(range(len(saved)), key=lambda i: (-saved[i], i)):
             if saved[i] <= 0:
                 break
-            lacking = differences(self.words[i], own)
-            if len(lacking) <= ALLOWED * len(self.words[i]) and not any(TELLING.search(w) for w in lacking):
-                return self.names[i], saved[i], lacking
-        return None, max(saved, default=0.0), []
+            left = [None if any(a <= n < b for *_, a, b in out) else w for n, w in enumerate(block)] if out else list(block)
+            lacking, a, b = aligned(self.words[i], left)
+            if len(lacking) <= max(1, ALLOWED * len(self.words[i])) and b - a <= 1.5 * len(self.words[i]) + 2 and not any(TELLING.search(w) for w in lacking):
+                out.append((self.names[i], saved[i] / plain, lacking, a, b))
+        return out or [(None, max(saved, default=0) / plain if plain else 0.0, [], 0, len(block))]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block_no, license, saved, differences) of every candidate block; license is null where none is confirmed."""
+    """(doc_id, block_no, license, saved, differences, begin, end) of every candidate block; license is null where none is
+    confirmed. ``begin`` and ``end`` are character positions in the text."""
     used = TEMPLATES if templates is None else templates
     rows = text_rows(docs, id_col=id_col, text_col=text_col)
-    pieces = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, r"(?<=[.!?])\s+")).otherwise(F.array(x))))
-    marked = lambda x: F.exists(F.array(*map(F.lit, MARKS)), lambda m: F.contains(F.lower(x), m))
-    blocks = rows.filter(marked(F.col("text"))).select("doc_id", F.posexplode(pieces).alias("block_no", "block")).filter(marked(F.col("block")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(used)
-        for batch in batches:
-            found = [scanner.of(b) for b in batch.column("block").to_pylist()]
+        for piece in pieces(batches):
+            at: list[int] = []
+            found: list[tuple] = []
+            for k, text in enumerate(piece.column("text").to_pylist()):
+                own = [w.lower() for w in word.findall(text)]
+                blocks = scanner.blocks(own)
+                spans = [m.span() for m in word.finditer(text)] if blocks else []
+                for no, (a, b) in enumerate(blocks):
+                    for name, saved, lacking, first, end in scanner.of(tuple(own[a:b])):
+                        at.append(k)
+                        found.append((no, name, saved, lacking, spans[a + first][0], spans[a + end - 1][1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("block_no"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.list_(pa.string()))],
-                ["doc_id", "block_no", "license", "saved", "differences"],
+                [piece.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.int32(), pa.int32())))],
+                ["doc_id", "block_no", "license", "saved", "differences", "begin", "end"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return blocks.mapInArrow(run, f"doc_id {kind}, block_no int, license string, saved double, differences array<string>")
+    return rows.mapInArrow(run, f"doc_id {kind}, block_no int, license string, saved double, differences array<string>, begin int, end int")
