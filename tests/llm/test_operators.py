@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grovelight.llm import bpe, decontaminate, gru, language_id, license_scan, line_dedup, lm_score, merges, near_duplicates, queries, shared, token_counts, top_k, warc
+from grovelight.llm import bpe, decontaminate, gru, language_id, letters, license_scan, line_dedup, lm_score, merges, near_duplicates, queries, shared, token_counts, top_k, warc
 from tests.conftest import SF
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -62,6 +63,16 @@ def test_bpe_round_trip(docs, nothing):
     assert bpe.encode(nothing, RANKS, P.PATTERN).count() == 0
 
 
+def test_every_letter_splits_as_in_the_libraries():
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=merges.load_ranks(RANKS), special_tokens={})
+    split = letters.Splitter.of(P.PATTERN)
+    for a in range(0, 0x110000, 0x1000):
+        chars = [chr(c) for c in range(a, a + 0x1000) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"{c}'s {c}a9{c}b!{c}  " for c in chars)
+        assert [t for w in split(text) for t in enc.encode_ordinary(w)] == enc.encode_ordinary(text)
+    assert split("") == [] and letters.spelled(r"\p{N}[^\s]", 0x7F).startswith("[\\U00000030-\\U00000039]")
+
+
 def test_merge_word_is_the_fold(spark):
     ranks = merges.load_ranks(RANKS)
     rng = random.Random(3)
@@ -87,17 +98,38 @@ def test_decontamination(spark, docs, nothing):
     bent = list(item)
     bent[12], bent[25] = "other", "thing"
     leak = lambda x: " ".join(words(rng, 40) + x + words(rng, 40))
-    more = table(spark, [(100, leak(item), "en", "a"), (101, leak(bent).upper(), "en", "a"), (102, leak(item[:8]), "en", "a"), (103, leak(random.Random(1).sample(item, 30)), "en", "a"), (100, leak(item), "en", "a")])
-    items = spark.createDataFrame([(1, " ".join(item), 0), (2, " ".join(item) + "!", 0), (3, None, 0), (4, "", 0), (5, "too short", 0)], "item_id long, text string, key int")
+    more = table(spark, [(100, leak(item), "en", "a"), (101, leak(bent).upper(), "en", "a"), (102, leak(item[:8]), "en", "a"), (103, leak(random.Random(1).sample(item, 30)), "en", "a"), (100, leak(item), "en", "a"), (104, leak("which river runs by the old mill".split()), "en", "a"), (105, leak("which river runs near the old mill".split()), "en", "a")])
+    items = spark.createDataFrame([(1, " ".join(item), 0), (2, " ".join(item) + "!", 0), (3, None, 0), (4, "", 0), (5, "too short", 0), (6, "Which river, runs by the old mill?", 0)], "item_id long, text string, key int")
     all_docs = docs.unionByName(more)
     found = decontaminate.leaks(all_docs, items)
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(100, 1), (101, 1)}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(100, 1), (101, 1), (104, 6)}
     left = decontaminate.decontaminate(all_docs, items)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in all_docs.filter("doc_id not in (100, 101)").collect())
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in all_docs.filter("doc_id not in (100, 101, 104)").collect())
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.decontaminate(docs, items.filter("false")).count() == docs.count()
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every document and item of the smallest tables laid side by side at every offset."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    hashed = decontaminate.TokenHash()
+    item_tokens = {r.item_id: hashed.tokens(r.text or "") for r in items.collect()}
+    want = set()
+    for r in rows_of(docs):
+        d = hashed.tokens(r.text or "")
+        for i, t in item_tokens.items():
+            # Only offsets with at least five agreeing tokens can reach the least run.
+            a, b = np.nonzero(t[:, None] == d[None, :])
+            offsets, n = np.unique(b - a, return_counts=True)
+            need = min(decontaminate.LEAST, -(-len(t) * 4 // 5))
+            for o in offsets[n >= need].tolist():
+                lo, hi = max(0, o), min(len(d), o + len(t))
+                if decontaminate.best_run(d[lo:hi], t[lo - o : hi - o]) >= need:
+                    want.add((r.doc_id, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()}
+    assert want and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_best_run():
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9], np.int64)
     b = a.copy()
@@ -121,6 +153,9 @@ def test_warc(spark, nothing):
         assert r.payload_digest == digest and f"sha1:{digest}".encode() in head
         assert body == (bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n" and b"\r\nX: y" not in head
     assert {r.record_type for r in read(min_bytes=6).filter("octet_length(payload) < 6").collect()} == {"response"}
+    named = spark.createDataFrame([("a>b\r\n", None, "x" * 300_000), ("é/1", None, "x" * 300_000), (None, None, "y")], "page_id string, url string, html string")
+    texts = warc.read_archive(spark, warc.write_archive(named, f"{shared.shared_dir(spark)}/t-{random.random()}")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to, len(r.payload)) for r in texts} == {("a>b\r\n", "response", None, 300_000), ("é/1", "revisit", "a>b\r\n", 300_000), (None, "response", None, 1)}
     empty = warc.write_archive(df.filter("false"), f"{shared.shared_dir(spark)}/t-{random.random()}")
     assert warc.read_archive(spark, empty).count() == 0
 
@@ -134,6 +169,23 @@ def test_line_dedup(spark, nothing):
     assert line_dedup.drop_boilerplate(nothing, F.col("source")).count() == 0
 
 
+def test_working_columns_do_not_clash(spark, docs):
+    names = {"__host": 1, "__lines": 2, "__split": 3, "__kept": 4, "__key": 5, "__row": 6, "__gone": 7}
+    odd = docs.withColumns({k: F.lit(v) for k, v in names.items()})
+    items = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    for out in (line_dedup.drop_boilerplate(odd, F.col("source"), counts=False), near_duplicates.drop_near_duplicates(odd), decontaminate.decontaminate(odd, items)):
+        assert out.columns == odd.columns
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(names.values())]
+
+
+def test_hosts_of_urls(spark):
+    urls = {"http://A.example/x": "a.example", "https://u:p@b.org:8080?q": "b.org", "ftp://[::1]:21/": "[::1]", "no url": None, "": None, "http:///x": None}
+    df = spark.createDataFrame([(u, h, f"menu\n{i}") for i, (u, h) in enumerate(urls.items())] + [("http://a.example/y", "a.example", "menu\nz"), (None, None, None)], "url string, want string, html string")
+    assert all(r.got == r.want for r in df.select("want", line_dedup.host_of(F.col("url")).alias("got")).collect())
+    cut = line_dedup.drop_boilerplate(df, line_dedup.host_of(F.col("url")), "html", ratio=0.9, min_pages=2)
+    assert {r.html for r in cut.filter("want = 'a.example'").collect()} == {"0", "z"}
+
+
 def test_language_id(spark, nothing):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.learn(df.filter(~language_id.held_out()))
@@ -152,6 +204,24 @@ def test_language_scores_are_corrected():
     assert all(0 < x < 1e-3 for x in f.false)
 
 
+def test_language_filter_against_exact_sets():
+    """Shares of the filter are those of exact sets, but for false positives."""
+    rng = random.Random(4)
+    texts = {k: " ".join("".join(rng.choice(a) for _ in range(6)) for _ in range(200)) for k, a in (("a", "abcdef"), ("b", "bcdxyz"), ("c", "mnopqr"))}
+    own = {k: np.unique(language_id.grams([t])[0]) for k, t in texts.items()}
+    model = language_id.Filter(list(own), list(own.values()))
+    for probe in ("abcdef bcdxyz abc", "mnop qrm", "xyz abcd", "zzzzz"):
+        h, _, _ = language_id.grams([probe])
+        exact = {k: np.isin(h, s).mean() for k, s in own.items()}
+        lang, score = (x[0] for x in model.predict([probe]))
+        assert exact[lang] == max(exact.values()) and score == pytest.approx(exact[lang], abs=0.01)
+
+
+def test_no_document_without_an_id_is_held_out(spark):
+    df = table(spark, [(None, "word", "en", "a"), (1, "word", "en", "a")])
+    assert {r.h for r in df.select(language_id.held_out().alias("h")).collect()} <= {True, False}
+
+
 def test_language_id_learns_every_label(spark, monkeypatch):
     rng, n = random.Random(13), 66
     own = {f"l{k:02}": ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(5)) for _ in range(20)] for k in range(n)}
@@ -179,7 +249,30 @@ def test_lm_scores(docs, nothing):
         assert x.base_score == pytest.approx(base) and (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (out(r.doc_id), len(t) + 1, sum(counts[w] > 0 for w in t) + 1, n)
         assert x.score < 0
     assert lm_score.score_documents(nothing, rest).count() == 0
-    assert lm_score.score_documents(docs, F.lit(True)).filter("score is null or isnan(score)").count() == 0
+    untaught = lm_score.score_documents(docs, F.lit(True)).collect()
+    assert all(abs(r.score) < 1e-6 and abs(r.base_score) < 1e-6 and r.n_known == r.train_tokens == 0 for r in untaught)
+
+
+def test_lm_score_is_the_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    p = {k: v + 0.1 * rng.standard_normal(v.shape).astype(v.dtype) for k, v in gru.initial(np.ones(gru.HEAD), 9.0).items()}
+    docs = [rng.integers(0, gru.HEAD + 1, n).astype(np.int32) for n in (1, 5, 70, 33)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for doc, got in zip(docs, gru.score(p, docs)):
+        h, last, want = np.zeros(gru.HIDDEN), gru.START, 0.0
+        for w in doc.tolist():
+            x, g = p["emb"][last] @ p["wx"] + p["b"], h @ p["u"]
+            z, r = (sigmoid(x[i : i + gru.HIDDEN] + g[i : i + gru.HIDDEN]) for i in (0, gru.HIDDEN))
+            n = np.tanh(x[2 * gru.HIDDEN :] + r * g[2 * gru.HIDDEN :])
+            h = z * h + (1 - z) * n
+            c, k = divmod(w, gru.PER_CLASS)
+            classes = h @ p["wc"] + p["bc"]
+            want += classes[c] - np.log(np.exp(classes).sum())
+            if w < gru.HEAD:
+                inner = h @ p["ww"][c] + p["bw"][c]
+                want += inner[k] - np.log(np.exp(inner).sum())
+            last = w
+        assert got == pytest.approx(want, rel=1e-4)
 
 
 def test_lm_trains_on_every_token(docs):
@@ -232,10 +325,33 @@ def test_top_k(spark, block):
 
 
 def test_licenses(spark, nothing):
-    texts = {1: "intro\nReleased under the MIT License.\nend", 2: "This work is licensed under the GNU General Public License, version 2.", 3: "Licensed under CC BY-NC 4.0.", 4: "Licensed under CC BY 4.0.", 5: "All rights reserved by me.", 6: "Long " * 300 + ". Licensed under the Apache License, Version 2.0. More.", 7: "Licensed under the Apache License, Version 9.0.", 8: None, 9: "", 10: "no mark here"}
+    texts = {1: "intro\nReleased under the MIT License.\nend", 2: "This work is licensed under the GNU General Public License, version 2.", 3: "Licensed under CC BY-NC 4.0.", 4: "Licensed under CC BY 4.0.", 5: "All rights reserved by me.", 6: "Long " * 300 + ". Licensed under the Apache License, Version 2.0. More.", 7: "Licensed under the Apache License, Version 9.0.", 8: None, 9: "", 10: "no mark here", 11: "licensed under the\n# MIT License"}
     got = license_scan.scan_licenses(table(spark, [(i, t, None, None) for i, t in texts.items()])).collect()
-    assert {(r.doc_id, r.license) for r in got} == {(1, "MIT"), (2, "GPL-2.0"), (3, "CC-BY-NC-4.0"), (4, "CC-BY-4.0"), (5, None), (6, "Apache-2.0"), (7, None)}
-    assert license_scan.scan_licenses(nothing).count() == 0
+    assert {(r.doc_id, r.license) for r in got} == {(1, "MIT"), (2, "GPL-2.0"), (3, "CC-BY-NC-4.0"), (4, "CC-BY-4.0"), (6, "Apache-2.0"), (7, None), (11, "MIT")}
+    assert {r.doc_id: texts[r.doc_id][r.begin : r.end] for r in got}[1] == "Released under the MIT License"
+    assert license_scan.scan_licenses(nothing).count() == 0 and license_scan.scan_licenses(table(spark, [(1, "a b c", None, None)]), {}).count() == 0
+
+
+def test_wrapped_license_texts():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, own in license_scan.TEMPLATES.items():
+        for text in own:
+            found = license_scan.word.findall(("Some words. " + "\n * ".join(textwrap.wrap(text, 60)) + "\nand more of them").lower())
+            assert [x[0] for a, b in scanner.blocks(found) for x in scanner.confirm(tuple(found[a:b]))] == [name]
+
+
+def test_license_gate_loses_nothing(spark):
+    """Every window of the documents that holds a template's wording, found without the gate, is found with it."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    rows = [r for r in rows_of(spark.read.parquet(f"{SF}/documents.parquet")) if r.text]
+    found, brute = set(), set()
+    for r in rows:
+        own = license_scan.word.findall(r.text.lower())
+        found |= {(r.doc_id, x[0]) for a, b in scanner.blocks(own) for x in scanner.of(tuple(own[a:b])) if x[0]}
+        for name, template in zip(scanner.names, scanner.words):
+            n = len(template)
+            brute |= {(r.doc_id, name) for i in range(len(own) - n + 1) if sum(x == y for x, y in zip(own[i : i + n], template)) >= n - max(1, n // 10) and {w for w in template if license_scan.TELLING.search(w)} <= set(own[i : i + n])}
+    assert brute and brute <= found
 
 
 def brute_components(docs, percent):

@@ -39,3 +39,6 @@ def test_rejects_and_nulls(spark):
     assert out.columns == odd.columns and [r.doc_id for r in out.collect()] == [4]
     for stage in (lambda d: corpus_pipeline.drop_boilerplate_lines(spark, d, SF), lambda d: corpus_pipeline.drop_near_duplicates(spark, d, SF), lambda d: corpus_pipeline.drop_contaminated(spark, d, SF)):
         assert stage(odd).columns == odd.columns and stage(odd).count() == 4 and stage(odd.filter("false")).count() == 0
+    coded = corpus_pipeline.encode_bytes(spark, odd, SF).collect()
+    assert sorted((r.doc_id, r.n_tokens > 0) for r in coded) == [(1, False), (2, False), (3, True), (4, True)]
+    assert corpus_pipeline.encode_bytes(spark, odd.filter("false"), SF).count() == 0
