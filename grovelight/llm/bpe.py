@@ -13,14 +13,16 @@ an empty table gives an empty table; other columns are ignored. A word of over `
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .letters import Splitter
@@ -140,10 +142,26 @@ def word_table(counts: DataFrame, table: RankMap, most: int) -> pa.Table:
             break
         least = row.n
     kept = counts.filter(F.col("n") >= F.lit(least if least is not None else 1 << 62))
-    kept = kept.repartition(max(1, kept.sparkSession.sparkContext.defaultParallelism), "word")
+    # Settled first: a plan that shuffles is described anew at each step, with all literals of the table.
+    kept = settle(kept.select("word").repartition(max(1, kept.sparkSession.sparkContext.defaultParallelism), "word"), "frequent-words")
     return kept.select("word", fold_merges(F.col("word").cast("binary"), table).alias("ids")).toArrow().combine_chunks()
 
 
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Descriptions of plans are cut: each would spell out all literals of the table, and the driver keeps many. What
+    copies of the literals a plan leaves behind is collected before the next plan is made, as both together may not fit."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 20_000)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 class Known(dict):
     """word -> its place in the table, -1 for a word outside it."""
 
@@ -158,7 +176,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         raise ValueError("a rank and a place together have to fit in 31 bits")
     table, split = rank_map(ranks), Splitter.of(pattern)
     rows = text_rows(docs, id_col=id_col, text_col=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast((word_table(settle(count_words(rows, split), "word-counts"), table, table_words), ranks))
+    counts = settle(count_words(rows, split), "word-counts")
+    with short_plans(docs.sparkSession):
+        sent = docs.sparkSession.sparkContext.broadcast((word_table(counts, table, table_words), ranks))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, by_bytes = sent.value
@@ -209,7 +229,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     # An array of one element, so that the rare words are folded once a document.
     joined = F.get(F.transform(F.array(folded), put), F.lit(0))
     # Settled, so that no task keeps the workers that look words up beside those that decode or digest ids.
-    return settle(cut.select("doc_id", F.when(F.size("rare") == 0, F.flatten("runs")).otherwise(joined).alias("ids")), "ids")
+    with short_plans(docs.sparkSession):
+        return settle(cut.select("doc_id", F.when(F.size("rare") == 0, F.flatten("runs")).otherwise(joined).alias("ids")), "ids")
 
 
 def ids_bytes(ids: Column) -> Column:
