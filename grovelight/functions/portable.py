@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 BUCKET_WIDTH = 1 << 16
 
 _own_dir: list[str] = []
-_settled: dict[int, tuple[DataFrame, str]] = {}
 
 
 def draw(*parts: Column | str | int) -> Column:
@@ -39,14 +38,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _settled[id(out)] = out, path
+    out._settled_path = path  # with the frame, so that no list keeps frames and their plans alive
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete a settled table that nothing reads any more."""
-    _, path = _settled.pop(id(df))
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path, spark = df.__dict__.pop("_settled_path"), df.sparkSession
+    jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from grovelight import config, forest, run
+from grovelight import config, evaluate, forest, run
 from grovelight.operators import binning, grow, impurity, metrics, sampling
 from grovelight.sources import tables
 
@@ -181,3 +181,8 @@ def test_run_of_files(spark, tmp_path):
     (tmp_path / "client2" / "train.csv").rename(tmp_path / "client2" / "other.csv")
     with pytest.raises(RuntimeError):
         run.run(spark, c, str(tmp_path))
+
+
+def test_cross_validation(spark):
+    got = evaluate.cross_validate(grid(spark), config.RunConfig(n_bins=7, n_estimators=3, max_depth=3, max_features=2), k=2)
+    assert {r.split: r.mcc > 0.8 for r in got.collect()} == {"r0-f0": True, "r0-f1": True}
