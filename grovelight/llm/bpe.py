@@ -149,15 +149,18 @@ def word_table(counts: DataFrame, table: RankMap, most: int) -> pa.Table:
 
 @contextmanager
 def short_plans(spark: SparkSession) -> Iterator[None]:
-    """Descriptions of plans are cut: each would spell out all literals of the table, and the driver keeps many. What
-    copies of the literals a plan leaves behind is collected before the next plan is made, as both together may not fit."""
-    name = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(name)
-    spark.conf.set(name, 20_000)
+    """Plans are described without their functions' arguments: each description would spell out all literals of the
+    table once a level of nesting, hundreds of megabytes on the driver. What copies of the literals a plan leaves behind
+    is collected before the next plan is made, as both together may not fit."""
+    short = {"spark.sql.maxPlanStringLength": "20000", "spark.sql.debug.maxToStringFields": "0"}
+    before = {name: spark.conf.get(name) for name in short}
+    for name, value in short.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
         gc.collect()
         spark._jvm.System.gc()
 
