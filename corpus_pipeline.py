@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovelight.llm import bpe, decontaminate, language_id, line_dedup, near_duplicates
-from grovelight.llm.shared import settle
+from grovelight.llm.shared import release_shuffles, settle
 
 #: A text's least share of known n-grams; below it no learned language explains the text.
 MIN_LANGUAGE_SCORE = 0.2
@@ -15,6 +15,7 @@ MIN_LANGUAGE_SCORE = 0.2
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known to the filters; undetermined ones and those of too low a score go."""
+    release_shuffles(spark)
     names = docs.columns
     model = language_id.learn(docs)
     judged = language_id.predict(docs, model, F.struct(*[F.col(c) for c in names if c != "text"]).alias("row"), F.col("text").alias("whole"))
@@ -23,19 +24,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_shuffles(spark)
     return line_dedup.drop_boilerplate(docs, F.col("source"), counts=False).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_shuffles(spark)
     return near_duplicates.drop_near_duplicates(docs, percent=80).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release_shuffles(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and the digest of the text they decode to."""
+    release_shuffles(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))

@@ -13,7 +13,6 @@ an empty table gives an empty table; other columns are ignored. A word of over `
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .letters import Splitter
 from .merges import load_ranks, merge_word
-from .shared import pieces, settle, text_rows
+from .shared import pieces, release_shuffles, settle, text_rows
 
 #: A word of up to LONG bytes is folded; its pairs' places take PLACE_BITS bits.
 LONG = 96
@@ -161,8 +160,7 @@ def short_plans(spark: SparkSession) -> Iterator[None]:
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
-        gc.collect()
-        spark._jvm.System.gc()
+        release_shuffles(spark)
 
 
 class Known(dict):

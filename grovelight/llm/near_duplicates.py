@@ -144,10 +144,12 @@ def missed_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     needed = F.ceil(F.col("n") * percent / 100)
     first = counted.withColumn("i", turn).filter((F.col("i") <= F.col("n") - needed + 1) & (F.col("sets") > 1))
     first = settle(first.select("hash", "key", "n", "comp", "i"), "first-shingles")
+    discard(tokens)
     # From place i on, n - i + 1 shingles are left; they must do for the smallest set that has the shingle.
     able = first.join(first.groupBy("hash").agg(F.min("n").alias("least_n")), "hash").filter((100 + percent) * (F.col("n") - F.col("i") + 1) >= percent * (F.col("n") + F.col("least_n")))
     mixed = able.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("hash")
     able = settle(able.join(mixed, "hash", "left_semi").select("hash", "key", "n", "comp", "i"), "able-shingles")
+    discard(first)
     other = able.select("hash", F.col("key").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"), F.col("i").alias("ci"))
     left = F.least(F.col("n") - F.col("i"), F.col("cn") - F.col("ci")) + 1
     pairs = able.join(other, "hash").filter((F.col("key") < F.col("c")) & (F.col("comp") != F.col("ccomp")) & ((100 + percent) * left >= percent * (F.col("n") + F.col("cn"))))
@@ -196,6 +198,9 @@ def judge(docs: DataFrame, row: Column, percent: int, id_col: str, text_col: str
     smallest = joined.groupBy("comp").agg(F.min("least").alias("least_of_all"))
     smaller = joined.join(smallest, "comp").select(F.col("v").alias("key"), "least_of_all")
     named = settle(classes.select("key", "least").join(smaller, "key", "left").select("key", F.coalesce("least_of_all", "least").alias("first")), "components")
+    # Only ``signed`` and ``named`` are read from here on.
+    for superseded in (classes, sets, able, members, pairs, links, open_members, more):
+        discard(superseded)
     out = signed.select("row", "doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), (F.col("key").isNull() | (F.col("row") == F.col("first.row"))).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import portable
@@ -28,6 +29,13 @@ def settle(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nobody holds any more removed: Spark deletes them only once its driver has
+    collected those plans, which a driver with little to do may put off until long after the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_rows(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text[, more]) with null texts as empty ones; further columns of any name are left out."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
