@@ -307,14 +307,14 @@ def test_lm_gradient():
     assert gru.score(moved, doc)[0] > gru.score(p, doc)[0]
 
 
-@pytest.mark.parametrize("block", [7, 1024])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("rows, length", [(7, None), (7, 1), (1024, None), (1024, 1)])
+def test_top_k(spark, rows, length):
     rng = np.random.default_rng(2)
     vecs = [(i, [float(x) for x in rng.standard_normal(8) / 3], "x") for i in range(120)]
     vecs += [(200 + i, vecs[20][1], "x") for i in range(30)] + [(300, None, "x"), (301, [1.0, None], "x"), (302, [float("nan")] * 8, "x"), (303, [float("inf")] * 8, "x"), (None, [9.0] * 8, "x"), (20, vecs[20][1], "x"), (400, [1e6] * 8, "x"), (401, [0.5], "x")]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>, v string")
     got = collections.defaultdict(list)
-    for r in top_k.search(df, F.col("vec_id") % 20 == 0, 5, block=block, query_block=block).collect():
+    for r in top_k.search(df, F.col("vec_id") % 20 == 0, 5, node_rows=rows, tile_rows=rows, length=length).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     good = {i: [int(np.floor(64 * x)) for x in v] for i, v, _ in vecs if i is not None and i not in (300, 301, 302, 303)}
     for q in [i for i in good if i % 20 == 0]:
@@ -324,6 +324,16 @@ def test_top_k(spark, block):
     assert top_k.search(df.filter("vec_id = 20"), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    vecs = {0: [1e16, 1e16], 1: [1e16, 1e16], 2: [-1e16, -1e16], 3: [2.0**40, 3.0], 4: [2.0**40, 2.0], 20: []}
+    df = spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in vecs.items()}
+    got = top_k.search(df, F.col("vec_id") % 20 == 0, 9).collect()
+    for q in (0, 20):
+        want = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q)
+        assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_licenses(spark, nothing):
     texts = {1: "intro\nReleased under the MIT License.\nend", 2: "This work is licensed under the GNU General Public License, version 2.", 3: "Licensed under CC BY-NC 4.0.", 4: "Licensed under CC BY 4.0.", 5: "All rights reserved by me.", 6: "Long " * 300 + ". Licensed under the Apache License, Version 2.0. More.", 7: "Licensed under the Apache License, Version 9.0.", 8: None, 9: "", 10: "no mark here", 11: "licensed under the\n# MIT License"}
     got = license_scan.scan_licenses(table(spark, [(i, t, None, None) for i, t in texts.items()])).collect()
