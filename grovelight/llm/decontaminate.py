@@ -30,8 +30,8 @@ LEAST = 13
 COST = 3
 #: Items under this many tokens match nothing.
 SHORTEST = 5
-#: The bitmap has 16 bits a seed, 2**16 at least and 2**27 (16 MB) at most.
-BITS = (16, 27)
+#: The bitmap has 1,024 bits a seed, 2**24 (2 MB) at least and 2**27 (16 MB) at most; a document tries every position.
+BITS = (24, 27)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡"
 
 
@@ -118,7 +118,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     size = F.size("tokens")
     seen = test.agg(F.max(size).alias("longest"), F.sum(F.size("seeds")).alias("seeds"), F.collect_set(F.when(size < SPAN, size)).alias("short"), F.max(size >= SPAN).alias("long")).first()
     masks = (MASKS if seen.long else ()) + tuple("1" * n for n in sorted(seen.short))
-    bits = min(max(BITS[0], (16 * (seen.seeds or 0)).bit_length()), BITS[1])
+    bits = min(max(BITS[0], (1024 * (seen.seeds or 0)).bit_length()), BITS[1])
     sent = spark.sparkContext.broadcast((bitmap(test_seeds, bits), seen.longest or 0))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
