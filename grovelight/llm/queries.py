@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, near_duplicates, token_counts, top_k, warc
+from . import bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, merkle, near_duplicates, token_counts, top_k, warc
 from .shared import remainder, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,8 +67,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    letters = string.ascii_uppercase, string.ascii_lowercase
+    tampered = F.when(remainder("doc_id", 5) == 0, leaf(F.translate("text", *letters)))
+    made = merkle.manifest(docs, leaf(F.col("text")), F.col("source"), [F.col("doc_id")], ["doc_id", tampered.alias("tampered")])
+    rows = made.proofs.select("row.doc_id", "leaf", "subroot", F.lit(made.root).alias("root"), F.sha2(F.array_join(merkle.siblings(F.col("path")), ""), 256).alias("proof_sha256"), merkle.fold(F.coalesce("row.tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_decontamination, op4_warc, op5_line_dedup, op6_language_id, op7_lm_score, op8_top_k, op9_license_scan, op10_near_duplicates)
+    f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_decontamination, op4_warc, op5_line_dedup, op6_language_id, op7_lm_score, op8_top_k, op9_license_scan, op10_near_duplicates, op13_merkle_manifest)
 }
 
 _QUAD = " || ".join(
