@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, merkle, near_duplicates, token_counts, top_k, warc
+from . import bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, merkle, near_duplicates, repeats, token_counts, top_k, warc
 from .shared import remainder, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,6 +67,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.repeats(read(spark, sf_dir, "documents"), width=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     leaf = lambda text: merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
@@ -78,7 +84,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_decontamination, op4_warc, op5_line_dedup, op6_language_id, op7_lm_score, op8_top_k, op9_license_scan, op10_near_duplicates, op13_merkle_manifest)
+    f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_decontamination, op4_warc, op5_line_dedup, op6_language_id, op7_lm_score, op8_top_k, op9_license_scan, op10_near_duplicates, op12_suffix_dedup, op13_merkle_manifest)
 }
 
 _QUAD = " || ".join(
