@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, merkle, near_duplicates, repeats, token_counts, top_k, warc
+from . import bpe, collocations, decontaminate, language_id, license_scan, line_dedup, lm_score, merkle, near_duplicates, repeats, token_counts, top_k, warc
 from .shared import remainder, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,6 +67,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"), longest=3, least=10, percent=50, first=2000)
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.repeats(read(spark, sf_dir, "documents"), width=100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
@@ -84,14 +88,31 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_decontamination, op4_warc, op5_line_dedup, op6_language_id, op7_lm_score, op8_top_k, op9_license_scan, op10_near_duplicates, op12_suffix_dedup, op13_merkle_manifest)
+    f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_decontamination, op4_warc, op5_line_dedup, op6_language_id, op7_lm_score, op8_top_k, op9_license_scan, op10_near_duplicates, op11_collocations, op12_suffix_dedup, op13_merkle_manifest)
 }
 
 _QUAD = " || ".join(
     "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {0}, 5))::INTEGER >> {1}) & 31) + 1, 1)".format(5 * i + 1, s) for i in range(8) for s in (15, 10, 5, 0)
 )
 
+_CUT = "SELECT lang, phrase, a, {k} AS k, array_to_string(ws[:{k}], ' ') AS first, array_to_string(ws[{k} + 1:], ' ') AS rest FROM c WHERE len(ws) > {k}"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS ({" UNION ALL ".join(f"SELECT lang, {k} AS size, unnest(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i : i + {k} - 1], ' '))) AS phrase FROM w" for k in (1, 2, 3))}),
+        f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+        c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+        u AS ({_CUT.format(k=1)} UNION ALL {_CUT.format(k=2)}),
+        s AS (SELECT u.lang, u.phrase, u.a, k, x.f AS l, y.f AS r, (1000000 * u.a::HUGEINT * u.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+              FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.first JOIN f y ON y.lang = u.lang AND y.phrase = u.rest),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        o AS (SELECT lang, phrase, max(f) AS most FROM (SELECT lang, a AS f, unnest([array_to_string(ws[:2], ' '), array_to_string(ws[2:], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL),
+        k AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.most IS NULL OR 100 * o.most < 50 * b.a),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang)
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM k JOIN n ON n.lang = k.lang QUALIFY rank <= 2000""",
     "op4_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
