@@ -7,18 +7,32 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exact
+
 
 def long_view(rows: DataFrame) -> DataFrame:
     return rows.select("split", "client", "row_id", "y", F.posexplode("features").alias("feature", "x"))
 
 
+def site_statistics(rows: DataFrame) -> DataFrame:
+    """(split, client, feature, n, sxx, sx, mn, mx) in one pass; the sums are the same in any order of the rows."""
+    x = F.col("x")
+    slots = long_view(rows).withColumns({"__q": exact.slot(x), "__qq": exact.slot(x * x)})
+    parts = slots.groupBy("split", "client", "feature", "__q", "__qq").agg(F.count("*").alias("n"), exact.total_parts(x * x, F.col("__qq")).alias("xx"), exact.total_parts(x, F.col("__q")).alias("x"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+    sums = [exact.total(F.collect_list("xx")).alias("sxx"), exact.total(F.collect_list("x")).alias("sx")]
+    return parts.groupBy("split", "client", "feature").agg(F.sum("n").alias("n"), *sums, F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+
+
 def moments_partial(rows: DataFrame) -> DataFrame:
-    return long_view(rows).groupBy("split", "client", "feature").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("x").alias("sx"))
+    return site_statistics(rows).select("split", "client", "feature", "n", "sxx", "sx")
 
 
 def moments_global(partial: DataFrame) -> DataFrame:
-    n, sx, sxx = F.sum("n"), F.sum("sx"), F.sum("sxx")
-    return partial.groupBy("split", "feature").agg((sx / n).alias("mean"), F.sqrt(F.greatest(sxx / n - (sx / n) * (sx / n), F.lit(0.0))).alias("stddev"))
+    """Mean and population deviation over all sites, whose sums are added in order of the site."""
+    ordered = lambda c: F.aggregate(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("client", c)))), F.lit(0.0), lambda a, v: a + v[c])
+    sums = partial.groupBy("split", "feature").agg(F.sum("n").alias("n"), ordered("sx").alias("sx"), ordered("sxx").alias("sxx"))
+    mean = F.col("sx") / F.col("n")
+    return sums.select("split", "feature", mean.alias("mean"), F.sqrt(F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0))).alias("stddev"))
 
 
 def minmax_partial(rows: DataFrame) -> DataFrame:
@@ -49,11 +63,11 @@ def zscore(x: Column, mean: Column, stddev: Column) -> Column:
 
 def edge_table(rows: DataFrame, n_bins: int, quantile: tuple[int, ...] = ()) -> DataFrame:
     """(split, feature, kind, edges, mean, stddev) of all features, from training rows."""
-    stats = long_view(rows).groupBy("split", "feature").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("x").alias("sx"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+    sites = site_statistics(rows)
+    stats = minmax_global(sites).join(moments_global(sites), ["split", "feature"])
     wide = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: i * ((F.col("mx") - F.col("mn")) / n_bins) + F.col("mn"))
     is_quantile = F.col("feature").isin(list(quantile)) if quantile else F.lit(False)
-    mean = F.col("sx") / F.col("n")
-    return stats.select("split", "feature", F.when(is_quantile, "quantile").otherwise("bucket").alias("kind"), F.when(is_quantile, F.array(*map(F.lit, normal_quantiles(n_bins)))).otherwise(wide).alias("edges"), mean.alias("mean"), F.sqrt(F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0))).alias("stddev"))
+    return stats.select("split", "feature", F.when(is_quantile, "quantile").otherwise("bucket").alias("kind"), F.when(is_quantile, F.array(*map(F.lit, normal_quantiles(n_bins)))).otherwise(wide).alias("edges"), "mean", "stddev")
 
 
 def bin_of(x: Column, e: Column, n_bins: int) -> Column:
