@@ -2,11 +2,13 @@
 
 A window is ``width`` bytes. Its key is the least hash among its 32-byte seeds, so equal windows have equal keys, and
 neighbouring windows mostly share one: runs of starts with one key are cut out as stretches of at most 128 windows. Keys
-that occur once can hold no repeat and go first. Equal stretches become one, under their first occurrence; all windows
-of the others are repeats. The different stretches of a key meet in one task, which builds the Burrows-Wheeler transform and the
-common prefixes of its collection (see ``collection_bwt``), reads off groups of suffixes that share ``width`` bytes, and
-returns which windows of a stretch start earlier elsewhere. Keys of very many stretches take in most of the window's bytes,
-so that only near-equal windows still meet. A row's windows then become spans of bytes. Results don't depend on hashes.
+that occur once can hold no repeat and go first. Copies of whole texts are known by their digests and take no part.
+Equal stretches become one, under their first occurrence, in batches before the shuffle and again after it; all windows
+of the others are repeats. The different stretches of a key meet in one task, which builds the Burrows-Wheeler transform
+and the common prefixes of its collection (see ``collection_bwt``), reads off groups of suffixes that share ``width`` bytes,
+and returns which windows of a stretch start earlier elsewhere. Keys of very many stretches take in most of the window's
+bytes, so that only near-equal windows still meet. A row's windows then become spans of bytes. Equal texts and stretches are
+told by 128-bit hashes; no other hash bears on the results.
 
 "Earlier" is a smaller id, or the same row and a smaller start. Defined cases: null ids come first; rows of one id are
 ordered by their texts' MD5; of repeated rows one comes first and all bytes of the others are repeats; null and empty
@@ -20,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,14 +112,25 @@ def key_counts(texts: DataFrame, width: int, hot: np.ndarray) -> DataFrame:
     return texts.select("text").mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def stretches(texts: DataFrame, width: int, hot: np.ndarray, held) -> DataFrame:
-    """(key, twice, doc_id, tie, start, n, body): runs of windows whose key is in the bitmap; ``twice``: a key may recur inside."""
+def first_alike(bodies: pa.Array, order: np.ndarray) -> np.ndarray:
+    """For each different value, the row of least ``order``; rows ascend."""
+    code = bodies.dictionary_encode().indices.to_numpy()
+    by = np.lexsort((order, code))
+    return np.sort(by[np.append(True, np.diff(code[by]) != 0)]) if len(by) else by
+
+
+def stretches(texts: DataFrame, width: int, hot: np.ndarray, held, bodies: bool) -> DataFrame:
+    """(doc_id, tie, start, n) of the runs of windows whose key is in the bitmap; or, with their bytes, (key, twice, doc_id,
+    tie, start, n, body), of equal ones in a batch the first. ``twice``: a key may recur inside."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = held.value
         for piece in pieces(batches):
             raw, begin, end = joined(piece, width)
+            table = pa.table([piece.column("doc_id"), piece.column("tie")], ["doc_id", "tie"])
+            nth_doc = np.empty(piece.num_rows, np.int64)
+            nth_doc[pc.sort_indices(table, [("doc_id", "ascending"), ("tie", "ascending")], null_placement="at_start").to_numpy()] = np.arange(piece.num_rows)
             for a, key, moved in windows(raw, width, hot):
                 top = key >> np.uint64(44 - bits)
                 at = np.flatnonzero((known[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
@@ -125,42 +140,52 @@ def stretches(texts: DataFrame, width: int, hot: np.ndarray, held) -> DataFrame:
                 if not len(at):
                     continue
                 new = np.append(True, (np.diff(at) != 1) | (np.diff(doc) != 0) | (key[at[1:]] != key[at[:-1]]))
-                run_of = np.cumsum(new) - 1
-                nth = np.arange(len(at)) - np.flatnonzero(new)[run_of]
+                nth = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
                 new |= nth % STRETCH == 0
                 first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(at)))
+                n = np.diff(np.append(first, len(at))).astype(np.int32)
                 start, doc = at[first] + a, doc[first]
+                place = [piece.column("doc_id"), piece.column("tie")]
+                if not bodies:
+                    d = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([*(c.take(d) for c in place), pa.array(start - begin[doc]), pa.array(n)], ["doc_id", "tie", "start", "n"])
+                    continue
                 # A stretch whose least seed moves without a change of key holds that seed more than once.
-                shifts = np.add.reduceat((moved[at] & ~new).astype(np.int64), first)
-                whole = pa.py_buffer(raw)
-                for b in range(0, len(first), 20_000):
-                    s, m = start[b : b + 20_000], n[b : b + 20_000]
+                twice = np.add.reduceat((moved[at] & ~new).astype(np.int64), first) > 0
+                for b in range(0, len(first), 50_000):
+                    s, m, d = start[b : b + 50_000], n[b : b + 50_000], doc[b : b + 50_000]
                     length = m + width - 1
                     ends = np.concatenate([[0], np.cumsum(length)])
-                    body = np.frombuffer(whole, np.uint8)[np.repeat(s - ends[:-1], length) + np.arange(ends[-1])]
-                    bodies = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
-                    d = pa.array(doc[b : b + 20_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[at[first[b : b + 20_000]]].view(np.int64)), pa.array(shifts[b : b + 20_000] > 0), piece.column("doc_id").take(d), piece.column("tie").take(d), pa.array(s - begin[doc[b : b + 20_000]]), pa.array(m.astype(np.int32)), bodies],
-                        ["key", "twice", "doc_id", "tie", "start", "n", "body"],
-                    )
+                    body = raw[np.repeat(s - ends[:-1], length) + np.arange(ends[-1])]
+                    made = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
+                    one = first_alike(made, nth_doc[d] * len(raw) + s)
+                    for c in range(0, len(one), 10_000):
+                        o = one[c : c + 10_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key[at[first[b + o]]].view(np.int64)), pa.array(twice[b + o]), *(x.take(pa.array(d[o])) for x in place), pa.array(s[o] - begin[d[o]]), pa.array(m[o]), made.take(pa.array(o))],
+                            ["key", "twice", "doc_id", "tie", "start", "n", "body"],
+                        )
 
-    return texts.mapInArrow(run, f"key bigint, twice boolean, doc_id {kind}, tie binary, start bigint, n int, body binary")
+    more = ("key bigint, twice boolean, ", ", body binary") if bodies else ("", "")
+    return texts.mapInArrow(run, f"{more[0]}doc_id {kind}, tie binary, start bigint, n int{more[1]}")
 
 
-def marks(distinct: DataFrame, width: int, parts: int) -> DataFrame:
+def marks(found: DataFrame, width: int, parts: int) -> DataFrame:
     """(doc_id, tie, start, n, bits): for each different stretch, a bit for each window that starts earlier."""
-    kind = distinct.schema["first"].dataType["doc_id"].dataType.simpleString()
+    kind = found.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        light, bodies = [], []
-        for batch in batches:
+        light, bodies, seen = [], [], set()
+        for batch in batches:  # in order of the documents: the first of equal stretches comes first
+            hashes = [xxhash.xxh3_128_digest(b.as_buffer()) for b in batch.column("body")]
+            new = [i for i, h in enumerate(hashes) if not (h in seen or seen.add(h))]
+            batch = batch.take(pa.array(new, pa.int64()))
             light.append(batch.drop_columns(["body"]))
             bodies.append(batch.column("body"))
-        if not light:
+        if not seen:
             return
         rows, body = pa.Table.from_batches(light).combine_chunks().to_batches()[0], pa.chunked_array(bodies).combine_chunks()
+        del seen, light, bodies
         keys, place, count = np.unique(rows.column("key").to_numpy(), return_inverse=True, return_counts=True)
         meet = np.flatnonzero((count[place] > 1) | rows.column("twice").to_numpy(zero_copy_only=False))
         own = body.take(pa.array(meet))
@@ -172,8 +197,7 @@ def marks(distinct: DataFrame, width: int, parts: int) -> DataFrame:
         for a in range(0, rows.num_rows, 50_000):
             yield pa.RecordBatch.from_arrays([*(rows.column(c).slice(a, 50_000) for c in ("doc_id", "tie", "start", "n")), packed.slice(a, 50_000)], ["doc_id", "tie", "start", "n", "bits"])
 
-    light = distinct.select("key", "twice", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"), F.col("first.start").alias("start"), "n", "body")
-    sent = light.repartition(parts, "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "start")
+    sent = found.repartition(parts, "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "start")
     return sent.mapInArrow(run, f"doc_id {kind}, tie binary, start bigint, n int, bits binary")
 
 
@@ -202,15 +226,30 @@ def spans_of(found: DataFrame, width: int) -> DataFrame:
     return grouped.mapInArrow(run, f"doc_id {kind}, tie binary, spans array<struct<start bigint, stop bigint>>").filter(F.size("spans") > 0)
 
 
+def later_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, tie, n_bytes) of the texts that are copies of a whole text of a smaller id, settled."""
+    rows = docs.filter(F.octet_length(text_col) >= width).select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("tie"), F.octet_length(text_col).cast("long").alias("n_bytes")).distinct()
+    rows = settle(rows, "texts")
+    firsts = rows.groupBy("tie").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("none"))
+    firsts = firsts.select(F.col("tie").alias("ftie"), F.when(~F.col("none"), F.col("first")).alias("first"))
+    copies = settle(rows.join(firsts, (F.col("tie") == F.col("ftie")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_anti"), "copies")
+    discard(rows)
+    return copies
+
+
 def repeated_spans(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, tie, spans array<struct<start, stop>>): bytes covered by windows that start earlier, maximal, in order.
+    """(doc_id, tie, spans array<struct<start, stop>>, whole): bytes covered by windows that start earlier, maximal, in order.
 
-    One row for each different (id, text) with spans; ``tie`` is the text's MD5. See ``repeats`` for repeated rows.
+    One row for each different (id, text) with spans; ``tie`` is the text's MD5; ``whole`` says that it is a copy of a whole
+    text. See ``repeats`` for repeated rows.
     """
     if not SEED <= width <= 250 - STRETCH + 1:
         raise ValueError(f"width must be from {SEED} to {250 - STRETCH + 1} bytes")
     spark = docs.sparkSession
+    copies = later_rows(docs, id_col, text_col, width)
+    other = copies.select(F.col("doc_id").alias("cid"), F.col("tie").alias("ctie"))
     texts = texts_of(docs, id_col, text_col, width)
+    texts = texts.join(other, F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("tie") == F.col("ctie")), "left_anti")
     none = np.zeros(0, np.uint64)
     counts = settle(key_counts(texts, width, none).filter("n > 1"), "repeated-keys")
     crowd = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 100_000)
@@ -222,16 +261,15 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     bits = min(max(BITS[0], (64 * seen.keys).bit_length()), BITS[1])
     held = spark.sparkContext.broadcast((bitmap(counts.select("hash"), bits), bits))
     discard(counts)
-    found = settle(stretches(texts, width, crowded, held), "stretches")
-    first = F.min(F.struct("doc_id", "tie", "start")).alias("first")
-    distinct = found.groupBy("key", "body", "n").agg(first, F.max("twice").alias("twice"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.n * (width + 50) // part_bytes))
-    marked = settle(marks(distinct, width, parts), "marks")
-    every = found.select("doc_id", "tie", "start", "n", F.lit(None).cast("binary").alias("bits"))
-    spans = settle(spans_of(every.unionByName(marked), width), "spans")
-    discard(found)
+    marked = settle(marks(stretches(texts, width, crowded, held, True), width, parts), "marks")
+    every = stretches(texts, width, crowded, held, False).withColumn("bits", F.lit(None).cast("binary"))
+    spans = spans_of(every.unionByName(marked), width).withColumn("whole", F.lit(False))
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
+    out = settle(spans.unionByName(copies.select("doc_id", "tie", all_of_it.alias("spans"), F.lit(True).alias("whole"))), "spans")
     discard(marked)
-    return spans
+    discard(copies)
+    return out
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -260,16 +298,17 @@ def repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text
     whole = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(whole)).alias("tie"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("text_sha256"))
     alike = rows.groupBy("doc_id", "tie", "n_bytes", "text_sha256").agg(F.count("*").alias("rows"))
-    own = spans.withColumnsRenamed({"doc_id": "sid", "tie": "stie"})
+    own = spans.filter(~F.col("whole")).withColumnsRenamed({"doc_id": "sid", "tie": "stie"})
+    nothing_left = F.sha2(F.lit("").cast("binary"), 256)
+    copies = spans.filter("whole").select("doc_id", "tie", "spans", nothing_left.alias("kept_sha256"))
     same = F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("tie") == F.col("stie"))
     cut = texts_of(docs, id_col, text_col, width).join(own, same).select("doc_id", "tie", "spans", F.sha2(without(F.col("text"), F.col("spans")), 256).alias("kept_sha256"))
-    cut = cut.groupBy("doc_id", "tie").agg(F.first("spans").alias("spans"), F.first("kept_sha256").alias("kept_sha256")).withColumnsRenamed({"doc_id": "sid", "tie": "stie"})
+    cut = cut.groupBy("doc_id", "tie").agg(F.first("spans").alias("spans"), F.first("kept_sha256").alias("kept_sha256")).unionByName(copies).withColumnsRenamed({"doc_id": "sid", "tie": "stie"})
     nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("nth")
     each = alike.join(cut, same, "left").select("doc_id", "n_bytes", "text_sha256", "spans", "kept_sha256", nth)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     copy = (F.col("nth") > 1) & (F.col("n_bytes") >= width)
-    nothing = F.lit(None).cast("array<struct<start bigint, stop bigint>>")
-    return each.select("doc_id", "n_bytes", "text_sha256", F.when(copy, all_of_it).otherwise(F.coalesce("spans", F.filter(F.coalesce(nothing, all_of_it), lambda s: F.lit(False)))).alias("spans"), F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "text_sha256")).alias("kept_sha256"))
+    return each.select("doc_id", "n_bytes", "text_sha256", F.when(copy, all_of_it).otherwise(F.coalesce("spans", F.slice(all_of_it, 2, 1))).alias("spans"), F.when(copy, nothing_left).otherwise(F.coalesce("kept_sha256", "text_sha256")).alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
