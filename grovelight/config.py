@@ -36,6 +36,10 @@ class RunConfig:
     weighted_gini: str = "lengths"
     compat_min_reduction: bool = False
     max_classes: int = 1000
+    #: "draws" deals a sample of exact size; "poisson" lets each row draw its own copies, without a shuffle.
+    bootstrap_method: str = "draws"
+    #: Shared folder for manifests of growth, from which a run that was cut off goes on.
+    run_folder: str | None = None
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -52,6 +56,10 @@ class RunConfig:
             object.__setattr__(self, "oob", False)
         if self.oob_denominator not in ("all", "oob") or self.weighted_gini not in ("lengths", "weights"):
             raise ValueError("unknown formula")
+        if self.bootstrap_method not in ("draws", "poisson"):
+            raise ValueError("bootstrap_method must be 'draws' or 'poisson'")
+        if self.bootstrap_method == "poisson" and not (self.bootstrap and (self.max_samples is None or isinstance(self.max_samples, float))):
+            raise ValueError("'poisson' samples with replacement, and by a share of the rows")
 
 
 def parse_quantile(text) -> tuple[int, ...]:

@@ -78,13 +78,17 @@ def train(rows: DataFrame, config: RunConfig) -> Forest:
             raise ValueError(f"there are more than {config.max_classes} classes")
         weights = settle(split_weights(rows, classes), "class-weights") if config.use_weighted_classes else None
     features = settle(sampling.feature_subset(spark, config.n_estimators, n_features, sampling.feature_count(config.max_features, n_features), config.random_state), "tree-features")
-    sample = settle(sampling.bootstrap(rows, config.n_estimators, config.random_state, config.max_samples, config.bootstrap), "bootstrap")
     g = grow.Growth(config.n_bins, config.max_depth, config.min_samples_split, config.min_samples_leaf, classes, weights, config.weighted_gini, config.compat_min_reduction)
-    nodes = grow.grow(grow.initial_state(binned, sample), features, g)
+    if config.bootstrap_method == "poisson":
+        state = settle(grow.own_state(sampling.poisson_bootstrap(binned, config.n_estimators, config.random_state, 1.0 if config.max_samples is None else config.max_samples)), "state")
+    else:
+        sample = settle(sampling.bootstrap(rows, config.n_estimators, config.random_state, config.max_samples, config.bootstrap), "bootstrap")
+        state = settle(grow.initial_state(binned, sample), "state")
+        discard(sample)
+    discard(binned)
+    nodes = grow.grow(state, features, g, config.run_folder)
     trees = nodes.select("split", "tree").distinct().withColumn("weight", F.lit(1.0))
     if config.oob:
-        preds = score.predict_trees(binned, nodes, config.max_depth)
-        trees = settle(score.tree_weights(preds, rows, score.oob_rows(rows, sample, config.n_estimators), config.oob_denominator).select("split", "tree", "weight"), "trees")
-    discard(binned)
-    discard(sample)
+        trees = settle(score.tree_weights(state, nodes, config.max_depth, config.oob_denominator), "trees")
+    discard(state)
     return Forest(edges, nodes, trees, config.n_bins, config.max_depth, config.mode, config.oob)

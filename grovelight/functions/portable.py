@@ -42,12 +42,32 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settled_at(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``settle`` has written, perhaps in another session."""
+    out = spark.read.parquet(path)
+    out._settled_path = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder that Spark has written to its end."""
+    files, place = _place(spark, f"{path}/_SUCCESS")
+    return files.exists(place)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table that nothing reads any more."""
-    path, spark = df.__dict__.pop("_settled_path"), df.sparkSession
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    files, place = _place(df.sparkSession, df.__dict__.pop("_settled_path"))
+    files.delete(place, True)
 
 
 def fresh(taken: list[str], name: str) -> str:

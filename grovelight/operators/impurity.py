@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ NODE = ["split", "client", "tree", "node_id"]
 
 
 def histogram(assign: DataFrame, tree_features: DataFrame) -> DataFrame:
-    """(split, client, tree, node_id, pos, feature, bin, y, n): the only pass over the data of a level.
+    """(split, client, tree, node_id, pos, feature, bin, y, n): a level's pass over the data.
 
     ``assign`` carries each row's bins and label, so rows never move: partial sums are shuffled, nothing else.
     """
@@ -19,35 +24,91 @@ def histogram(assign: DataFrame, tree_features: DataFrame) -> DataFrame:
 
 
 def cumulative(hist: DataFrame, n_bins: int, classes: list[float] | None) -> DataFrame:
-    """Per node and feature: ``left[thr]`` and ``total``, arrays of class counts, or of (n, sum y, sum y*y) in regression."""
-    n, y, b = F.col("n"), F.col("y"), F.col("bin")
-    terms = [F.when(y == c, n).otherwise(0) for c in classes] if classes is not None else [n.cast("double"), n * y, n * y * y]
-    upto = lambda thr: F.array(*[F.sum(F.when(b <= thr, t).otherwise(0)) for t in terms])
-    return hist.groupBy(*NODE, "pos", "feature").agg(F.array(*[upto(t) for t in range(n_bins)]).alias("left"), F.array(*[F.sum(t) for t in terms]).alias("total"))
+    """Per node and feature: ``left[thr]`` and ``total``, arrays of class counts, or of (n, sum y, sum y*y) in regression.
+
+    The bins and classes that occur are gathered by (node, feature), at most bins times classes, and laid out as one
+    dense array whose running sums are taken at once: the plan is the same for any number of them.
+    """
+    key = [*NODE, "pos", "feature"]
+    k = len(classes) if classes is not None else 3
+    kind, number = ("bigint", np.int64) if classes is not None else ("double", np.float64)
+    if classes is not None:
+        # Sorted classes: the place is how many are smaller.
+        place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in classes]), lambda c: c < F.col("y")))
+        cells = hist.select(*key, F.struct((F.col("bin") * k + place).alias("at"), "n").alias("cell"))
+        cells = cells.groupBy(*key).agg(F.collect_list("cell").alias("cells"))
+    else:
+        n, y = F.col("n"), F.col("y")
+        # A label is a double: sums go by label in order, so that they don't depend on the order of rows.
+        cells = hist.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("bin", "y", "n"))).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, step := max(1, 4_000_000 // (n_bins * k))):
+                part = batch.slice(a, step)
+                cell, sizes = part.column("cells").flatten(), pc.list_value_length(part.column("cells")).to_numpy()
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                dense = np.zeros((part.num_rows, n_bins, k), number)
+                # Values below the first edge are in bin -1: left of every threshold.
+                if classes is not None:
+                    at, n = cell.field("at").to_numpy(), cell.field("n").to_numpy()
+                    np.add.at(dense, (row, np.maximum(at // k, 0), at % k), n)
+                else:
+                    at, y, n = cell.field("bin").to_numpy(), cell.field("y").to_numpy(), cell.field("n").to_numpy().astype(number)
+                    for i, v in enumerate((n, n * y, n * y * y)):
+                        np.add.at(dense, (row, np.maximum(at, 0), i), v)
+                left = np.cumsum(dense, axis=1)
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, left.size + 1, k, dtype=np.int32)), pa.array(left.reshape(-1)))
+                outer = pa.ListArray.from_arrays(pa.array(np.arange(0, part.num_rows * n_bins + 1, n_bins, dtype=np.int32)), inner)
+                last = pa.ListArray.from_arrays(pa.array(np.arange(0, part.num_rows * k + 1, k, dtype=np.int32)), pa.array(left[:, -1].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), outer, last], [*key, "left", "total"])
+
+    shape = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in key)
+    return cells.mapInArrow(run, f"{shape}, left array<array<{kind}>>, total array<{kind}>")
+
+
+def without_sibling(parent: DataFrame, sibling: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cumulative counts of ``nodes`` (split, tree, slot, node_id): those of their parents less those of their siblings.
+
+    A site without rows of the sibling takes all of the parent's; one without rows of the node itself has no row.
+    """
+    key = ["split", "client", "tree", "pos"]
+    own = parent.drop("slot").withColumnRenamed("node_id", "__up").join(nodes.withColumn("__up", F.shiftright("node_id", 1)), ["split", "tree", "__up"])
+    other = sibling.select(*key, F.col("node_id").bitwiseXOR(F.lit(1)).alias("node_id"), F.col("left").alias("__left"), F.col("total").alias("__total"))
+    both = own.join(other, [*key, "node_id"], "left")
+    less = lambda a, b: F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: x - y))
+    left = F.when(F.col("__left").isNull(), F.col("left")).otherwise(F.zip_with("left", "__left", lambda x, y: F.zip_with(x, y, lambda p, q: p - q)))
+    made = both.select("split", "client", "tree", "slot", "pos", "feature", "node_id", left.alias("left"), less(F.col("total"), F.col("__total")).alias("total"))
+    return made.filter(F.exists("total", lambda n: n > 0))
 
 
-def _add(values: list[Column]) -> Column:
-    out = values[0]
-    for v in values[1:]:
-        out = out + v
-    return out
+def added(values: Column, start: Column) -> Column:
+    """Sum of an array in its order."""
+    return F.aggregate(values, start, lambda a, v: a + v)
 
 
 def gini(left: Column, total: Column, k: int, weights: Column | list[float] | None = None, lengths: str = "lengths") -> Column:
     """Gini of a split from class counts; 1.0 if a side is empty. Weights, one a class, enter the squares; ``lengths`` says
     whether the sides are divided by their row counts (the computed form) or by their weighted counts (the documented form)."""
-    w = [F.lit(1.0)] * k if weights is None else [F.get(weights, F.lit(i)) for i in range(k)] if isinstance(weights, Column) else [F.lit(x) for x in weights]
-    lc = [F.get(left, F.lit(i)) for i in range(k)]
-    rc = [F.get(total, F.lit(i)) - F.get(left, F.lit(i)) for i in range(k)]
-    nl, nr = _add(lc), _add(rc)
-    both = nl + nr
-
-    def side(counts: list[Column], n: Column) -> Column:
-        by = n if weights is None or lengths == "lengths" else _add([c * x for c, x in zip(counts, w)])
-        squares = _add([(c * x / by) * (c * x / by) if weights is not None else (c / by) * (c / by) for c, x in zip(counts, w)])
-        return n / both * (1.0 - squares)
-
-    return F.when((nl == 0) | (nr == 0), F.lit(1.0)).otherwise(side(lc, nl) + side(rc, nr))
+    w = F.array(*[F.lit(float(x)) for x in weights]) if isinstance(weights, list) else weights
+    none, zero = F.lit(0).cast("bigint"), F.lit(0.0)
+    right = F.zip_with(total, left, lambda t, c: t - c)
+
+    def scored(s: Column) -> Column:
+        def side(counts: Column, n: Column) -> Column:
+            if weights is None:
+                squares = added(F.transform(counts, lambda c: (c / n) * (c / n)), zero)
+                return n / (s["nl"] + s["nr"]) * (1.0 - squares)
+            of = F.zip_with(counts, w, lambda c, x: c * x)
+            by = n.cast("double") if lengths == "lengths" else added(of, zero)
+            # The divisor is bound once, not summed again for each class.
+            squares = F.get(F.transform(F.array(F.struct(of.alias("of"), by.alias("by"))), lambda b: added(F.transform(b["of"], lambda v: (v / b["by"]) * (v / b["by"])), zero)), F.lit(0))
+            return n / (s["nl"] + s["nr"]) * (1.0 - squares)
+
+        return F.when((s["nl"] == 0) | (s["nr"] == 0), F.lit(1.0)).otherwise(side(s["l"], s["nl"]) + side(s["r"], s["nr"]))
+
+    sized = F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), lambda s: F.struct(s["l"].alias("l"), s["r"].alias("r"), added(s["l"], none).alias("nl"), added(s["r"], none).alias("nr")))
+    return F.get(F.transform(sized, scored), F.lit(0))
 
 
 def mse(n: Column, s: Column, ss: Column) -> Column:

@@ -49,6 +49,35 @@ def bootstrap(rows: DataFrame, n_trees: int, seed: int, max_samples: float | int
     return ranked.join(F.broadcast(sizes.select("split", "client", "m")), ["split", "client"]).filter("nth < m").select("split", "client", "tree", "row_id", F.lit(1).cast("bigint").alias("mult"))
 
 
+def poisson_steps(rate: float) -> list[int]:
+    """How many of the draw's 2**32 values give at most 0, 1, 2, ... copies at this mean."""
+    p = total = math.exp(-rate)
+    steps = []
+    while (at := round(total * (1 << 32))) < 1 << 32 and len(steps) < 200:
+        steps.append(at)
+        p *= rate / len(steps)
+        total += p
+    return steps
+
+
+def poisson_bootstrap(rows: DataFrame, n_trees: int, seed: int, rate: float = 1.0) -> DataFrame:
+    """``rows`` with ``sample``, array of (tree, mult): each row draws its own number of copies for each tree.
+
+    Numbers are Poisson with mean ``rate``, by inversion of a draw of the row's key, so a sample's size varies a little
+    around ``rate`` times the rows and nothing is shuffled. Trees that don't take the row are not in the array.
+    """
+    steps = F.array(*[F.lit(x).cast("bigint") for x in poisson_steps(rate)])
+
+    def own(tree: Column) -> Column:
+        h = F.array(draw(seed, "p", F.col("split"), F.col("client"), tree, F.col("row_id")))
+        # The draw is bound once, then compared with every step.
+        mult = F.get(F.transform(h, lambda v: F.size(F.filter(steps, lambda s: s <= v)).cast("bigint")), F.lit(0))
+        return F.struct(tree.cast("int").alias("tree"), mult.alias("mult"))
+
+    trees = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), own)
+    return rows.withColumn("sample", F.filter(trees, lambda x: x["mult"] > 0))
+
+
 def train_test(rows: DataFrame, share: float, seed: int) -> DataFrame:
     """``role`` by threshold on a draw: about ``share`` of the rows are test rows."""
     return rows.withColumn("role", F.when(draw(seed, "t", F.col("client"), F.col("row_id")) < int(share * (1 << 32)), "test").otherwise("train"))

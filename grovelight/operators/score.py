@@ -58,34 +58,25 @@ def predict_rows(binned: DataFrame, nodes: DataFrame, depth: int, mode: str, wei
     return walked.select(*KEY, (-F.array_max(ranked)["neg"]).alias("pred"))
 
 
-def vote_majority(preds: DataFrame) -> DataFrame:
-    return preds.groupBy(*KEY).agg(F.mode("pred", True).alias("pred"))
-
-
-def vote_weighted(preds: DataFrame, trees: DataFrame) -> DataFrame:
-    """Largest sum of tree weights, ties to the smallest class; weights are added in order of the tree."""
-    each = preds.join(F.broadcast(trees), ["split", "tree"]).groupBy(*KEY, "pred").agg(F.array_sort(F.collect_list(F.struct("tree", "weight"))).alias("w"))
-    summed = each.select(*KEY, "pred", F.aggregate("w", F.lit(0.0), lambda a, x: a + x["weight"]).alias("s"))
-    return summed.groupBy(*KEY).agg(F.max(F.struct("s", (-F.col("pred")).alias("neg"))).alias("b")).select(*KEY, (-F.col("b.neg")).alias("pred"))
-
-
-def vote_mean(preds: DataFrame) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("tree", "pred")))
-    return preds.groupBy(*KEY).agg((F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["pred"]) / F.count("*")).alias("pred"))
-
-
 def oob_rows(rows: DataFrame, sample: DataFrame, n_trees: int) -> DataFrame:
     """(split, client, tree, row_id) of rows that a tree's sample doesn't hold."""
     grid = rows.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
     return grid.join(sample.select(*KEY, "tree"), [*KEY, "tree"], "left_anti").select("split", "client", "tree", "row_id")
 
 
-def tree_weights(preds: DataFrame, rows: DataFrame, out_of_bag: DataFrame, denominator: str = "all") -> DataFrame:
-    """(split, tree, accuracy, weight): 1 - errors on out-of-bag rows / all rows (or / out-of-bag rows), normalised to sum 1."""
-    wrong = preds.join(rows.select(*KEY, "y"), KEY).join(out_of_bag, [*KEY, "tree"], "left_semi")
-    errors = wrong.groupBy("split", "tree").agg(F.sum((F.col("pred") != F.col("y")).cast("bigint")).alias("err"), F.count("*").alias("n_oob"))
-    sizes = rows.groupBy("split").agg(F.count("*").alias("n"))
-    trees = preds.select("split", "tree").distinct().join(errors, ["split", "tree"], "left").join(F.broadcast(sizes), "split")
+def tree_weights(state: DataFrame, nodes: DataFrame, depth: int, denominator: str = "all") -> DataFrame:
+    """(split, tree, accuracy, weight): 1 - errors on out-of-bag rows / all rows (or / out-of-bag rows), normalised to sum 1.
+
+    ``state`` is growth's first (see ``grow.initial_state``): a row knows the trees whose samples hold it, walks down
+    the others and compares their answers in its own projection. Only the sums of errors, one a tree, are shuffled.
+    """
+    walked = state.join(F.broadcast(packed_trees(nodes)), "split").withColumn("__preds", leaf_values(depth))
+    inside = F.transform("at", lambda a: a["tree"])
+    answers = F.zip_with("forest", "__preds", lambda t, p: F.struct(t["tree"].alias("tree"), p.alias("pred")))
+    each = walked.select("split", "y", F.explode(F.filter(answers, lambda x: ~F.array_contains(inside, x["tree"]))).alias("x"))
+    errors = each.groupBy("split", F.col("x.tree").alias("tree")).agg(F.sum((F.col("x.pred") != F.col("y")).cast("bigint")).alias("err"), F.count("*").alias("n_oob"))
+    sizes = state.groupBy("split").agg(F.count("*").alias("n"))
+    trees = nodes.select("split", "tree").distinct().join(errors, ["split", "tree"], "left").join(F.broadcast(sizes), "split")
     n = F.col("n") if denominator == "all" else F.col("n_oob")
     acc = trees.select("split", "tree", F.when(F.coalesce("n_oob", F.lit(0)) == 0, 1.0).otherwise(1 - F.col("err") / n).alias("accuracy"))
-    return acc.withColumn("weight", F.col("accuracy") / F.sum("accuracy").over(Window.partitionBy("split")))
+    return acc.withColumn("weight", F.col("accuracy") / F.sum("accuracy").over(Window.partitionBy("split").orderBy("tree").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

@@ -132,6 +132,12 @@ def moments_partial(spark, d):
     return binning.moments_partial(L(spark, d)).select("client", "feature", "n", F.round("sxx", 3).alias("sxx"), F.round("sx", 3).alias("sx"))
 
 
+@query("SELECT (l_orderkey % 3)::INTEGER AS client, feature::INTEGER AS feature, count(*) AS n, fsum(x * x) AS sxx, fsum(x) AS sx FROM (SELECT l_orderkey, unnest([0, 1, 2, 3]) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem) GROUP BY ALL")
+def moments_exact(spark, d):
+    """The sums to their last bit, against compensated sums: both are the exact sum, rounded once."""
+    return binning.moments_partial(L(spark, d)).select("client", "feature", "n", "sxx", "sx")
+
+
 @query(o.with_(o.L_ROWS, o.moments(4), select="SELECT feature, round(mean, 5) AS mean, round(sd, 5) AS stddev FROM stats"))
 def moments_global(spark, d):
     return binning.moments_global(binning.moments_partial(L(spark, d))).select("feature", F.round("mean", 5).alias("mean"), F.round("stddev", 5).alias("stddev"))
@@ -214,6 +220,16 @@ def bootstrap_with(spark, d):
     return sampling.bootstrap(L(spark, d), TREES, SEED).select("client", "tree", "row_id", "mult")
 
 
+_P = o.draw(str(SEED), "'p'", "'0'", "client", "t.i", "row_id")
+
+
+@query(o.with_(o.L_ROWS, f"r AS (SELECT client, t.i::INTEGER AS tree, row_id, len(list_filter({sampling.poisson_steps(0.7)}, lambda s: s <= {_P}))::BIGINT AS mult FROM rows, range({TREES}) t(i))", select="SELECT client, tree, row_id, mult FROM r WHERE mult > 0"))
+def bootstrap_poisson(spark, d):
+    """Each row's own copies, drawn without a shuffle."""
+    drawn = sampling.poisson_bootstrap(L(spark, d), TREES, SEED, 0.7)
+    return drawn.select("client", "row_id", F.explode("sample").alias("s")).select("client", F.col("s.tree").alias("tree"), "row_id", F.col("s.mult").alias("mult"))
+
+
 _S = o.draw(str(SEED), "'s'", "'0'", "client", "t.i", "row_id")
 
 
@@ -430,17 +446,13 @@ def oob_rows(spark, d):
 
 @query(o.with_(_L_SQL, o.predictions(2), _OOB, select="SELECT tree, round(accuracy, 6) AS accuracy, round(weight, 6) AS weight FROM tw"))
 def tree_weights(spark, d):
-    rows, forest = l_trained(spark, d)
-    out_of_bag = score.oob_rows(rows, sampling.bootstrap(rows, TREES, SEED, 0.5), TREES)
-    return score.tree_weights(forest.predict_trees(rows), rows, out_of_bag).select("tree", r6("accuracy"), r6("weight"))
+    return forests.train(L(spark, d), replace(L_FOREST, oob=True)).trees.select("tree", r6("accuracy"), r6("weight"))
 
 
 @query(o.with_(_L_SQL, o.predictions(2), _OOB, select="SELECT p.tree, round(1 - sum((pred <> y)::INTEGER)::DOUBLE / count(*), 6) AS accuracy FROM preds p JOIN oob USING (client, tree, row_id) GROUP BY p.tree"))
 def oob_accuracy(spark, d):
     """Errors divided by the out-of-bag rows themselves."""
-    rows, forest = l_trained(spark, d)
-    out_of_bag = score.oob_rows(rows, sampling.bootstrap(rows, TREES, SEED, 0.5), TREES)
-    return score.tree_weights(forest.predict_trees(rows), rows, out_of_bag, "oob").select("tree", r6("accuracy"))
+    return forests.train(L(spark, d), replace(L_FOREST, oob=True, oob_denominator="oob")).trees.select("tree", r6("accuracy"))
 
 
 def l_pairs(spark, d) -> DataFrame:
