@@ -36,6 +36,8 @@ class RunConfig:
     weighted_gini: str = "lengths"
     compat_min_reduction: bool = False
     max_classes: int = 1000
+    #: Rows are numbered by the draw of their "values", or as "lines" of the files, so that predictions stand in file order.
+    row_ids: str = "values"
     #: "draws" deals a sample of exact size; "poisson" lets each row draw its own copies, without a shuffle.
     bootstrap_method: str = "draws"
     #: Shared folder for manifests of growth, from which a run that was cut off goes on.
@@ -56,6 +58,8 @@ class RunConfig:
             object.__setattr__(self, "oob", False)
         if self.oob_denominator not in ("all", "oob") or self.weighted_gini not in ("lengths", "weights"):
             raise ValueError("unknown formula")
+        if self.row_ids not in ("values", "lines"):
+            raise ValueError("row_ids must be 'values' or 'lines'")
         if self.bootstrap_method not in ("draws", "poisson"):
             raise ValueError("bootstrap_method must be 'draws' or 'poisson'")
         if self.bootstrap_method == "poisson" and not (self.bootstrap and (self.max_samples is None or isinstance(self.max_samples, float))):

@@ -539,17 +539,19 @@ _CSV = "(p_partkey % 2 + 1)::INTEGER AS client, 'fold' || (p_partkey // 2 % 2) A
 _NUMBERED = f"row_number() OVER (PARTITION BY client ORDER BY {o.draw('a::VARCHAR', 'b::VARCHAR', 'y::VARCHAR').replace(chr(39) + '|' + chr(39), chr(39) + ',' + chr(39))}, a, b, y) - 1 AS row_id, [a, b] AS f"
 
 
-def csv_sites(spark, d) -> str:
-    """Parts as CSV files of two sites and two folds, with training and test rows."""
+def csv_sites(spark, d, ordered: bool = False) -> str:
+    """Parts as CSV files of two sites and two folds, with training and test rows; ``ordered``: lines by key, and the
+    second site's columns in another order."""
     part = spark.read.parquet(f"{d}/part.parquet")
     key = F.col("p_partkey")
-    rows = part.select((key % 2 + 1).cast("int").alias("client"), F.concat(F.lit("fold"), (F.floor(key / 2) % 2).cast("string")).alias("split"), F.col("p_size").cast("double").alias("size (cm)"), (key % 50).cast("double").alias("b"), (F.floor("p_retailprice") % 3).cast("double").alias("kind"), (key % 5 == 0).alias("is_test"))
+    rows = part.select((key % 2 + 1).cast("int").alias("client"), F.concat(F.lit("fold"), (F.floor(key / 2) % 2).cast("string")).alias("split"), F.col("p_size").cast("double").alias("size (cm)"), (key % 50).cast("double").alias("b"), (F.floor("p_retailprice") % 3).cast("double").alias("kind"), (key % 5 == 0).alias("is_test"), key.alias("key"))
     rows, root = settle(rows, "parts"), scratch(part)
     for client in (1, 2):
         for fold in ("fold0", "fold1"):
             for name, wanted in (("train", ~F.col("is_test")), ("test", F.col("is_test"))):
                 own = rows.filter((F.col("client") == client) & (F.col("split") == fold) & wanted)
-                own.select("size (cm)", "b", "kind").write.csv(f"{root}/client{client}/{fold}/{name}.csv", sep=";", header=True)
+                own = own.repartitionByRange(3, "key").sortWithinPartitions("key") if ordered else own
+                own.select(*(("kind", "b", "size (cm)") if ordered and client == 2 else ("size (cm)", "b", "kind"))).write.csv(f"{root}/client{client}/{fold}/{name}.csv", sep=";", header=True)
     return root
 
 
@@ -562,6 +564,24 @@ def csv_scan(spark, d):
     return rows.select("split", "client", F.get("features", F.lit(0)).alias("a"), F.get("features", F.lit(1)).alias("b"), "y")
 
 
+@query(f"SELECT split, client, a, b, y FROM (SELECT {_CSV}) WHERE NOT is_test")
+def read_sites(spark, d):
+    """Two sites whose files have their columns in different orders."""
+    rows = tables.read_csv_sites(spark, f"{csv_sites(spark, d, ordered=True)}/client*/*/train.csv", "kind", ";")
+    return rows.select("split", "client", F.get("features", F.lit(0)).alias("a"), F.get("features", F.lit(1)).alias("b"), "y")
+
+
+_KEYED = _CSV.replace(" FROM part", ", p_partkey AS key FROM part")
+_LINE = "row_number() OVER (PARTITION BY split, client ORDER BY key) - 1 AS row_id"
+
+
+@query(f"SELECT split, client, row_id, a, y FROM (SELECT *, {_LINE} FROM (SELECT {_KEYED}) WHERE NOT is_test) WHERE row_id >= 5 AND row_id < 40")
+def file_slice(spark, d):
+    """Lines [5, 40) of each site's and fold's training file."""
+    rows = tables.read_csv_sites(spark, f"{csv_sites(spark, d, ordered=True)}/client*/*/train.csv", "kind", ";", row_ids="lines")
+    return rows.filter((F.col("row_id") >= 5) & (F.col("row_id") < 40)).select("split", "client", "row_id", F.get("features", F.lit(0)).alias("a"), "y")
+
+
 _MAJ = "SELECT client, row_id, y, pred FROM preds GROUP BY client, row_id, y, pred QUALIFY row_number() OVER (PARTITION BY client, row_id ORDER BY count(*) DESC, pred) = 1"
 _DIRECTORY = " UNION ALL ".join(f"""SELECT 'fold{f}' AS split, client, row_id, pred FROM ({o.with_(f"own AS (SELECT * FROM (SELECT {_CSV}) WHERE split = 'fold{f}')", o.forest(f"rows AS MATERIALIZED (SELECT client, {_NUMBERED}, y FROM own WHERE NOT is_test)", 5, 2, TREES, 2, SEED, 2, 3, split=f"fold{f}"), f"tests AS (SELECT client, {_NUMBERED}, y FROM own WHERE is_test)", o.bins_of(2, "tests", "tbinned"), o.predictions(2, "tbinned"), select=_MAJ)})""" for f in (0, 1))
 
@@ -574,6 +594,17 @@ def run_directory_mode(spark, d):
     return spark.read.csv(f"{root}/out/{C_FOREST.pred_out}", sep=";", header=True, schema="row_id bigint, pred double, split string, client int")
 
 
+_BY_LINE = _DIRECTORY.replace(_NUMBERED, "row_number() OVER (PARTITION BY client ORDER BY key) - 1 AS row_id, [a, b] AS f").replace(_CSV, _KEYED)
+
+
+@query(_BY_LINE)
+def run_in_file_order(spark, d):
+    """From files to files, rows numbered by their lines: prediction n belongs to line n of the site's test file."""
+    root = csv_sites(spark, d, ordered=True)
+    runs.run(spark, replace(C_FOREST, row_ids="lines"), root, f"{root}/out")
+    return spark.read.csv(f"{root}/out/{C_FOREST.pred_out}", sep=";", header=True, schema="row_id bigint, pred double, split string, client int")
+
+
 @query()
 def cv_mcc(spark, d):
     """Two folds, each fitted without its rows and scored on them. No SQL: as one text it takes DuckDB minutes."""

@@ -32,12 +32,16 @@ def pattern(root: str, config: RunConfig, name: str) -> str:
 
 def run(spark: SparkSession, config: RunConfig, root: str, out: str | None = None) -> Outcome:
     """Train on every site's and split's training file, predict the test files, and write to <out>/<pred_out> and
-    <out>/<test_out> (one folder a split and site, rows by row_id); without ``out`` nothing is written.
+    <out>/<test_out> (one folder a split and site, its part files in order of row_id); without ``out`` nothing is written.
+    With ``config.row_ids`` "lines", line n of a site's predictions belongs to line n of its test file. Test columns are
+    found by the names of the training columns, or, if they have other names, taken in their own order.
 
     At least two sites must have rows; train and test must have equally many features; every test split needs a model.
     """
-    train = settle(tables.read_csv_sites(spark, pattern(root, config, config.train), config.label, config.sep), "train")
-    test = settle(tables.read_csv_sites(spark, pattern(root, config, config.test), config.label, config.sep), "test")
+    places = pattern(root, config, config.train)
+    names = tables.feature_names(tables.site_headers(tables.site_lines(spark, places), config.sep), config.label)
+    train = settle(tables.read_csv_sites(spark, places, config.label, config.sep, config.row_ids, names), "train")
+    test = settle(tables.read_csv_sites(spark, pattern(root, config, config.test), config.label, config.sep, config.row_ids, names), "test")
     tables.require_sites(train)
     width = forests.check_rows(train)
     if not test.filter(F.size("features") != width).isEmpty():
