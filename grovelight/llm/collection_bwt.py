@@ -9,14 +9,13 @@ In memory are one chunk, one place a string, and running counts and minima of 25
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
 
 #: Symbol of a suffix that is a whole string; no byte of UTF-8 has this value.
 END = 255
-BLOCK = 32
+BLOCK = 8
 
 
 def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -26,7 +25,10 @@ def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     first, last = -(-lo // BLOCK), (hi + 1) // BLOCK - 1
     far = np.flatnonzero(first <= last)
     if len(far):
-        table = [np.minimum.reduceat(values, np.arange(0, len(values), BLOCK))]
+        whole = values[: len(values) // BLOCK * BLOCK]
+        while len(whole) > len(values) // BLOCK:
+            whole = np.minimum(whole[0::2], whole[1::2])
+        table = [whole]
         a, n = first[far], last[far] - first[far] + 1
         level = np.frexp(n)[1] - 1
         for k in range(level.max()):
@@ -45,50 +47,68 @@ def chunks(path: str, n: int, size: int):
             yield np.fromfile(f, np.uint8, min(size, n - a))
 
 
-def places(folder: str, n: int, at: np.ndarray, most: int, size: int):
-    """One reading: symbols of the rows ``at``; their suffixes' ranks and prefixes; and the same of the rows after them."""
+def places(sym_file: str, lcp_file: str, n: int, at: np.ndarray, most: int, size: int):
+    """One reading. Of the suffixes that the rows ``at`` bring in, and of those that come next after them: first symbol,
+    rank among its equals, prefix, whether new, and the row; and how often each symbol occurs."""
     counts, least, was_new = np.zeros(256, np.int64), np.full(256, 255, np.uint8), np.zeros(256, bool)
     found = []
-    for c, (sym, lcp) in enumerate(zip(chunks(f"{folder}/sym", n, size), chunks(f"{folder}/lcp", n, size))):
+    for c, (sym, lcp) in enumerate(zip(chunks(sym_file, n, size), chunks(lcp_file, n, size))):
         a = c * size
-        new = np.zeros(len(sym), bool)
-        new[at[np.searchsorted(at, a) : np.searchsorted(at, a + len(sym))] - a] = True
+        new = at[np.searchsorted(at, a) : np.searchsorted(at, a + len(sym))] - a
         order = np.argsort(sym, kind="stable")
-        ss, fresh = sym[order], new[order]
-        own = np.bincount(ss, minlength=256)
+        own = np.bincount(sym, minlength=256)
         start = np.cumsum(own) - own
-        head = np.zeros(len(ss), bool)
-        head[start[own > 0]] = True
-        after = np.roll(fresh, 1)
-        after[head] = was_new[ss[head]]
-        k = np.flatnonzero((fresh | after) & (ss != END))
-        s, row = ss[k], order[k]
-        rank = counts[s] + k - start[s]
-        inside = ~head[k]
-        prefix = np.full(len(k), 255, np.uint8)
-        lo = np.where(inside, order[k - 1] + 1, 0)
-        prefix = range_minima(lcp, lo, row) if len(k) else prefix
-        prefix = np.where(inside, prefix, np.minimum(prefix, least[s]))
-        prefix = np.where(rank == 0, 0, np.minimum(prefix.astype(np.int64) + 1, most)).astype(np.uint8)
-        found.append((s, rank, prefix, fresh[k], row + a))
-        least = np.minimum(least, lcp.min())
-        here = np.flatnonzero(own)
-        last = order[start[here] + own[here] - 1]
-        low = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
-        least[here], was_new[here] = low[last + 1], new[last]
+        # Where the new rows stand in the order: a search in their own symbol's part of it.
+        s = sym[new]
+        by = np.argsort(s, kind="stable")
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(s[by]) != 0)), len(by)) if len(by) else [0]
+        k = np.empty(len(by), np.int64)
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            v = s[by[i]]
+            k[i:j] = start[v] + np.searchsorted(order[start[v] : start[v] + own[v]], new[by[i:j]])
+        s = s[by]
+        # The rows behind new ones: in this chunk, or the first of a symbol whose last row before was new.
+        after = k + 1
+        after, s_after = after[after < start[s] + own[s]], s[after < start[s] + own[s]]
+        carried = np.flatnonzero(was_new & (own > 0))
+        every = np.concatenate([k, after, start[carried]])
+        symbols = np.concatenate([s, s_after, carried.astype(np.uint8)])
+        fresh = np.concatenate([np.ones(len(k), bool), np.zeros(len(every) - len(k), bool)])
+        one = np.lexsort((~fresh, every))  # a row that is both counts as new
+        one = one[np.append(True, np.diff(every[one]) != 0)] if len(one) else one
+        k, s, fresh = every[one], symbols[one], fresh[one]
+        row, rank, inside = order[k], counts[s] + k - start[s], k > start[s]
+        if len(k):
+            prefix = range_minima(lcp, np.where(inside, order[k - 1] + 1, 0), row)
+            prefix = np.where(inside, prefix, np.minimum(prefix, least[s]))
+            prefix = np.where(rank == 0, 0, np.minimum(prefix.astype(np.int64) + 1, most)).astype(np.uint8)
+            found.append((s, rank, prefix, fresh, row + a))
+        if a + size < n:
+            least = np.minimum(least, lcp.min())
+            here = np.flatnonzero(own)
+            last = order[start[here] + own[here] - 1]
+            open_end = last + 1 < len(lcp)
+            least[here] = 255
+            least[here[open_end]] = range_minima(lcp, last[open_end] + 1, np.full(open_end.sum(), len(lcp) - 1))
+            was_new[here] = np.isin(last, new)
         counts += own
     return counts, *(np.concatenate(x) for x in zip(*found))
 
 
-def build(folder: str, bodies: np.ndarray, offsets: np.ndarray, most: int, size: int) -> int:
-    """Files ``sym`` and ``lcp`` of all suffixes, prefixes up to ``most``; strings are bodies[offsets[j]:offsets[j+1]], none empty. Number of rows."""
+def build(folder: str, bodies: np.ndarray, offsets: np.ndarray, most: int, size: int) -> tuple[str, str, int]:
+    """Files of symbols and prefixes (up to ``most``) of all suffixes, and the number of rows. The strings are
+    bodies[offsets[j]:offsets[j+1]], none empty. Rounds write to two pairs of files by turns."""
     ends, lengths = offsets[1:], np.diff(offsets)
     m = len(lengths)
-    bodies[ends - 1].tofile(f"{folder}/sym")
-    np.zeros(m, np.uint8).tofile(f"{folder}/lcp")
+    names = [{"sym": f"{folder}/sym-{i}", "lcp": f"{folder}/lcp-{i}"} for i in (0, 1)]
+    for name in (*names[0].values(), *names[1].values()):
+        open(name, "wb").close()
+    bodies[ends - 1].tofile(names[0]["sym"])
+    np.zeros(m, np.uint8).tofile(names[0]["lcp"])
     n, at, who = m, np.arange(m), np.arange(m)
+    now, after = names
     for r in range(1, int(lengths.max()) + 1):
-        counts, s, rank, prefix, fresh, row = places(folder, n, at, most, size)
+        counts, s, rank, prefix, fresh, row = places(now["sym"], now["lcp"], n, at, most, size)
         begin = m + np.cumsum(counts[:END]) - counts[:END]
         target = begin[s] + rank
         order = np.argsort(target)
@@ -98,24 +118,28 @@ def build(folder: str, bodies: np.ndarray, offsets: np.ndarray, most: int, size:
         symbols = np.where(lengths[who] > r, bodies[np.maximum(ends[who] - r - 1, 0)], END).astype(np.uint8)
         before = at - np.arange(len(at))  # how many of the old rows stand before each new one
         for name, values in (("sym", symbols), ("lcp", prefix[fresh])):
-            with open(f"{folder}/{name}.next", "wb") as f:
+            with open(after[name], "r+b") as f:
                 done = 0
-                for c, old in enumerate(chunks(f"{folder}/{name}", n, size)):
+                for c, old in enumerate(chunks(now[name], n, size)):
                     a = c * size
                     i, j = np.searchsorted(before, [a, a + len(old) if a + len(old) < n else n + 1])
-                    made = np.insert(old, before[i:j] - a, values[i:j])
+                    made = np.empty(len(old) + j - i, np.uint8)
+                    kept = np.ones(len(made), bool)
+                    kept[at[i:j] - done] = False
+                    made[kept] = old
+                    made[at[i:j] - done] = values[i:j]
                     if name == "lcp":
                         p, q = np.searchsorted(target, [done, done + len(made)])
                         made[target[p:q] - done] = prefix[p:q]
                     made.tofile(f)
                     done += len(made)
-            os.replace(f"{folder}/{name}.next", f"{folder}/{name}")
+        now, after = after, now
         n += len(at)
         going = lengths[who] > r
         at, who = at[going], who[going]
         if not len(at):
             break
-    return n
+    return now["sym"], now["lcp"], n
 
 
 def later_copies(bodies: np.ndarray, offsets: np.ndarray, width: int, size: int = 4 << 20) -> np.ndarray:
@@ -126,8 +150,8 @@ def later_copies(bodies: np.ndarray, offsets: np.ndarray, width: int, size: int
         return np.zeros((0, 2), np.int64)
     # Scratch of this task alone, gone when it ends; a task that runs again builds its own.
     with tempfile.TemporaryDirectory() as folder:
-        n = build(folder, bodies, offsets, width, size)
-        sym, lcp = np.fromfile(f"{folder}/sym", np.uint8), np.fromfile(f"{folder}/lcp", np.uint8)
+        sym_file, lcp_file, n = build(folder, bodies, offsets, width, size)
+        sym, lcp = np.fromfile(sym_file, np.uint8, n), np.fromfile(lcp_file, np.uint8, n)
     # Row of the next longer suffix: ends last, behind all symbols.
     follow = np.empty(n, np.int32)
     follow[np.argsort(sym, kind="stable")] = np.arange(m, n + m, dtype=np.int32)

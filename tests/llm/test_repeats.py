@@ -36,8 +36,9 @@ def test_transform(seed):
             (later.add((j, t)) if s[t : t + width] in seen else seen.add(s[t : t + width]))
     for size in (1 << 20, 60):
         with tempfile.TemporaryDirectory() as folder:
-            assert collection_bwt.build(folder, data, offsets, width, size) == len(suffixes)
-            sym, lcp = (np.fromfile(f"{folder}/{name}", np.uint8).tolist() for name in ("sym", "lcp"))
+            *files, n = collection_bwt.build(folder, data, offsets, width, size)
+            assert n == len(suffixes)
+            sym, lcp = (np.fromfile(file, np.uint8, n).tolist() for file in files)
         assert sym == [strings[j][-len(x) - 1] if len(x) < len(strings[j]) else collection_bwt.END for x, j in suffixes]
         assert lcp == [0] + [common(a[0], b[0], width) for a, b in zip(suffixes, suffixes[1:])]
         assert {tuple(x) for x in collection_bwt.later_copies(data, offsets, width, size).tolist()} == later
