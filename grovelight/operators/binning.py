@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import exact
 
 
+#: From so many edges on, a search halves them instead of comparing each.
+HALVE_FROM = 64
+
+
 def long_view(rows: DataFrame) -> DataFrame:
     return rows.select("split", "client", "row_id", "y", F.posexplode("features").alias("feature", "x"))
 
@@ -70,10 +74,24 @@ def edge_table(rows: DataFrame, n_bins: int, quantile: tuple[int, ...] = ()) ->
     return stats.select("split", "feature", F.when(is_quantile, "quantile").otherwise("bucket").alias("kind"), F.when(is_quantile, F.array(*map(F.lit, normal_quantiles(n_bins)))).otherwise(wide).alias("edges"), "mean", "stddev")
 
 
+def edges_below(edges: Column, value: Column, n_bins: int) -> Column:
+    """How many of the ascending edges are at most ``value``: by halving where there are many."""
+    if n_bins <= HALVE_FROM:
+        return F.size(F.filter(edges, lambda edge: edge <= value))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        up = F.get(edges, middle) <= value
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(up, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(middle).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n_bins.bit_length())), start, halve, lambda s: s["lo"])
+
+
 def bin_of(x: Column, e: Column, n_bins: int) -> Column:
     """Bin of one value by one feature's edges (struct of kind, edges, mean, stddev); missing values go to the last."""
     value = F.when(e["kind"] == "quantile", zscore(x, e["mean"], e["stddev"])).otherwise(x)
-    below = F.size(F.filter(e["edges"], lambda edge: edge <= value)) - F.when(e["kind"] == "quantile", 0).otherwise(1)
+    below = edges_below(e["edges"], value, n_bins) - F.when(e["kind"] == "quantile", 0).otherwise(1)
     return F.when(x.isNull() | F.isnan(x), F.lit(n_bins - 1)).otherwise(below)
 
 

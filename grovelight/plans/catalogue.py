@@ -13,8 +13,9 @@ from .. import evaluate
 from .. import forest as forests
 from .. import run as runs
 from ..config import RunConfig
+from ..functions import scorer
 from ..functions.portable import settle, shared_dir
-from ..operators import binning, grow, impurity, metrics, sampling, score
+from ..operators import binning, grow, impurity, metrics, rules, sampling, score
 from ..sources import tables
 from ..streaming.scoring import score_stream
 from . import oracles as o
@@ -171,6 +172,12 @@ def bucket_bins(spark, d):
     return binned(L(spark, d), BINS).select("client", "row_id", *columns_of(None, "bins", "b"))
 
 
+@query(o.with_(o.L_ROWS, o.binned(4, 1000), select=f"SELECT client, row_id, {_BINS4} FROM binned"))
+def bucket_bins_fine(spark, d):
+    """A thousand edges a feature, searched by halving."""
+    return binned(L(spark, d), 1000).select("client", "row_id", *columns_of(None, "bins", "b"))
+
+
 _Z = "CASE WHEN sd <> 0 THEN (f[feature + 1] - mean) / sd ELSE 0 END"
 
 
@@ -412,6 +419,18 @@ def predict_trees(spark, d):
     return forest.predict_trees(rows).select("client", "row_id", "tree", "pred")
 
 
+_RULES = f"""up AS (SELECT * FROM (WITH RECURSIVE u(tree, leaf, value, node, step, bit) AS (SELECT tree, node_id, value, node_id // 2, 0, node_id % 2 FROM nodes WHERE is_leaf
+  UNION ALL SELECT tree, leaf, value, node // 2, step + 1, node % 2 FROM u WHERE node > 0) SELECT * FROM u))"""
+
+
+@query(o.with_(_L_SQL, _RULES, select="SELECT u.tree, leaf AS node_id, max(u.value) AS value, n.feature, max(CASE WHEN bit = 1 THEN thr END) AS low, min(CASE WHEN bit = 0 THEN thr END) AS high FROM up u JOIN nodes n ON u.tree = n.tree AND u.node = n.node_id GROUP BY u.tree, leaf, n.feature"))
+def leaf_rules(spark, d):
+    """Each leaf as intervals of bins, one a feature on its path."""
+    _, forest = l_trained(spark, d)
+    found = rules.leaf_rules(forest.nodes, forest.depth)
+    return found.select("tree", "node_id", "value", F.explode("rule").alias("r")).select("tree", "node_id", "value", "r.feature", "r.low", "r.high")
+
+
 _MAJORITY = "maj AS (SELECT client, row_id, y, pred FROM preds GROUP BY client, row_id, y, pred QUALIFY row_number() OVER (PARTITION BY client, row_id ORDER BY count(*) DESC, pred) = 1)"
 
 
@@ -421,6 +440,14 @@ def vote_majority(spark, d):
     return forest.predict(rows).select("client", "row_id", "pred")
 
 
+@query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, select="SELECT client, row_id, pred FROM maj"))
+def sql_predict(spark, d):
+    """The forest called from SQL as a table function."""
+    rows, forest = l_trained(spark, d)
+    scorer.register_scorer(forest, "grovelight_predict")
+    return spark.sql("SELECT client, row_id, pred FROM grovelight_predict(TABLE(SELECT split, client, row_id, features FROM {rows}))", rows=rows)
+
+
 _OOB = f"""oob AS (SELECT client, tree, row_id FROM (SELECT client, t.i::INTEGER AS tree, row_id FROM rows, range({TREES}) t(i)) x ANTI JOIN sample s USING (client, tree, row_id)),
 acc AS (SELECT p.tree, 1 - sum((pred <> y)::INTEGER)::DOUBLE / (SELECT count(*) FROM rows) AS accuracy FROM preds p JOIN oob USING (client, tree, row_id) GROUP BY p.tree),
 tw AS (SELECT tree, accuracy, accuracy / sum(accuracy) OVER () AS weight FROM acc)"""
