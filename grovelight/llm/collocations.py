@@ -34,6 +34,8 @@ BLANKS = r"[\x20\x09]+"
 #: Word occurrences a hash bucket gets, about, and the most buckets; beyond that they grow, and duckdb spills.
 BUCKET_WORDS = 4_000_000
 MOST_BUCKETS = 20_000
+#: Shares of a language that are ranked by themselves.
+SHARES = 64
 #: Windows that a task adds up before it sends them.
 SENT_WINDOWS = 500_000
 DUCK = {"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False}
@@ -170,6 +172,10 @@ def mine(docs: DataFrame, *, longest: int = 3, least: int = 10, percent: int = 5
         raise ValueError("phrases have two words at least and occur once at least")
     counts, totals = phrase_counts(docs, longest, least, lang_col, text_col, bucket_words)
     kept = scored(counts).join(covered(counts, percent), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # A language's phrases are ranked in shares first: only the first of each share can be among the first of all.
+    share = Window.partitionBy("lang", "share").orderBy(*order)
+    shared = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    best = shared.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= first)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= first)
     return ranked.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
