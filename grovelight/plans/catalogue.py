@@ -102,6 +102,12 @@ def validate_schema(spark, d):
     return spark.createDataFrame([(name, why(*pair)) for name, pair in pairs.items()], "pair string, refused string")
 
 
+@query(o.with_(o.E_ROWS, select="SELECT client, count(*) AS n, count(*) FILTER (WHERE y IS NULL OR isnan(y)) AS no_label, count(*) FILTER (WHERE y < 0 OR y <> floor(y)) AS no_class, count(*) FILTER (WHERE len(list_filter(f, lambda x: x IS NULL OR isnan(x))) > 0) AS missing, count(*) FILTER (WHERE len(list_filter(f, lambda x: isinf(x))) > 0) AS infinite, min(len(f))::INTEGER AS least_features, max(len(f))::INTEGER AS most_features FROM rows GROUP BY client"))
+def validate_rows(spark, d):
+    """Each site's rows that training would refuse or treat as missing."""
+    return tables.row_faults(E(spark, d))
+
+
 _T = o.draw(str(SEED), "'t'", "client", "row_id")
 _K = o.draw(str(SEED), "'k'", "'0'", "client", "row_id")
 _C = o.draw(str(SEED), "'c'", "client", "row_id")
@@ -219,7 +225,8 @@ def class_weights(spark, d):
 
 @query(o.with_(o.features(5, 64, 8, SEED), select="SELECT tree, pos, feature FROM tf"))
 def feature_subset(spark, d):
-    return sampling.feature_subset(spark, 5, 64, 8, SEED)
+    """Features of as many as the table's rows have."""
+    return sampling.feature_subset(spark, 5, forests.check_rows(E(spark, d)), 8, SEED)
 
 
 @query(o.with_(o.L_ROWS, o.bootstrap(TREES, SEED), select="SELECT client, tree, row_id, mult FROM sample"))
@@ -517,8 +524,9 @@ _TF = o.features(TREES, 64, 8, SEED)
 @query(o.with_(_TF, select=f"SELECT t.i::INTEGER AS tree, g.i::INTEGER AS feature FROM range({TREES}) t(i), range(64) g(i) WHERE NOT EXISTS (SELECT 1 FROM tf WHERE tf.tree = t.i AND tf.feature = g.i)"))
 def set_difference(spark, d):
     """The features that a tree doesn't use."""
-    every = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(63)), F.collect_list("feature"))).alias("feature")
-    return sampling.feature_subset(spark, TREES, 64, 8, SEED).groupBy("tree").agg(every)
+    n = forests.check_rows(E(spark, d))
+    every = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.collect_list("feature"))).alias("feature")
+    return sampling.feature_subset(spark, TREES, n, 8, SEED).groupBy("tree").agg(every)
 
 
 @query(o.with_(o.E_ROWS, select="SELECT DISTINCT y FROM rows"))

@@ -35,6 +35,15 @@ def count_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[bad(c).alias(c) for c in columns])
 
 
+def row_faults(rows: DataFrame) -> DataFrame:
+    """For each client: rows, those without a label, with a label that is no class (negative or fractional), with missing
+    and with infinite features, and the least and most features of a row."""
+    some = lambda c: F.count_if(c)
+    y, none = F.col("y"), lambda x: x.isNull() | F.isnan(x)
+    faults = [some(none(y)).alias("no_label"), some((y < 0) | (y != F.floor(y))).alias("no_class"), some(F.exists("features", none)).alias("missing"), some(F.exists("features", lambda x: F.abs(x) == float("inf"))).alias("infinite")]
+    return rows.groupBy("client").agg(F.count("*").alias("n"), *faults, F.min(F.size("features")).alias("least_features"), F.max(F.size("features")).alias("most_features"))
+
+
 def canonical(df: DataFrame, features: list[Column], y: Column, client: Column, key: list[str], order: list[str], split: Column | None = None) -> DataFrame:
     """Rows with dense ids per (split, client), in the order of the key's draw and then ``order``."""
     rows = df.withColumns({"split": F.lit("0") if split is None else split, "client": client.cast("int"), "features": F.array(*[c.cast("double") for c in features]), "y": y.cast("double")})
