@@ -2,7 +2,8 @@
 
 A window is ``width`` bytes. Its key is the least hash among its 32-byte seeds, so equal windows have equal keys, and
 neighbouring windows mostly share one: runs of starts with one key are cut out as stretches of at most 128 windows. Keys
-that occur once can hold no repeat and go first. Copies of whole texts are known by their digests and take no part.
+that occur once can hold no repeat and go first. Copies of whole texts are known by their digests; a bitmap of the first
+ones, of bounded size, keeps nearly all copies out of the rest.
 Equal stretches become one, under their first occurrence, in batches before the shuffle and again after it; all windows
 of the others are repeats. The different stretches of a key meet in one task, which builds the Burrows-Wheeler transform
 and the common prefixes of its collection (see ``collection_bwt``), reads off groups of suffixes that share ``width`` bytes,
@@ -49,9 +50,9 @@ def seed_hashes(raw: np.ndarray) -> np.ndarray:
     """Hash of every 32 bytes."""
     h, s = _LETTERS[raw], 1
     while s < SEED:
-        h = mix(h[:-s] * np.uint64(0xD6E8FEB86659FD93 + 2 * s) + h[s:])
+        h = h[:-s] * np.uint64(0xD6E8FEB86659FD93 + 2 * s) + h[s:]
         s *= 2
-    return h
+    return mix(h)
 
 
 def least_seeds(h: np.ndarray, n: int) -> np.ndarray:
@@ -88,16 +89,26 @@ def joined(piece: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, n
     return raw, bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
 
 
+def wanted(batches: Iterator[pa.RecordBatch], firsts) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches without texts that are surely copies: first ones are all in the bitmap ``firsts``."""
+    known, bits = firsts.value
+    for piece in pieces(batches):
+        top = piece.column("mark").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        at = np.flatnonzero((known[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
+        if len(at):
+            yield piece.take(pa.array(at)) if len(at) < piece.num_rows else piece
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, tie, text binary) of the texts that hold a window."""
     return docs.filter(F.octet_length(text_col) >= width).select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("tie"), F.col(text_col).cast("binary").alias("text"))
 
 
-def key_counts(texts: DataFrame, width: int, hot: np.ndarray) -> DataFrame:
+def key_counts(texts: DataFrame, width: int, hot: np.ndarray, firsts) -> DataFrame:
     """(hash, n): how often each key begins anew; hash holds the key in its top bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in wanted(batches, firsts):
             raw, begin, end = joined(piece, width)
             inside = np.zeros(len(raw) + 1, np.int32)
             np.add.at(inside, begin, 1), np.add.at(inside, end - width + 1, -1)
@@ -109,7 +120,7 @@ def key_counts(texts: DataFrame, width: int, hot: np.ndarray) -> DataFrame:
                 keys, n = np.unique(key[ok & (moved | own[a : a + len(key)])], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((keys << np.uint64(20)).view(np.int64)), pa.array(n)], ["hash", "n"])
 
-    return texts.select("text").mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    return texts.select("mark", "text").mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def first_alike(bodies: pa.Array, order: np.ndarray) -> np.ndarray:
@@ -119,39 +130,46 @@ def first_alike(bodies: pa.Array, order: np.ndarray) -> np.ndarray:
     return np.sort(by[np.append(True, np.diff(code[by]) != 0)]) if len(by) else by
 
 
-def stretches(texts: DataFrame, width: int, hot: np.ndarray, held, bodies: bool) -> DataFrame:
+def stretches(texts: DataFrame, width: int, hot: np.ndarray, held, firsts, bodies: bool) -> DataFrame:
     """(doc_id, tie, start, n) of the runs of windows whose key is in the bitmap; or, with their bytes, (key, twice, doc_id,
     tie, start, n, body), of equal ones in a batch the first. ``twice``: a key may recur inside."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = held.value
-        for piece in pieces(batches):
+        for piece in wanted(batches, firsts):
             raw, begin, end = joined(piece, width)
             table = pa.table([piece.column("doc_id"), piece.column("tie")], ["doc_id", "tie"])
             nth_doc = np.empty(piece.num_rows, np.int64)
             nth_doc[pc.sort_indices(table, [("doc_id", "ascending"), ("tie", "ascending")], null_placement="at_start").to_numpy()] = np.arange(piece.num_rows)
             for a, key, moved in windows(raw, width, hot):
-                top = key >> np.uint64(44 - bits)
-                at = np.flatnonzero((known[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
-                doc = np.searchsorted(begin, at + a, side="right") - 1
-                ok = at + a + width <= end[doc]
-                at, doc = at[ok], doc[ok]
-                if not len(at):
+                changed = np.append(True, key[1:] != key[:-1])
+                changed[begin[np.searchsorted(begin, a) : np.searchsorted(begin, a + len(key))] - a] = True
+                first = np.flatnonzero(changed)
+                top = key[first] >> np.uint64(44 - bits)
+                held_ = (known[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                last = np.append(first[1:], len(key))[held_]
+                first = first[held_]
+                doc = np.searchsorted(begin, first + a, side="right") - 1
+                last = np.minimum(last, end[doc] - width + 1 - a)
+                ok = last > first
+                first, last, doc = first[ok], last[ok], doc[ok]
+                if not len(first):
                     continue
-                new = np.append(True, (np.diff(at) != 1) | (np.diff(doc) != 0) | (key[at[1:]] != key[at[:-1]]))
-                nth = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-                new |= nth % STRETCH == 0
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(at))).astype(np.int32)
-                start, doc = at[first] + a, doc[first]
+                # Long runs are cut.
+                cuts = -(-(last - first) // STRETCH)
+                nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                first, last, doc = np.repeat(first, cuts) + nth * STRETCH, np.repeat(last, cuts), np.repeat(doc, cuts)
+                last = np.minimum(last, first + STRETCH)
+                n, start = (last - first).astype(np.int32), first + a
                 place = [piece.column("doc_id"), piece.column("tie")]
                 if not bodies:
                     d = pa.array(doc)
                     yield pa.RecordBatch.from_arrays([*(c.take(d) for c in place), pa.array(start - begin[doc]), pa.array(n)], ["doc_id", "tie", "start", "n"])
                     continue
                 # A stretch whose least seed moves without a change of key holds that seed more than once.
-                twice = np.add.reduceat((moved[at] & ~new).astype(np.int64), first) > 0
+                moves = np.append(0, np.cumsum(moved))
+                twice = moves[last] > moves[first + 1]
                 for b in range(0, len(first), 50_000):
                     s, m, d = start[b : b + 50_000], n[b : b + 50_000], doc[b : b + 50_000]
                     length = m + width - 1
@@ -162,7 +180,7 @@ def stretches(texts: DataFrame, width: int, hot: np.ndarray, held, bodies: bool)
                     for c in range(0, len(one), 10_000):
                         o = one[c : c + 10_000]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(key[at[first[b + o]]].view(np.int64)), pa.array(twice[b + o]), *(x.take(pa.array(d[o])) for x in place), pa.array(s[o] - begin[d[o]]), pa.array(m[o]), made.take(pa.array(o))],
+                            [pa.array(key[first[b + o]].view(np.int64)), pa.array(twice[b + o]), *(x.take(pa.array(d[o])) for x in place), pa.array(s[o] - begin[d[o]]), pa.array(m[o]), made.take(pa.array(o))],
                             ["key", "twice", "doc_id", "tie", "start", "n", "body"],
                         )
 
@@ -170,6 +188,27 @@ def stretches(texts: DataFrame, width: int, hot: np.ndarray, held, bodies: bool)
     return texts.mapInArrow(run, f"{more[0]}doc_id {kind}, tie binary, start bigint, n int{more[1]}")
 
 
+def shared_runs(raw: np.ndarray, bounds: np.ndarray, width: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Stretches without the windows that nothing here can equal, as a hash of most of their bytes occurs once: the bytes and
+    bounds of the runs that are left, in order, and each run's first window and stretch."""
+    h = seed_hashes(raw)
+    n = len(raw) - width + 1
+    mark = mix(mix(h[:n] + h[(width - SEED) // 2 :][:n]) + h[width - SEED :][:n])
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
+    at = np.flatnonzero(np.arange(n) + width <= bounds[of + 1])
+    order = np.argsort(mark[at])
+    same = np.diff(mark[at][order]) == 0
+    kept = np.zeros(n, bool)
+    kept[at[order[np.append(False, same) | np.append(same, False)]]] = True
+    at = np.flatnonzero(kept)
+    new = np.append(True, (np.diff(at) != 1) | (np.diff(of[at]) != 0))[: len(at)]
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(at))) + width - 1
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    start = at[first]
+    return (raw[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])], ends), start - bounds[of[start]], of[start]
+
+
 def marks(found: DataFrame, width: int, parts: int) -> DataFrame:
     """(doc_id, tie, start, n, bits): for each different stretch, a bit for each window that starts earlier."""
     kind = found.schema["doc_id"].dataType.simpleString()
@@ -188,11 +227,15 @@ def marks(found: DataFrame, width: int, parts: int) -> DataFrame:
         del seen, light, bodies
         keys, place, count = np.unique(rows.column("key").to_numpy(), return_inverse=True, return_counts=True)
         meet = np.flatnonzero((count[place] > 1) | rows.column("twice").to_numpy(zero_copy_only=False))
-        own = body.take(pa.array(meet))
-        ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64) if len(own) else np.zeros(1, np.int64)
-        later = collection_bwt.later_copies(np.frombuffer(own.buffers()[2] or b"", np.uint8), ends, width) if len(own) else np.zeros((0, 2), np.int64)
         bits = np.zeros((rows.num_rows, STRETCH // 8), np.uint8)
-        np.bitwise_or.at(bits, (meet[later[:, 0]], later[:, 1] >> 3), (1 << (later[:, 1] & 7)).astype(np.uint8))
+        if len(meet):
+            own = body.take(pa.array(meet))
+            bounds = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+            raw = np.frombuffer(own.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+            text, begin, stretch = shared_runs(raw, bounds - bounds[0], width)
+            later = collection_bwt.later_copies(text[0], text[1], width)
+            at = begin[later[:, 0]] + later[:, 1]
+            np.bitwise_or.at(bits, (meet[stretch[later[:, 0]]], at >> 3), (1 << (at & 7)).astype(np.uint8))
         packed = pa.Array.from_buffers(pa.binary(STRETCH // 8), rows.num_rows, [None, pa.py_buffer(bits)]).cast(pa.binary())
         for a in range(0, rows.num_rows, 50_000):
             yield pa.RecordBatch.from_arrays([*(rows.column(c).slice(a, 50_000) for c in ("doc_id", "tie", "start", "n")), packed.slice(a, 50_000)], ["doc_id", "tie", "start", "n", "bits"])
@@ -226,15 +269,18 @@ def spans_of(found: DataFrame, width: int) -> DataFrame:
     return grouped.mapInArrow(run, f"doc_id {kind}, tie binary, spans array<struct<start bigint, stop bigint>>").filter(F.size("spans") > 0)
 
 
-def later_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, tie, n_bytes) of the texts that are copies of a whole text of a smaller id, settled."""
-    rows = docs.filter(F.octet_length(text_col) >= width).select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("tie"), F.octet_length(text_col).cast("long").alias("n_bytes")).distinct()
+def later_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, tuple[np.ndarray, int]]:
+    """(doc_id, tie, n_bytes) of the texts that are copies of a whole text of a smaller id, settled; and a bitmap of the others."""
+    rows = texts_of(docs, id_col, text_col, width).select("doc_id", "tie", F.octet_length("text").cast("long").alias("n_bytes")).distinct()
     rows = settle(rows, "texts")
     firsts = rows.groupBy("tie").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("none"))
-    firsts = firsts.select(F.col("tie").alias("ftie"), F.when(~F.col("none"), F.col("first")).alias("first"))
+    firsts = settle(firsts.select(F.col("tie").alias("ftie"), F.when(~F.col("none"), F.col("first")).alias("first")), "first-texts")
     copies = settle(rows.join(firsts, (F.col("tie") == F.col("ftie")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_anti"), "copies")
+    bits = min(max(BITS[0], (64 * firsts.count()).bit_length()), BITS[1])
+    known = bitmap(firsts.select(F.xxhash64("first", "ftie").alias("hash")), bits)
     discard(rows)
-    return copies
+    discard(firsts)
+    return copies, (known, bits)
 
 
 def repeated_spans(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -246,27 +292,28 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     if not SEED <= width <= 250 - STRETCH + 1:
         raise ValueError(f"width must be from {SEED} to {250 - STRETCH + 1} bytes")
     spark = docs.sparkSession
-    copies = later_rows(docs, id_col, text_col, width)
-    other = copies.select(F.col("doc_id").alias("cid"), F.col("tie").alias("ctie"))
-    texts = texts_of(docs, id_col, text_col, width)
-    texts = texts.join(other, F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("tie") == F.col("ctie")), "left_anti")
+    copies, known = later_rows(docs, id_col, text_col, width)
+    firsts = spark.sparkContext.broadcast(known)
+    texts = texts_of(docs, id_col, text_col, width).withColumn("mark", F.xxhash64("doc_id", "tie"))
     none = np.zeros(0, np.uint64)
-    counts = settle(key_counts(texts, width, none).filter("n > 1"), "repeated-keys")
+    counts = settle(key_counts(texts, width, none, firsts).filter("n > 1"), "repeated-keys")
     crowd = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 100_000)
     crowded = np.array([r.hash for r in counts.filter(F.col("n") > crowd).select("hash").collect()], np.int64).view(np.uint64) >> np.uint64(20)
     if len(crowded):
         discard(counts)
-        counts = settle(key_counts(texts, width, crowded).filter("n > 1"), "repeated-keys")
+        counts = settle(key_counts(texts, width, crowded, firsts).filter("n > 1"), "repeated-keys")
     seen = counts.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     bits = min(max(BITS[0], (64 * seen.keys).bit_length()), BITS[1])
     held = spark.sparkContext.broadcast((bitmap(counts.select("hash"), bits), bits))
     discard(counts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.n * (width + 50) // part_bytes))
-    marked = settle(marks(stretches(texts, width, crowded, held, True), width, parts), "marks")
-    every = stretches(texts, width, crowded, held, False).withColumn("bits", F.lit(None).cast("binary"))
+    marked = settle(marks(stretches(texts, width, crowded, held, firsts, True), width, parts), "marks")
+    every = stretches(texts, width, crowded, held, firsts, False).withColumn("bits", F.lit(None).cast("binary"))
     spans = spans_of(every.unionByName(marked), width).withColumn("whole", F.lit(False))
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
-    out = settle(spans.unionByName(copies.select("doc_id", "tie", all_of_it.alias("spans"), F.lit(True).alias("whole"))), "spans")
+    every = spans.unionByName(copies.select("doc_id", "tie", all_of_it.alias("spans"), F.lit(True).alias("whole")))
+    # A copy that the bitmap lets through has been found again as repeats of all its windows.
+    out = settle(every.groupBy("doc_id", "tie").agg(F.max_by("spans", "whole").alias("spans"), F.max("whole").alias("whole")), "spans")
     discard(marked)
     discard(copies)
     return out
