@@ -64,10 +64,14 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table that nothing reads any more."""
-    files, place = _place(df.sparkSession, df.__dict__.pop("_settled_path"))
-    files.delete(place, True)
+    delete(df.sparkSession, df.__dict__.pop("_settled_path"))
 
 
 def fresh(taken: list[str], name: str) -> str:
