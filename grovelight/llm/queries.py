@@ -64,7 +64,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+    found = near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
