@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +19,48 @@ from ..functions import portable
 from ..functions.portable import discard, fresh, shared_dir  # noqa: F401
 
 
+#: Where the paths of settled tables are noted, in ``recorded``.
+_notes: ContextVar[list[str] | None] = ContextVar("_notes", default=None)
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Note the path of each table that is settled meanwhile in ``paths``."""
+    token = _notes.set(paths)
+    try:
+        yield
+    finally:
+        _notes.reset(token)
+
+
+def discard_recorded(paths: list[str], docs: DataFrame) -> None:
+    """Delete the tables at ``paths`` and forget them, unless ``docs`` may still be computed from one of them.
+
+    A frame that is read from files names them all; one that names none, a cached one, say, may depend on anything.
+    """
+    files = docs.inputFiles()
+    if not files or any(p.rsplit("/", 1)[-1] in f for p in paths for f in files):
+        return
+    for path in paths:
+        portable.delete(docs.sparkSession, path)
+    paths.clear()
+
+
 def settle(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and its size is known.
 
     The columns ``folders``, last in ``df``, become folders: reading some of their values leaves out other files.
     """
     if not folders:
-        return portable.settle(df, name)
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*folders).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        out = portable.settle(df, name)
+        path = out._settled_path
+    else:
+        path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.partitionBy(*folders).parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (notes := _notes.get()) is not None:
+        notes.append(path)
+    return out
 
 
 def release_shuffles(spark: SparkSession) -> None:

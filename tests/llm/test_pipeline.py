@@ -42,3 +42,24 @@ def test_rejects_and_nulls(spark):
     coded = corpus_pipeline.encode_bytes(spark, odd, SF).collect()
     assert sorted((r.doc_id, r.n_tokens > 0) for r in coded) == [(1, False), (2, False), (3, True), (4, True)]
     assert corpus_pipeline.encode_bytes(spark, odd.filter("false"), SF).count() == 0
+
+
+def test_without_labels_all_stay(spark):
+    docs = table(spark, [(1, "the and of the", None, "a"), (2, None, None, "a")])
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()) == [1, 2]
+
+
+def test_a_stage_deletes_what_the_former_settled(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    places = []
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        stage(spark, docs, SF).write.parquet(path := f"file://{tmp_path}/{name}")
+        places.append(list(corpus_pipeline._settled))
+        docs = spark.read.parquet(path)
+    assert places[0] and places[1] and places[2] and not {*places[0]} & {*places[1]} and not {*places[1]} & {*places[2]}
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+    there = lambda p: files.exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert not any(map(there, places[1])) and any(map(there, places[2]))
+    # A frame that still needs them keeps them.
+    lazy = corpus_pipeline.drop_boilerplate_lines(spark, docs, SF)
+    assert corpus_pipeline.drop_near_duplicates(spark, lazy, SF).count() > 0 and lazy.count() > 0
