@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from ..forest import Forest
 
 #: A forest of more nodes isn't sent to the tasks as arrays.
 MOST_NODES = 5_000_000
+#: What registered functions read, by their names: a broadcast that nobody holds is removed.
+_sent: dict[str, Broadcast] = {}
 
 
 class FlatForest:
@@ -74,7 +77,7 @@ def register_scorer(forest: Forest, name: str = "predict") -> None:
     features, have a null prediction. The arrays are broadcast.
     """
     spark = forest.nodes.sparkSession
-    sent = spark.sparkContext.broadcast(FlatForest(forest))
+    sent = _sent[name] = spark.sparkContext.broadcast(FlatForest(forest))
 
     class Scorer:
         def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
