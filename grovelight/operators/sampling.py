@@ -103,3 +103,48 @@ def shuffle_labels(rows: DataFrame, seed: int) -> DataFrame:
     order = dense_number(drawn, ["split", "client"], F.col("h"), ["row_id"], "nth")
     labels = order.select("split", "client", F.col("nth").alias("row_id"), F.col("y").alias("new_y"))
     return rows.join(labels, ["split", "client", "row_id"]).withColumn("y", F.col("new_y")).drop("new_y")
+
+
+#: Steps outside of the numbers until a walk is given up; up to 4,096 numbers none can be that long.
+WALK = 64
+
+
+def permuted(i: Column, n: Column, key: list[Column | str | int]) -> Column:
+    """Where number ``i`` of 0..n-1 goes in a permutation of them that ``key`` chooses.
+
+    Numbers are places (l, r) of a grid of a = ceil(sqrt(n)) rows. Four times, one coordinate is moved around by a draw
+    of the other, which can be undone; a place behind the last number walks on until it is a number again. At most a - 1
+    places are none, so that walks are short: over ``WALK`` steps have a chance under n ** (-WALK / 2), and give null.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
+
+    def start(i: Column, n: Column) -> Column:
+        return F.struct(i.alias("x"), n.alias("n"), a.alias("a"), F.ceil(n / a).cast("bigint").alias("b"))
+
+    def turn(half: int, s: Column) -> Column:
+        l, r = F.floor(s["x"] / s["b"]), s["x"] % s["b"]
+        if half % 2 == 0:
+            l = (l + draw(*key, half, r.cast("bigint"))) % s["a"]
+        else:
+            r = (r + draw(*key, half, l.cast("bigint"))) % s["b"]
+        return F.struct((l * s["b"] + r).cast("bigint").alias("x"), s["n"].alias("n"), s["a"].alias("a"), s["b"].alias("b"))
+
+    def once(s: Column) -> Column:
+        for half in range(4):
+            bound = F.array(s)  # evaluated once, not at each use
+            s = F.get(F.transform(bound, lambda v: turn(half, v)), F.lit(0))
+        return s
+
+    first = once(start(i, n))
+    walked = F.aggregate(F.sequence(F.lit(1), F.least(a, F.lit(WALK)).cast("int")), first, lambda s, _: F.when(s["x"] < s["n"], s).otherwise(once(s)))
+    return F.get(F.transform(F.array(walked), lambda s: F.when(s["x"] < s["n"], s["x"])), F.lit(0))
+
+
+def permute_labels(rows: DataFrame, seed: int) -> DataFrame:
+    """Labels permuted within each site by ``permuted``: rows keep their places, labels move by one shuffle of keys, and
+    nothing is sorted or numbered. ``row_id`` has to be dense in (split, client)."""
+    key = ["split", "client", "row_id"]
+    sizes = rows.groupBy("split", "client").agg(F.count("*").alias("__n"))
+    labels = rows.select(*key, "y").join(F.broadcast(sizes), ["split", "client"])
+    moved = labels.select("split", "client", permuted(F.col("row_id"), F.col("__n"), [seed, "y", F.col("split"), F.col("client")]).alias("row_id"), F.col("y").alias("__y"))
+    return rows.join(moved, key).withColumn("y", F.col("__y")).drop("__y")

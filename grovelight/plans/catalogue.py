@@ -134,6 +134,23 @@ def label_shuffle(spark, d):
     return sampling.shuffle_labels(L(spark, d), SEED).select("client", "row_id", "y")
 
 
+_HALF = lambda half, x: o.draw(str(SEED), "'y'", "split", "client", f"'{half}'", x)
+
+
+def _walk(x: str) -> str:
+    """SQL: one walk from the expression x, as ``SELECT split, client, i, n, a, b, x FROM`` its source ``src``."""
+    return f"""SELECT split, client, i, n, a, b, (l2 * b + (r1 + {_HALF(3, "l2")}) % b)::BIGINT AS x FROM (SELECT *, (l1 + {_HALF(2, "r1")}) % a AS l2 FROM (SELECT *, (r + {_HALF(1, "l1")}) % b AS r1 FROM (
+      SELECT *, (l + {_HALF(0, "r")}) % a AS l1 FROM (SELECT *, {x} // b AS l, {x} % b AS r FROM src))))"""
+
+
+@query(o.with_(o.L_ROWS, "z AS (SELECT split, client, count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM rows GROUP BY ALL)", f"""p AS (WITH RECURSIVE t(split, client, i, n, a, b, x) AS (
+  {_walk("i").replace("FROM src", "FROM (SELECT r.split, r.client, row_id AS i, n, a, ceil(n / a)::BIGINT AS b FROM rows r JOIN z ON r.split = z.split AND r.client = z.client) q")}
+  UNION ALL {_walk("x").replace("SELECT *, x //", "SELECT * EXCLUDE (x), x //").replace("FROM src", "FROM t WHERE x >= n")}) SELECT * FROM t WHERE x < n)""", select="SELECT p.client, p.x AS row_id, r.y FROM p JOIN rows r ON r.client = p.client AND r.row_id = p.i"))
+def label_permutation(spark, d):
+    """Labels moved by a keyed permutation of the row numbers."""
+    return sampling.permute_labels(L(spark, d), SEED).select("client", "row_id", "y")
+
+
 @query(o.with_(o.L_ROWS, o.moments(4), select="SELECT client, feature, n, round(sxx, 3) AS sxx, round(sx, 3) AS sx FROM part"))
 def moments_partial(spark, d):
     return binning.moments_partial(L(spark, d)).select("client", "feature", "n", F.round("sxx", 3).alias("sxx"), F.round("sx", 3).alias("sx"))

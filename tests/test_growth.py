@@ -182,3 +182,18 @@ def test_scorer_in_sql(spark, settings):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, f.predict(asked).collect()))
     none = spark.createDataFrame([("unknown", 0, 0, [1.0, 2.0]), ("0", 0, 1, None)], odd.schema)
     assert [r.pred for r in spark.sql("SELECT pred FROM own_predict(TABLE({rows}))", rows=none).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 4099])
+def test_permutation_is_one(spark, n):
+    moved = [r.x for r in spark.range(n).select(sampling.permuted(F.col("id"), F.lit(n).cast("long"), [7, "k"]).alias("x")).collect()]
+    assert sorted(moved) == list(range(n)) and (n < 17 or moved != list(range(n)))
+    other = [r.x for r in spark.range(n).select(sampling.permuted(F.col("id"), F.lit(n).cast("long"), [8, "k"]).alias("x")).collect()]
+    assert n < 17 or other != moved
+
+
+def test_permuted_labels_are_the_same_labels(spark):
+    df = rows(spark, [(i % 2, i // 2, [i], i) for i in range(300)])
+    got = sampling.permute_labels(df, 5).collect()
+    assert sorted((r.client, r.y) for r in got) == [(c, float(y)) for c in (0, 1) for y in range(c, 300, 2)]
+    assert sum(r.features[0] == r.y for r in got) < 20
