@@ -9,18 +9,34 @@ from pyspark.sql.window import Window
 KEY = ["split", "client", "row_id"]
 
 
+#: Forests of up to so many nodes are broadcast (about 40 bytes a node); larger ones are walked by joins.
+MOST_NODES = 2_000_000
+
+
 def packed_trees(nodes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(split, forest): one row a split, array of (tree, weight, spots); a spot is a node, its children given by place.
 
     Places are dense in a tree, so a step down costs one array look-up. A forest has trees times 2**depth spots at most.
     """
-    node = F.struct("node_id", "feature", "thr", "value")
-    per_tree = nodes.groupBy("split", "tree").agg(F.array_sort(F.collect_list(node)).alias("n"))
-    place = lambda x, bit: (F.array_position(F.transform("n", lambda y: y["node_id"]), x["node_id"] * 2 + bit) - 1).cast("int")
-    spot = lambda x: F.struct(x["feature"].alias("feature"), x["thr"].alias("thr"), place(x, 0).alias("left"), place(x, 1).alias("right"), x["value"].alias("value"))
-    known = per_tree.withColumn("weight", F.lit(1.0)) if weights is None else per_tree.join(weights.select("split", "tree", "weight"), ["split", "tree"])
-    spots = known.select("split", F.struct("tree", "weight", F.transform("n", spot).alias("spots")).alias("t"))
-    return spots.groupBy("split").agg(F.array_sort(F.collect_list("t")).alias("forest"))
+    tree = ["split", "tree"]
+    placed = nodes.withColumn("place", F.row_number().over(Window.partitionBy(*tree).orderBy("node_id")) - 1)
+    side = lambda bit, name: F.max(F.when(F.col("node_id") % 2 == bit, F.col("place"))).alias(name)
+    children = placed.filter("node_id > 1").groupBy(*tree, F.shiftright("node_id", 1).alias("up")).agg(side(0, "left"), side(1, "right"))
+    spots = placed.join(children.withColumnRenamed("up", "node_id"), [*tree, "node_id"], "left")
+    per_tree = spots.groupBy(*tree).agg(F.array_sort(F.collect_list(F.struct("place", "feature", "thr", "left", "right", "value"))).alias("spots"))
+    known = per_tree.withColumn("weight", F.lit(1.0)) if weights is None else per_tree.join(weights.select("split", "tree", "weight"), tree)
+    return known.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("tree", "weight", "spots"))).alias("forest"))
+
+
+def walked_by_joins(binned: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """(split, client, row_id, tree, pred) of a forest of any size: a row and tree is a row that joins its next node."""
+    trees = nodes.filter("node_id = 1").groupBy("split").agg(F.array_sort(F.collect_set("tree")).alias("trees"))
+    at = binned.select(*KEY, "bins").join(trees, "split").select(*KEY, "bins", F.explode("trees").alias("tree")).withColumn("node_id", F.lit(1).cast("bigint"))
+    spots = nodes.select("split", "tree", "node_id", "feature", "thr", "value")
+    down = F.col("node_id") * 2 + (F.get("bins", F.col("feature")) > F.col("thr")).cast("bigint")
+    for _ in range(depth):
+        at = at.join(spots, ["split", "tree", "node_id"]).select(*KEY, "bins", "tree", F.when(F.col("feature").isNull(), F.col("node_id")).otherwise(down).alias("node_id"))
+    return at.join(spots, ["split", "tree", "node_id"]).select(*KEY, "tree", F.col("value").alias("pred"))
 
 
 def leaf_values(depth: int) -> Column:
@@ -36,19 +52,27 @@ def leaf_values(depth: int) -> Column:
     return F.transform("forest", answer)
 
 
-def predict_trees(binned: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+def predict_trees(binned: DataFrame, nodes: DataFrame, depth: int, most: int = MOST_NODES) -> DataFrame:
     """(split, client, row_id, tree, pred): every row walks down every tree of its split in its own projection."""
+    if nodes.count() > most:
+        return walked_by_joins(binned, nodes, depth)
     walked = binned.join(F.broadcast(packed_trees(nodes)), "split").withColumn("__preds", leaf_values(depth))
     pairs = F.arrays_zip(F.transform("forest", lambda t: t["tree"]).alias("tree"), F.col("__preds").alias("pred"))
     return walked.select(*KEY, F.explode(pairs).alias("p")).select(*KEY, F.col("p.tree").alias("tree"), F.col("p.pred").alias("pred"))
 
 
-def predict_rows(binned: DataFrame, nodes: DataFrame, depth: int, mode: str, weights: DataFrame | None = None) -> DataFrame:
+def predict_rows(binned: DataFrame, nodes: DataFrame, depth: int, mode: str, weights: DataFrame | None = None, most: int = MOST_NODES) -> DataFrame:
     """(split, client, row_id, pred): the trees vote inside the row, so nothing is shuffled, in batch or stream.
 
     Classes: largest sum of weights, added in order of the tree, ties to the smallest class. Regression: mean.
     """
-    walked = binned.join(F.broadcast(packed_trees(nodes, weights)), "split").withColumn("__preds", leaf_values(depth))
+    if nodes.count() > most:
+        known = nodes.filter("node_id = 1").select("split", "tree", F.lit(1.0).alias("weight")) if weights is None else weights.select("split", "tree", "weight")
+        each = walked_by_joins(binned, nodes, depth).join(known, ["split", "tree"])
+        gathered = each.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("tree", "weight", "pred"))).alias("forest"))
+        walked = gathered.withColumn("__preds", F.transform("forest", lambda t: t["pred"]))
+    else:
+        walked = binned.join(F.broadcast(packed_trees(nodes, weights)), "split").withColumn("__preds", leaf_values(depth))
     if mode == "regression":
         out = F.aggregate("__preds", F.lit(0.0), lambda a, x: a + x) / F.size("__preds")
         return walked.select(*KEY, out.alias("pred"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grovelight import config, forest, run
 from grovelight.functions import exact, scorer
 from grovelight.functions.portable import settle, shared_dir
-from grovelight.operators import binning, grow, impurity, rules, sampling
+from grovelight.operators import binning, grow, impurity, rules, sampling, score
 from grovelight.sources import tables
 from tests.test_forest import grid, rows
 
@@ -197,3 +197,13 @@ def test_permuted_labels_are_the_same_labels(spark):
     got = sampling.permute_labels(df, 5).collect()
     assert sorted((r.client, r.y) for r in got) == [(c, float(y)) for c in (0, 1) for y in range(c, 300, 2)]
     assert sum(r.features[0] == r.y for r in got) < 20
+
+
+@pytest.mark.parametrize("settings", [{"oob": True}, {"mode": "regression"}])
+def test_large_forests_are_walked_by_joins(spark, settings):
+    df = rows(spark, [(i % 3, i // 3, [(i * i) % 97, (i * 7) % 31], (i * 11) % 4) for i in range(200)])
+    f = forest.train(df, config.RunConfig(n_bins=6, n_estimators=3, max_depth=4, max_features=2, **settings))
+    binned = binning.bin_rows(df, f.edges, f.n_bins)
+    shown = lambda d: sorted(map(tuple, d.collect()))
+    assert shown(score.predict_trees(binned, f.nodes, f.depth, most=0)) == shown(f.predict_trees(df))
+    assert shown(score.predict_rows(binned, f.nodes, f.depth, f.mode, f.trees if f.weighted else None, most=0)) == shown(f.predict(df))
