@@ -98,7 +98,49 @@ _QUAD = " || ".join(
 
 _CUT = "SELECT lang, phrase, a, {k} AS k, array_to_string(ws[:{k}], ' ') AS first, array_to_string(ws[{k} + 1:], ' ') AS rest FROM c WHERE len(ws) > {k}"
 
+
+
+def _crc32_sql(text: str) -> str:
+    """SQL: CRC-32 of an ASCII text, by its table of bytes."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    letters = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), lambda c, b: xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _climb_sql(first: str, depth: int) -> str:
+    """SQL: CTEs of ``depth`` levels over n{first}0 (g, pos, size, h) and over the paths p{first}0 (doc_id, leaf, subroot, sibs, acc, g, pos, size)."""
+    out = []
+    for k in range(depth):
+        n, p, r = f"n{first}{k}", f"p{first}{k}", f"r{first}{k}"
+        part = lambda a, b: f"coalesce(array_to_string(list_slice(hs, {a}, {b}), ''), '')"
+        left, right = part("1", "p.pos % 16"), part("p.pos % 16 + 2", "17")
+        out.append(f"""{r} AS MATERIALIZED (SELECT g, size, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM {n} WHERE size > 1 GROUP BY ALL),
+        n{first}{k + 1} AS MATERIALIZED (SELECT g, run AS pos, (size + 15) // 16 AS size, sha256(array_to_string(hs, '')) AS h FROM {r} UNION ALL SELECT g, pos, size, h FROM {n} WHERE size = 1),
+        p{first}{k + 1} AS MATERIALIZED (SELECT doc_id, leaf, subroot, CASE WHEN hs IS NULL THEN sibs ELSE sibs || {left} || {right} END AS sibs, CASE WHEN hs IS NULL THEN acc ELSE sha256({left} || acc || {right}) END AS acc,
+          p.g, p.pos // 16 AS pos, (p.size + 15) // 16 AS size FROM {p} p LEFT JOIN {r} r ON p.g IS NOT DISTINCT FROM r.g AND p.pos // 16 = r.run)""")
+    return ",\n        ".join(out)
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_LEVELS = 5  # a million rows a source, and sources
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle_manifest": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, source AS g, {_LEAF.format('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN {_LEAF.format(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} END AS tampered FROM documents),
+        l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS size FROM d),
+        na0 AS (SELECT g, pos, size, leaf AS h FROM l),
+        pa0 AS (SELECT doc_id, leaf, NULL::VARCHAR AS subroot, '' AS sibs, coalesce(tampered, leaf) AS acc, g, pos, size FROM l),
+        {_climb_sql('a', _LEVELS)},
+        s AS MATERIALIZED (SELECT g AS source, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM na{_LEVELS}),
+        nb0 AS (SELECT 0 AS g, pos, size, h FROM s),
+        pb0 AS (SELECT doc_id, leaf, s.h AS subroot, sibs, acc, 0 AS g, s.pos, s.size FROM pa{_LEVELS} p JOIN s ON p.g IS NOT DISTINCT FROM s.source),
+        {_climb_sql('b', _LEVELS)}
+        SELECT doc_id, leaf, subroot, n.h AS root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = n.h AS verified FROM pb{_LEVELS}, nb{_LEVELS} n""",
     "op11_collocations": f"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
         w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,6 @@ def test_query(spark):
     assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     rows = {tuple(r) for r in got.collect()}
     assert rows == want and {r[-1] for r in rows} == {True, False}
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert set(db.sql(queries.ORACLE_SQL["op13_merkle_manifest"]).fetchall()) == rows
