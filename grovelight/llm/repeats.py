@@ -251,20 +251,30 @@ def spans_of(found: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            for k in range(batch.num_rows):
-                x = batch.column("x").slice(k, 1).flatten()
-                start, n, bits = x.field("start").to_numpy(), x.field("n").to_numpy(), x.field("bits").to_pylist()
-                first = {s: b for s, b in zip(start.tolist(), bits) if b is not None}
-                begins = []
-                for s, m in dict(zip(start.tolist(), n.tolist())).items():
-                    flags = np.unpackbits(np.frombuffer(first[s], np.uint8), bitorder="little")[:m] if s in first else np.ones(m, np.uint8)
-                    begins.append(s + np.flatnonzero(flags))
-                at = np.sort(np.concatenate(begins))
-                cut = np.flatnonzero(np.diff(at) > width)
-                spans.append([{"start": a, "stop": b + width} for a, b in zip(at[np.append(0, cut + 1)].tolist(), at[np.append(cut, -1)].tolist())] if len(at) else [])
-            made = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), made], ["doc_id", "tie", "spans"])
+            ends = np.cumsum(pc.list_value_length(batch.column("x")).to_numpy())
+            for piece in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(ends // 100_000)) + 1):
+                if not len(piece):
+                    continue
+                part = batch.slice(int(piece[0]), len(piece))
+                x = part.column("x").flatten()
+                doc = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("x")).to_numpy())
+                start, n, known = x.field("start").to_numpy(), x.field("n").to_numpy(), np.array(x.field("bits").is_valid())
+                bits = np.full((len(x), STRETCH // 8), 255, np.uint8)
+                bits[known] = np.frombuffer(b"".join(x.field("bits").drop_null().to_pylist()), np.uint8).reshape(-1, STRETCH // 8)
+                # Of the rows of one stretch, the one with bits.
+                order = np.lexsort((~known, start, doc))
+                new = np.append(True, (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0))
+                one = order[new]
+                flags = np.unpackbits(bits[one], axis=1, bitorder="little").astype(bool) & (np.arange(STRETCH) < n[one][:, None])
+                row, window = np.nonzero(flags)
+                at, of = start[one][row] + window, doc[one][row]
+                cut = np.append(True, (np.diff(at) > width) | (np.diff(of) != 0))[: len(at)]
+                first = np.flatnonzero(cut)
+                last = np.append(first[1:], len(at)) - 1 if len(first) else first
+                values = pa.StructArray.from_arrays([pa.array(at[first]), pa.array(at[last] + width)], ["start", "stop"])
+                sizes = np.bincount(of[first], minlength=part.num_rows)
+                made = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), made], ["doc_id", "tie", "spans"])
 
     return grouped.mapInArrow(run, f"doc_id {kind}, tie binary, spans array<struct<start bigint, stop bigint>>").filter(F.size("spans") > 0)
 
