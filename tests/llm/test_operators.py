@@ -137,7 +137,7 @@ def test_best_run():
     assert decontaminate.best_run(a, b) == 8 and decontaminate.best_run(a, a) == 9 and decontaminate.best_run(a, a + 100) == 0
 
 
-def test_warc(spark, nothing):
+def test_warc(spark, nothing, monkeypatch):
     pages = [(5, "http://a/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (9, "u", None), (8, "u", ""), (7, "u", "other"), (7, "u", "other"), (None, "u", "alone"), (None, "u", "other")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, address int")
 
@@ -156,6 +156,13 @@ def test_warc(spark, nothing):
     named = spark.createDataFrame([("a>b\r\n", None, "x" * 300_000), ("é/1", None, "x" * 300_000), (None, None, "y")], "page_id string, url string, html string")
     texts = warc.read_archive(spark, warc.write_archive(named, f"{shared.shared_dir(spark)}/t-{random.random()}")).collect()
     assert {(r.page_id, r.record_type, r.refers_to, len(r.payload)) for r in texts} == {("a>b\r\n", "response", None, 300_000), ("é/1", "revisit", "a>b\r\n", 300_000), (None, "response", None, 1)}
+    many = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") < 25, F.lit("hot")).otherwise(F.concat(F.lit("cold "), F.floor(F.col("id") / 2).cast("string"))).alias("html"))
+    monkeypatch.setattr(warc, "SLOT", 4)
+    archive = warc.write_archive(many, f"{shared.shared_dir(spark)}/t-{random.random()}")
+    stored = {bytes(r.payload).decode(): r.slots for r in spark.read.parquet(archive.payloads).collect()}
+    assert stored == {"hot": 7} | {f"cold {i // 2}": 1 for i in range(25, 40)}
+    assert spark.read.parquet(archive.records).filter("slot > 0").count() > 10
+    assert sorted((r.page_id, r.refers_to, bytes(r.payload).decode()) for r in warc.read_archive(spark, archive).fillna(-1).collect()) == [(i, 0 if 0 < i < 25 else i - 1 if i > 26 and i % 2 else -1, "hot" if i < 25 else f"cold {i // 2}") for i in range(40)]
     empty = warc.write_archive(df.filter("false"), f"{shared.shared_dir(spark)}/t-{random.random()}")
     assert warc.read_archive(spark, empty).count() == 0
 
