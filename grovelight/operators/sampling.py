@@ -34,14 +34,13 @@ def feature_subset(spark: SparkSession, n_trees: int, n_features: int, k: int, s
 
 
 def bootstrap(rows: DataFrame, n_trees: int, seed: int, max_samples: float | int | None = None, replace: bool = True) -> DataFrame:
-    """(split, client, tree, row_id, mult): each site's own sample for each tree."""
+    """(split, client, tree, row_id, mult): each site's own sample for each tree. ``row_id`` has to be dense in (split, client)."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
     sizes = rows.groupBy("split", "client").agg(F.count("*").alias("n")).withColumn("m", sample_size(F.col("n"), max_samples))
     if replace:
-        # Dealt in blocks, so one site's draws are spread over many tasks.
-        block = 1 << 14
-        blocks = sizes.select("split", "client", "n", "m", trees).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / block))).alias("b")).repartition("split", "client", "tree", "b")
-        draws = blocks.select("split", "client", "tree", "n", F.explode(F.sequence(F.col("b") * block, F.least(F.col("m"), (F.col("b") + 1) * block) - 1)).alias("i"))
+        # Row i of a site makes the site's draws i, i + n, ...: draws are spread as the rows are, and are known to be as many.
+        own = rows.select("split", "client", "row_id").join(F.broadcast(sizes), ["split", "client"]).filter(F.col("row_id") < F.col("m"))
+        draws = own.select("split", "client", "n", "m", "row_id", trees).select("split", "client", "tree", "n", F.explode(F.sequence(F.col("row_id"), F.col("m") - 1, F.col("n"))).alias("i"))
         picked = draws.select("split", "client", "tree", (draw(seed, "b", F.col("split"), F.col("client"), F.col("tree"), F.col("i")) % F.col("n")).alias("row_id"))
         return picked.groupBy("split", "client", "tree", "row_id").agg(F.count("*").alias("mult"))
     each = rows.select("split", "client", "row_id", trees).withColumn("h", draw(seed, "s", F.col("split"), F.col("client"), F.col("tree"), F.col("row_id")))

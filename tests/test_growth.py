@@ -1,6 +1,7 @@
 """Exact sums, growth on count arrays, resumed runs, samples drawn in the row, site files in order, rules and the SQL scorer."""
 
 import glob
+import hashlib
 import math
 import random
 
@@ -184,6 +185,33 @@ def test_scorer_in_sql(spark, settings):
     assert [r.pred for r in spark.sql("SELECT pred FROM own_predict(TABLE({rows}))", rows=none).collect()] == [None, None]
 
 
+@pytest.mark.parametrize("m,of", [(None, 1), (0.5, 0.5), (20, None)])
+def test_samples_are_the_draws(spark, m, of):
+    """Also samples of more draws than a site has rows."""
+    df = rows(spark, [(i % 2, i // 2, [i], 0) for i in range(15)])
+    want = {}
+    for client, n in ((0, 8), (1, 7)):
+        for tree in range(2):
+            for i in range(max(round(n * of), 1) if of else m):
+                key = client, tree, int(hashlib.md5(f"5|b|0|{client}|{tree}|{i}".encode()).hexdigest()[:8], 16) % n
+                want[key] = want.get(key, 0) + 1
+    assert {(r.client, r.tree, r.row_id): r.mult for r in sampling.bootstrap(df, 2, 5, m).collect()} == want
+
+
+def test_samples_are_not_taken_for_small(spark):
+    """Samples grow with the rows, so a join with one isn't a broadcast because the table of the sites' sizes is small."""
+    df = settle(spark.range(0, 60_000, numPartitions=8).selectExpr("'0' AS split", "CAST(id % 2 AS INT) AS client", "id DIV 2 AS row_id"), "rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        left = df.join(sampling.bootstrap(df, 1, 3), ["split", "client", "row_id"], "left_anti")
+        assert 0.3 < left.count() / 60_000 < 0.45
+        left.collect()
+        plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "isFinalPlan=true" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftAnti" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 4099])
 def test_permutation_is_one(spark, n):
     moved = [r.x for r in spark.range(n).select(sampling.permuted(F.col("id"), F.lit(n).cast("long"), [7, "k"]).alias("x")).collect()]
