@@ -15,6 +15,8 @@ CLASSES = 32
 PER_CLASS = 32
 HEAD = CLASSES * PER_CLASS
 START = HEAD + 1
+#: Most tokens of a training stretch: a longer document is trained on in several, each after its former word.
+STRETCH = 512
 EMBED = 16
 HIDDEN = 20
 WINDOW = 32
@@ -57,8 +59,14 @@ def lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
     return sorted(out, key=lambda own: -sum(int(lengths[i]) for i in own))
 
 
-def lay_out(docs: list[np.ndarray], most: int):
-    """Targets, inputs, starts and owners as (steps, lanes); targets are -1 beyond a lane's end."""
+def stretches(docs: list[np.ndarray], most: int = STRETCH) -> tuple[list[np.ndarray], np.ndarray]:
+    """Documents cut so that lanes come out even, and the input of each stretch's first step: START or the word before."""
+    own = [(d[i : i + most], d[i - 1] if i else START) for d in docs for i in range(0, len(d), most)]
+    return [d for d, _ in own], np.array([first for _, first in own], np.int32)
+
+
+def lay_out(docs: list[np.ndarray], most: int, firsts: np.ndarray | None = None):
+    """Targets, inputs, starts and owners as (steps, lanes); targets are -1 beyond a lane's end. ``firsts``: see ``stretches``."""
     lengths = np.array([len(d) for d in docs])
     own = lanes(lengths, most)
     steps = max((int(lengths[k].sum()) for k in own), default=0)
@@ -71,7 +79,7 @@ def lay_out(docs: list[np.ndarray], most: int):
         ends = np.cumsum(lengths[ids])
         target[: len(row), k], source[1 : len(row), k] = row, row[:-1]
         first = np.concatenate([[0], ends[:-1]])
-        source[first, k], begins[first, k] = START, True
+        source[first, k], begins[first, k] = START if firsts is None else firsts[ids], True
         owner[: len(row), k] = np.repeat(ids, lengths[ids])
     return target, source, begins, owner
 
@@ -131,13 +139,15 @@ def score(p: dict, docs: list[np.ndarray], most: int = 256) -> np.ndarray:
 
 
 def train(p: dict, docs: list[np.ndarray], most: int = 32, rate: float = 4e-3) -> dict:
-    """One pass over every token: truncated backpropagation with Adam; state runs on across windows of a document."""
+    """One pass over every token: truncated backpropagation with Adam; state runs on across windows of a stretch."""
     p = {k: v.copy() for k, v in p.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    target, source, begins, _ = lay_out(docs, most) if docs else (np.zeros((0, 0), np.int32),) * 4
+    docs, firsts = stretches(docs)
+    target, source, begins, _ = lay_out(docs, most, firsts) if docs else (np.zeros((0, 0), np.int32),) * 4
     h, step = np.zeros((target.shape[1], HIDDEN), np.float32), 0
     for t in range(0, len(target), WINDOW):
-        goal, src, new = target[t : t + WINDOW], source[t : t + WINDOW], begins[t : t + WINDOW]
+        n = int((target[t] >= 0).sum())  # as in ``score``: lanes that have ended cost nothing
+        goal, src, new, h = target[t : t + WINDOW, :n], source[t : t + WINDOW, :n], begins[t : t + WINDOW, :n], h[:n]
         live = goal >= 0
         table = p["emb"] @ p["wx"] + p["b"]
         states, gates = run(p, table, h, src, new, backward=True)
@@ -159,17 +169,22 @@ def train(p: dict, docs: list[np.ndarray], most: int = 32, rate: float = 4e-3) -
             dh_live[rows] += e @ p["ww"][c].T
         dout = np.zeros_like(states)
         dout[live] = dh_live
-        carried, inputs = np.zeros_like(h), np.empty((*src.shape, table.shape[1]), table.dtype)
+        before, z, r, n, gn = (np.stack(x) for x in zip(*gates))
+        # What the steps don't hand on is worked out for all of them at once.
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), gn * r * (1 - r)
+        kept = ~new[:, :, None]
+        du, inputs = (np.empty((*src.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        carried, back = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         for s in range(len(goal) - 1, -1, -1):
-            before, z, r, n, gn = gates[s]
-            dh = dout[s] + carried
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * gn * r * (1 - r)
-            dz = dh * (before - n) * z * (1 - z)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            g["u"] += before.T @ du
-            carried = (dh * z + du @ p["u"].T) * ~new[s][:, None]
-            inputs[s, :, : 2 * HIDDEN], inputs[s, :, 2 * HIDDEN :] = du[:, : 2 * HIDDEN], dn
+            dh, own = dout[s] + carried, du[s]
+            dn = dh * by_n[s]
+            np.multiply(dh, by_z[s], out=own[:, :HIDDEN])
+            np.multiply(dn, by_r[s], out=own[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[s], out=own[:, 2 * HIDDEN :])
+            inputs[s, :, 2 * HIDDEN :] = dn
+            carried = (dh * z[s] + own @ back) * kept[s]
+        inputs[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
+        g["u"] = before.reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
         order = np.argsort(src, axis=None, kind="stable")
         ids = src.ravel()[order]
         first = np.flatnonzero(np.diff(ids, prepend=-1))

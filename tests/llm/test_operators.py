@@ -292,6 +292,23 @@ def test_lm_trains_on_every_token(docs):
         assert passes == 1 and lm_score.SHARD_TOKENS * rounds * width >= n and rounds <= 2 * max(width, lm_score.SHARDS)
 
 
+def test_lm_schedule_has_no_switch():
+    """Small corpora are trained on as often as large ones; a token more changes nothing below a further shard."""
+    seen = [lm_score.schedule(n) for n in (1, 1_999_999, 2_000_000, 11_000_000)]
+    assert set(seen) == {(1, 2, 12)}
+
+
+def test_lm_stretches():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, gru.HEAD + 1, n).astype(np.int32) for n in (1, gru.STRETCH, gru.STRETCH + 1, 5 * gru.STRETCH // 2)]
+    parts, firsts = gru.stretches(docs)
+    assert np.array_equal(np.concatenate(parts), np.concatenate(docs)) and max(map(len, parts)) == gru.STRETCH
+    target, source, begins, owner = gru.lay_out(parts, 3, firsts)
+    # Each token is a target once, after the word that it has before it in its document.
+    got = sorted(zip(source[target >= 0].tolist(), target[target >= 0].tolist()))
+    assert got == sorted((int(d[i - 1]) if i else gru.START, int(w)) for d in docs for i, w in enumerate(d))
+
+
 def test_lm_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     counts = np.zeros(gru.HEAD)
