@@ -134,9 +134,11 @@ def permuted(i: Column, n: Column, key: list[Column | str | int]) -> Column:
             s = F.get(F.transform(bound, lambda v: turn(half, v)), F.lit(0))
         return s
 
-    first = once(start(i, n))
-    walked = F.aggregate(F.sequence(F.lit(1), F.least(a, F.lit(WALK)).cast("int")), first, lambda s, _: F.when(s["x"] < s["n"], s).otherwise(once(s)))
-    return F.get(F.transform(F.array(walked), lambda s: F.when(s["x"] < s["n"], s["x"])), F.lit(0))
+    def walked(first: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.least(first["a"], F.lit(WALK)).cast("int")), first, lambda s, _: F.when(s["x"] < s["n"], s).otherwise(once(s)), lambda s: F.when(s["x"] < s["n"], s["x"]))
+
+    # Only places that are no number walk on; the others, nearly all, have arrived.
+    return F.get(F.transform(F.array(once(start(i, n))), lambda s: F.when(s["x"] < s["n"], s["x"]).otherwise(walked(s))), F.lit(0))
 
 
 def permute_labels(rows: DataFrame, seed: int) -> DataFrame:
