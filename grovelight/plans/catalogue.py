@@ -347,8 +347,10 @@ def l_decisions(spark, d, g: grow.Growth | None = None) -> DataFrame:
 
 @query(o.with_(_L_ROOT, select="SELECT a.client, 2 + (bins[feature + 1] > thr)::BIGINT AS node_id, count(*) AS n FROM a1 a, b1 GROUP BY ALL"))
 def child_assign(spark, d):
-    assign, _ = whole_root(spark, L(spark, d), BINS, 4)
-    best = impurity.best_splits(impurity.global_scores(impurity.local_scores(l_root(spark, d), BINS, list(L_CLASSES)))).select("split", "tree", "feature", "thr")
+    assign, features = whole_root(spark, L(spark, d), BINS, 4)
+    assign = settle(assign, "assign")
+    cum = impurity.cumulative(impurity.histogram(assign, features), BINS, list(L_CLASSES))
+    best = impurity.best_splits(impurity.global_scores(impurity.local_scores(cum, BINS, list(L_CLASSES)))).select("split", "tree", "feature", "thr")
     node = F.col("node_id") * 2 + (F.get("bins", F.col("feature")) > F.col("thr")).cast("bigint")
     return assign.join(F.broadcast(best), ["split", "tree"]).groupBy("client", node.alias("node_id")).agg(F.count("*").alias("n"))
 

@@ -12,7 +12,9 @@ from grovelight import config, forest, run
 from grovelight.functions import exact, scorer
 from grovelight.functions.portable import settle, shared_dir
 from grovelight.operators import binning, grow, impurity, rules, sampling, score
+from grovelight.plans import catalogue
 from grovelight.sources import tables
+from tests.conftest import SF
 from tests.test_forest import grid, rows
 
 
@@ -157,6 +159,21 @@ def test_halving_counts_edges(spark, n):
     assert [r.b for r in same.select(binning.edges_below(F.col("e"), F.col("x"), n).alias("b")).collect()] == [0, n, n]
 
 
+@pytest.mark.parametrize("n_bins,quantile", [(5, ()), (5, (0, 2)), (100, (1,))])
+def test_batches_are_binned_as_rows(spark, n_bins, quantile):
+    rng = random.Random(3)
+    data = [(i % 3, i // 3, [rng.choice([0.5, rng.uniform(-3, 3)]), 1e16 + i % 9, rng.gauss(0, 1), 7.0], 0) for i in range(400)]
+    base = rows(spark, data)
+    edges = settle(binning.edge_table(base.unionByName(base.withColumn("split", F.lit("é")).filter("row_id % 3 > 0")), n_bins, quantile), "edges")
+    nan, inf = float("nan"), float("inf")
+    odd = [("0", 9, 0, None), ("0", 9, 1, []), ("é", 9, 2, [1.0]), ("0", 9, 3, [nan, None, inf, -inf]), ("0", 9, 4, [0.0, 1e16, -0.0, 7.0, 3.0]), ("none", 9, 5, [1.0] * 4), (None, 9, 6, [1.0] * 4)]
+    asked = spark.createDataFrame(odd, "split string, client int, row_id bigint, features array<double>").unionByName(base.select("split", "client", "row_id", "features"))
+    shown = lambda d: sorted(map(repr, d.drop("features").collect()))
+    assert shown(binning.bin_batches(asked, edges, n_bins).filter("row_id <> 4 OR client < 9")) == shown(binning.bin_rows(asked, edges, n_bins).filter("row_id <> 4 OR client < 9"))
+    extra = binning.bin_batches(asked, edges, n_bins).filter("row_id = 4 AND client = 9").first().bins
+    assert len(extra) == 5 and extra[4] is None and None not in extra[:4]
+
+
 def test_a_row_satisfies_one_rule_of_a_tree(spark):
     df = rows(spark, [(i % 3, i // 3, [(i * i) % 97, (i * 7) % 31, i % 5], (i * 11) % 4) for i in range(300)])
     f = forest.train(df, config.RunConfig(n_bins=6, n_estimators=3, max_depth=5, max_features=2))
@@ -235,3 +252,10 @@ def test_large_forests_are_walked_by_joins(spark, settings):
     shown = lambda d: sorted(map(tuple, d.collect()))
     assert shown(score.predict_trees(binned, f.nodes, f.depth, most=0)) == shown(f.predict_trees(df))
     assert shown(score.predict_rows(binned, f.nodes, f.depth, f.mode, f.trees if f.weighted else None, most=0)) == shown(f.predict(df))
+
+
+def test_child_assign_reads_its_rows_once(spark, monkeypatch):
+    names, plain = [], catalogue.settle
+    monkeypatch.setattr(catalogue, "settle", lambda df, name: names.append(name) or plain(df, name))
+    catalogue.QUERIES["child_assign"](spark, SF)
+    assert names == ["rows", "assign"]
