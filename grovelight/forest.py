@@ -34,11 +34,11 @@ class Forest:
         return Forest(*(spark.read.parquet(f"{path}/{n}") for n in ("edges", "nodes", "trees")), meta.n_bins, meta.depth, meta.mode, meta.weighted)
 
     def predict_trees(self, rows: DataFrame) -> DataFrame:
-        return score.predict_trees(binning.bin_rows(rows, self.edges, self.n_bins), self.nodes, self.depth)
+        return score.predict_trees(binning.bin_batches(rows.select(*score.KEY, "features"), self.edges, self.n_bins), self.nodes, self.depth)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """(split, client, row_id, pred) of raw features, of a table or a stream; trees vote by their weights if the forest was fitted so."""
-        binned = binning.bin_rows(rows, self.edges, self.n_bins)
+        binned = binning.bin_batches(rows.select(*score.KEY, "features"), self.edges, self.n_bins)
         return score.predict_rows(binned, self.nodes, self.depth, self.mode, self.trees if self.weighted else None)
 
 
@@ -70,7 +70,7 @@ def train(rows: DataFrame, config: RunConfig) -> Forest:
     spark = rows.sparkSession
     n_features = check_rows(rows)
     edges = settle(binning.edge_table(rows, config.n_bins, config.quantile), "edges")
-    binned = settle(binning.bin_rows(rows, edges, config.n_bins).select("split", "client", "row_id", "bins", "y"), "binned")
+    binned = settle(binning.bin_batches(rows, edges, config.n_bins).select("split", "client", "row_id", "bins", "y"), "binned")
     classes = weights = None
     if config.mode == "classification":
         classes = tuple(r.y for r in rows.select("y").distinct().orderBy("y").limit(config.max_classes + 1).collect())

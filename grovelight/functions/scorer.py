@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import functions as F
 
-from ..forest import Forest
+from ..operators import binning
+
+if TYPE_CHECKING:
+    from ..forest import Forest
 
 #: A forest of more nodes isn't sent to the tasks as arrays.
 MOST_NODES = 5_000_000
@@ -34,21 +38,13 @@ class FlatForest:
         for split, own in nodes[nodes.node_id == 1].groupby("split"):
             self.roots[split] = own.index.to_numpy(np.int32), [weights.get((split, t), 1.0) for t in own.tree]
         self.edges: dict[str, list] = {}
-        for e in forest.edges.select("split", "feature", "kind", "edges", "mean", "stddev").orderBy("split", "feature").collect():
-            self.edges.setdefault(e.split, []).append((e.kind, np.array(e.edges), e.mean, e.stddev))
+        for e in forest.edges.select("split", "feature", "kind", "edges", "mean", "stddev").collect():
+            self.edges.setdefault(e.split, []).append(e)
+        self.edges = {split: binning.edges_by_feature(own) for split, own in self.edges.items()}
         self.n_bins, self.regression = forest.n_bins, forest.mode == "regression"
 
     def bins(self, split: str, x: np.ndarray) -> np.ndarray:
-        out = np.empty(x.shape, np.int32)
-        for f, (kind, edges, mean, stddev) in enumerate(self.edges[split]):
-            v = x[:, f]
-            if kind == "quantile":
-                z = (v - mean) / stddev if stddev else np.zeros(len(v))
-                out[:, f] = np.searchsorted(edges, np.where(np.isinf(z), 0.0, z), side="right")
-            else:
-                out[:, f] = np.searchsorted(edges, v, side="right") - 1
-            out[np.isnan(v), f] = self.n_bins - 1
-        return out
+        return binning.bins_of(x, self.edges[split], self.n_bins)
 
     def predict(self, split: str, x: np.ndarray) -> np.ndarray:
         """Whole batches step down all trees at once; then the trees vote as ``Forest.predict`` has them."""

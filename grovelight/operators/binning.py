@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exact
 
@@ -95,6 +100,57 @@ def bin_of(x: Column, e: Column, n_bins: int) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(n_bins - 1)).otherwise(below)
 
 
+def edges_by_feature(edges: list[Row]) -> list[tuple]:
+    """A split's edges in order of the features, for ``bins_of``; edges that are no numbers are never passed."""
+    known = [(e.kind, np.array(e.edges, np.float64), e.mean, e.stddev) for e in sorted(edges, key=lambda e: e.feature)]
+    return [(kind, np.sort(at[~np.isnan(at)]), mean, stddev) for kind, at, mean, stddev in known]
+
+
+def bins_of(x: np.ndarray, edges: list[tuple], n_bins: int) -> np.ndarray:
+    """Bins of rows of equal length as ``bin_of`` has them, a feature at a time; NaN stands for a missing value."""
+    out = np.empty(x.shape, np.int32)
+    for f, (kind, at, mean, stddev) in enumerate(edges[: x.shape[1]]):
+        v, missing = x[:, f], np.isnan(x[:, f])
+        if kind == "quantile":
+            with np.errstate(all="ignore"):
+                z = (v - mean) / stddev if stddev else np.zeros(len(v))
+            out[:, f] = np.searchsorted(at, np.where(np.isinf(z), 0.0, z), side="right")
+        else:
+            out[:, f] = np.searchsorted(at, v, side="right") - 1
+        out[missing, f] = n_bins - 1
+    return out
+
+
+def bin_batches(rows: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
+    """As ``bin_rows``, a batch and feature at a time: for edges that are settled, as their collection is a job of its own."""
+    known: dict[str, list] = {}
+    for e in edges.select("split", "feature", "kind", "edges", "mean", "stddev").collect():
+        known.setdefault(e.split, []).append(e)
+    sent = rows.sparkSession.sparkContext.broadcast({split: edges_by_feature(own) for split, own in known.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_in(batch.column("split"), value_set=pa.array(list(sent.value), batch.column("split").type)))
+            features = batch.column("features")
+            lengths = pc.list_value_length(features).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = features.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(lengths)])
+            bins, none = np.empty(len(x), np.int32), np.zeros(len(x), bool)
+            names = batch.column("split").dictionary_encode()
+            # Rows of one split and length are a matrix; training rows are all of one length.
+            kinds, of = np.unique(names.indices.to_numpy().astype(np.int64) * (1 << 32) + lengths, return_inverse=True)
+            for k, kind in enumerate(kinds.tolist()):
+                own, width = np.flatnonzero(of == k), kind % (1 << 32)
+                at = starts[own][:, None] + np.arange(width)
+                by = sent.value[names.dictionary[kind >> 32].as_py()]
+                bins[at] = bins_of(x[at], by, n_bins)
+                none[at[:, len(by) :]] = True  # features that the forest doesn't know
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bins, mask=none), mask=pc.is_null(features))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "bins"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("bins", T.ArrayType(T.IntegerType()))]))
+
+
 def bin_rows(rows: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
     """``rows`` with ``bins``: a projection after a broadcast of one row of edges a split (features times bins doubles)."""
     packed = edges.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("feature", "kind", "edges", "mean", "stddev"))).alias("__edges"))

@@ -184,7 +184,7 @@ def bucket_edges(spark, d):
 
 
 def binned(rows: DataFrame, n_bins: int, quantile: tuple[int, ...] = ()) -> DataFrame:
-    return binning.bin_rows(rows, binning.edge_table(rows, n_bins, quantile), n_bins)
+    return binning.bin_batches(rows, binning.edge_table(rows, n_bins, quantile), n_bins)
 
 
 _BINS4 = ", ".join(f"bins[{i + 1}] AS b{i}" for i in range(4))
