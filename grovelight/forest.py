@@ -34,12 +34,11 @@ class Forest:
         return Forest(*(spark.read.parquet(f"{path}/{n}") for n in ("edges", "nodes", "trees")), meta.n_bins, meta.depth, meta.mode, meta.weighted)
 
     def predict_trees(self, rows: DataFrame) -> DataFrame:
-        return score.predict_trees(binning.bin_batches(rows.select(*score.KEY, "features"), self.edges, self.n_bins), self.nodes, self.depth)
+        return score.predict_trees(rows.select(*score.KEY, "features"), self.nodes, self.depth, before=binning.binner(self.edges, self.n_bins))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """(split, client, row_id, pred) of raw features, of a table or a stream; trees vote by their weights if the forest was fitted so."""
-        binned = binning.bin_batches(rows.select(*score.KEY, "features"), self.edges, self.n_bins)
-        return score.predict_rows(binned, self.nodes, self.depth, self.mode, self.trees if self.weighted else None)
+        return score.predict_rows(rows.select(*score.KEY, "features"), self.nodes, self.depth, self.mode, self.trees if self.weighted else None, before=binning.binner(self.edges, self.n_bins))
 
 
 def check_rows(rows: DataFrame) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import functions as F
 
-from ..operators import binning
+from ..operators import binning, score
 
 if TYPE_CHECKING:
     from ..forest import Forest
@@ -22,21 +22,12 @@ _sent: dict[str, Broadcast] = {}
 
 
 class FlatForest:
-    """All nodes of all splits as flat arrays; children are places in them, a leaf leads to itself."""
+    """A forest's trees as flat arrays, with its edges."""
 
     def __init__(self, forest: Forest):
         if (n := forest.nodes.count()) > MOST_NODES:
             raise ValueError(f"the forest has {n} nodes, more than {MOST_NODES}")
-        nodes = forest.nodes.select("split", "tree", "node_id", "feature", "thr", "value").toPandas().sort_values(["split", "tree", "node_id"], ignore_index=True)
-        place = {k: i for i, k in enumerate(zip(nodes.split, nodes.tree, nodes.node_id))}
-        child = lambda bit: np.array([place.get((s, t, 2 * i + bit), k) for k, (s, t, i) in enumerate(zip(nodes.split, nodes.tree, nodes.node_id))], np.int32)
-        self.left, self.right = child(0), child(1)
-        self.feature, self.thr = nodes.feature.fillna(0).to_numpy(np.int32), nodes.thr.fillna(0).to_numpy(np.int32)
-        self.value, self.depth = nodes.value.to_numpy(np.float64), forest.depth
-        weights = {(r.split, r.tree): r.weight for r in forest.trees.select("split", "tree", "weight").collect()} if forest.weighted else {}
-        self.roots: dict[str, tuple[np.ndarray, list[float]]] = {}
-        for split, own in nodes[nodes.node_id == 1].groupby("split"):
-            self.roots[split] = own.index.to_numpy(np.int32), [weights.get((split, t), 1.0) for t in own.tree]
+        self.trees = score.FlatTrees(forest.nodes, forest.depth, forest.trees if forest.weighted else None)
         self.edges: dict[str, list] = {}
         for e in forest.edges.select("split", "feature", "kind", "edges", "mean", "stddev").collect():
             self.edges.setdefault(e.split, []).append(e)
@@ -47,23 +38,7 @@ class FlatForest:
         return binning.bins_of(x, self.edges[split], self.n_bins)
 
     def predict(self, split: str, x: np.ndarray) -> np.ndarray:
-        """Whole batches step down all trees at once; then the trees vote as ``Forest.predict`` has them."""
-        roots, weights = self.roots[split]
-        bins, at = self.bins(split, x), np.repeat(roots[:, None], len(x), axis=1)
-        rows = np.arange(len(x))
-        for _ in range(self.depth):
-            at = np.where(bins[rows, self.feature[at]] > self.thr[at], self.right[at], self.left[at])
-        answers = self.value[at]
-        if self.regression:
-            total = np.zeros(len(x))
-            for a in answers:
-                total = total + a
-            return total / len(answers)
-        classes = np.unique(answers)
-        votes = np.zeros((len(classes), len(x)))
-        for a, w in zip(answers, weights):
-            votes += np.where(classes[:, None] == a, w, 0.0)
-        return classes[votes.argmax(0)]
+        return self.trees.vote(split, self.trees.answers(split, self.bins(split, x)), self.regression)
 
 
 def register_scorer(forest: Forest, name: str = "predict") -> None:
@@ -84,7 +59,7 @@ def register_scorer(forest: Forest, name: str = "predict") -> None:
             pred = np.full(rows.num_rows, np.nan)
             for k, name_of in enumerate(names.tolist()):
                 at = np.flatnonzero((of == k) & full)
-                if name_of in flat.roots and len(at):
+                if name_of in flat.trees.trees and len(at):
                     own = features.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
                     pred[at] = flat.predict(name_of, own.reshape(len(at), -1))
             yield pa.table([split, rows.column("client"), rows.column("row_id"), pa.array(pred, mask=np.isnan(pred))], ["split", "client", "row_id", "pred"])

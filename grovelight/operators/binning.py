@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -121,34 +121,53 @@ def bins_of(x: np.ndarray, edges: list[tuple], n_bins: int) -> np.ndarray:
     return out
 
 
-def bin_batches(rows: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
-    """As ``bin_rows``, a batch and feature at a time: for edges that are settled, as their collection is a job of its own."""
+def matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, str, np.ndarray]]:
+    """(rows, split, places) of a batch's rows of one split and length: where their values stand in the flat list column.
+    Training rows are all of one length. No split may be null."""
+    lengths = pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, names = np.cumsum(lengths) - lengths, batch.column("split").dictionary_encode()
+    kinds, of = np.unique(names.indices.to_numpy().astype(np.int64) * (1 << 32) + lengths, return_inverse=True)
+    for k, kind in enumerate(kinds.tolist()):
+        own = np.flatnonzero(of == k)
+        yield own, names.dictionary[kind >> 32].as_py(), starts[own][:, None] + np.arange(kind % (1 << 32))
+
+
+def of_splits(batch: pa.RecordBatch, splits: list[str]) -> pa.RecordBatch:
+    return batch.filter(pc.is_in(batch.column("split"), value_set=pa.array(splits, batch.column("split").type)))
+
+
+def binner(edges: DataFrame, n_bins: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What adds ``bins`` to batches of rows, in a task; the edges are collected and broadcast at once."""
     known: dict[str, list] = {}
     for e in edges.select("split", "feature", "kind", "edges", "mean", "stddev").collect():
         known.setdefault(e.split, []).append(e)
-    sent = rows.sparkSession.sparkContext.broadcast({split: edges_by_feature(own) for split, own in known.items()})
+    sent = edges.sparkSession.sparkContext.broadcast({split: edges_by_feature(own) for split, own in known.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pc.is_in(batch.column("split"), value_set=pa.array(list(sent.value), batch.column("split").type)))
+            batch = of_splits(batch, list(sent.value))
             features = batch.column("features")
             lengths = pc.list_value_length(features).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             x = features.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             bins, none = np.empty(len(x), np.int32), np.zeros(len(x), bool)
-            names = batch.column("split").dictionary_encode()
-            # Rows of one split and length are a matrix; training rows are all of one length.
-            kinds, of = np.unique(names.indices.to_numpy().astype(np.int64) * (1 << 32) + lengths, return_inverse=True)
-            for k, kind in enumerate(kinds.tolist()):
-                own, width = np.flatnonzero(of == k), kind % (1 << 32)
-                at = starts[own][:, None] + np.arange(width)
-                by = sent.value[names.dictionary[kind >> 32].as_py()]
+            for _, split, at in matrices(batch, "features"):
+                by = sent.value[split]
                 bins[at] = bins_of(x[at], by, n_bins)
                 none[at[:, len(by) :]] = True  # features that the forest doesn't know
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(bins, mask=none), mask=pc.is_null(features))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "bins"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("bins", T.ArrayType(T.IntegerType()))]))
+    return run
+
+
+def binned_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField("bins", T.ArrayType(T.IntegerType()))])
+
+
+def bin_batches(rows: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
+    """As ``bin_rows``, a batch and feature at a time: for edges that are settled, as their collection is a job of its own."""
+    return rows.mapInArrow(binner(edges, n_bins), binned_schema(rows))
 
 
 def bin_rows(rows: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:

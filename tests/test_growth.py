@@ -259,3 +259,15 @@ def test_child_assign_reads_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "settle", lambda df, name: names.append(name) or plain(df, name))
     catalogue.QUERIES["child_assign"](spark, SF)
     assert names == ["rows", "assign"]
+
+
+def test_rows_are_binned_and_walked_in_one_pass(spark):
+    """Also trees that all weigh nothing: the smallest class that one of them names wins."""
+    df = rows(spark, [(i % 3, i // 3, [(i * i) % 97, (i * 7) % 31], (i * 11) % 4) for i in range(200)])
+    f = forest.train(df, config.RunConfig(n_bins=6, n_estimators=3, max_depth=4, max_features=2))
+    for scored in (f.predict(df), f.predict_trees(df)):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    binned, none = settle(binning.bin_rows(df, f.edges, f.n_bins), "binned"), f.trees.withColumn("weight", F.lit(0.0))
+    shown = lambda most: sorted(map(tuple, score.predict_rows(binned, f.nodes, f.depth, f.mode, none, most=most).collect()))
+    assert shown(score.MOST_NODES) == shown(0)
