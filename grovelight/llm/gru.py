@@ -22,15 +22,6 @@ HIDDEN = 20
 WINDOW = 32
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def log_sums(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; logits stay far below float32's limit, so no shift is needed."""
-    return np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
-
-
 def initial(counts: np.ndarray, rest: float, seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters for smoothed counts of the head words (zero for unused ids) and the mass of all rarer words."""
     rng = np.random.default_rng(seed)
@@ -84,40 +75,74 @@ def lay_out(docs: list[np.ndarray], most: int, firsts: np.ndarray | None = None)
     return target, source, begins, owner
 
 
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row, in the place of ``x``, and their sums; logits stay far below float32's limit, so no shift is needed."""
+    e = np.exp(x, out=x)
+    sums = e @ np.ones(x.shape[1], x.dtype)
+    return e, sums
+
+
 def outputs(p: dict, h: np.ndarray, target: np.ndarray, backward: bool = False):
-    """Log-probability of each target after state h, with what backpropagation needs. A rarer word gets its class's."""
+    """Log-probability of each target after state h, with what backpropagation needs. A rarer word gets its class's.
+
+    States and targets are put in order of the class once, so that each class has a slice of them.
+    """
     cls = target // PER_CLASS
-    classes = h @ p["wc"] + p["bc"]
-    norm = log_sums(classes)
-    logp = (classes[np.arange(len(target)), cls] - norm).astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    order = np.argsort(cls.astype(np.int8), kind="stable")
+    cls, hs = cls[order], h[order]
+    k = target[order] - cls * PER_CLASS
+    row = np.arange(len(target))
+    classes = hs @ p["wc"]
+    classes += p["bc"]
+    picked = classes[row, cls]
+    classes, sums = exponentials(classes)
+    found = (picked - np.log(sums)).astype(np.float64)
+    if backward:
+        classes /= sums[:, None]
+    cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
     inner = []
-    for c in range(CLASSES):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            x = h[rows] @ p["ww"][c] + p["bw"][c]
-            k = target[rows] - c * PER_CLASS
-            sums = log_sums(x)
-            logp[rows] += x[np.arange(len(rows)), k] - sums
-            inner.append((c, rows, x - sums[:, None] if backward else None, k))
-    return logp, cls, classes - norm[:, None] if backward else None, inner
+    for c, a, b in zip(range(CLASSES), cuts.tolist(), cuts[1:].tolist()):
+        if a < b:
+            x = hs[a:b] @ p["ww"][c]
+            x += p["bw"][c]
+            picked = x[row[: b - a], k[a:b]]
+            x, sums = exponentials(x)
+            found[a:b] += picked - np.log(sums)
+            if backward:
+                x /= sums[:, None]
+                inner.append((c, a, b, x))
+    logp = np.empty(len(target))
+    logp[order] = found
+    return logp, order, hs, cls, k, classes, inner
 
 
 def run(p: dict, table: np.ndarray, h: np.ndarray, source: np.ndarray, begins: np.ndarray, backward: bool = False):
-    """States that predict each target, shape (steps, lanes, HIDDEN): a step takes its input in first. Also the gates."""
-    states, gates = np.empty((*source.shape, HIDDEN), np.float32), []
+    """States that predict each target, shape (steps, lanes, HIDDEN): a step takes its input in first. Also what
+    backpropagation needs of each step: the state before, z, r, n and the state's part of n."""
+    gates, own = np.ascontiguousarray(table[:, : 2 * HIDDEN])[source], np.ascontiguousarray(table[:, 2 * HIDDEN :])[source]
+    by_gates, by_own = np.ascontiguousarray(p["u"][:, : 2 * HIDDEN]), np.ascontiguousarray(p["u"][:, 2 * HIDDEN :])
+    states = np.empty((*source.shape, HIDDEN), np.float32)
+    before, handed = (np.empty_like(states), np.empty_like(states)) if backward else (None, None)
+    fresh = begins.any(1).tolist()
     for t in range(len(source)):
-        h = h * ~begins[t][:, None]
-        x, g = table[source[t]], h @ p["u"]
-        zr = sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
+        if fresh[t]:
+            h = h * ~begins[t][:, None]
+        zr, n, gn = gates[t], own[t], h @ by_own
         if backward:
-            gates.append((h, z, r, n, gn))
-        h = n + z * (h - n)
-        states[t] = h
-    return states, gates
+            before[t], handed[t] = h, gn
+        zr += h @ by_gates
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        gn *= zr[:, HIDDEN:]
+        n += gn
+        np.tanh(n, out=n)
+        after = np.subtract(h, n, out=states[t])
+        after *= zr[:, :HIDDEN]
+        after += n
+        h = after
+    return states, (before, gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], own, handed)
 
 
 def score(p: dict, docs: list[np.ndarray], most: int = 256) -> np.ndarray:
@@ -153,23 +178,23 @@ def train(p: dict, docs: list[np.ndarray], most: int = 32, rate: float = 4e-3) -
         states, gates = run(p, table, h, src, new, backward=True)
         h = states[-1]
         hs, aim = states[live], goal[live]
-        _, cls, classes, inner = outputs(p, hs, aim, backward=True)
+        _, order, hs, cls, k, d, inner = outputs(p, hs, aim, backward=True)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         scale = np.float32(1 / len(aim))
-        d = np.exp(classes)
         d[np.arange(len(aim)), cls] -= 1
         d *= scale
         g["wc"], g["bc"] = hs.T @ d, d.sum(0)
         dh_live = d @ p["wc"].T
-        for c, rows, lp, k in inner:
-            e = np.exp(lp)
-            e[np.arange(len(rows)), k] -= 1
+        for c, a, b, e in inner:
+            e[np.arange(b - a), k[a:b]] -= 1
             e *= scale
-            g["ww"][c], g["bw"][c] = hs[rows].T @ e, e.sum(0)
-            dh_live[rows] += e @ p["ww"][c].T
+            g["ww"][c], g["bw"][c] = hs[a:b].T @ e, e.sum(0)
+            dh_live[a:b] += e @ p["ww"][c].T
         dout = np.zeros_like(states)
-        dout[live] = dh_live
-        before, z, r, n, gn = (np.stack(x) for x in zip(*gates))
+        put = np.empty_like(dh_live)
+        put[order] = dh_live
+        dout[live] = put
+        before, z, r, n, gn = gates
         # What the steps don't hand on is worked out for all of them at once.
         by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), gn * r * (1 - r)
         kept = ~new[:, :, None]
