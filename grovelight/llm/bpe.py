@@ -32,20 +32,23 @@ from .shared import pieces, release_shuffles, settle, text_rows
 LONG = 96
 PLACE_BITS = 7
 PLACES = 1 << PLACE_BITS
+RANK_BITS = 31 - PLACE_BITS
 WINDOW = 256
-TABLE_WORDS = 250_000
-COUNTED_AT_ONCE = 500_000
-PIECE = 1 << 20
+TABLE_WORDS = 500_000
+COUNTED_AT_ONCE = 250_000
+PIECE = 1 << 18
+#: Rows of whole texts or ids that are sent to Python at once; Spark's own 10,000 may hold tens of megabytes.
+BATCH_ROWS = 500
 
 
 class RankMap(NamedTuple):
     """The rank of each pair of adjacent pieces, as literal arrays: ``left`` gives a piece's row, the row's start plus
-    the right piece's id is a slot, and the slot holds the left piece it belongs to and the merged piece's id."""
+    the right piece's id is a slot, and the slot holds the left piece it belongs to plus one and the merged
+    piece's id in one number, or 0. Each task reads literals object by object; all zeros are one object."""
 
     first: Column  # id of a byte, by the top byte of its crc32 (all 256 differ)
     left: Column
-    owner: Column
-    merged: Column
+    slots: Column
 
 
 def rank_map(ranks: dict[bytes, int]) -> RankMap:
@@ -57,32 +60,30 @@ def rank_map(ranks: dict[bytes, int]) -> RankMap:
         for i in range(1, len(token)):
             if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                 rows.setdefault(a, {})[b] = rank
-    starts, owner, merged = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+    starts, slots = np.zeros(size, np.int64), np.zeros(size, np.int64)
     low = 0
     for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         right = np.fromiter(sorted(row), np.int64, len(row))
-        begin = owner[:0]
+        begin = slots[:0]
         while not len(begin):
-            if low + WINDOW + size > len(owner):
-                owner, merged = (np.concatenate([x, np.full(size + WINDOW, -1, np.int64)]) for x in (owner, merged))
+            if low + WINDOW + size > len(slots):
+                slots = np.concatenate([slots, np.zeros(size + WINDOW, np.int64)])
             begin = np.arange(low, low + WINDOW)
             for r in right:
-                begin = begin[owner[begin + r] < 0]
+                begin = begin[slots[begin + r] == 0]
                 if not len(begin):
                     break
             low += 0 if len(begin) else WINDOW
         starts[a] = begin[0]
-        owner[starts[a] + right] = a
-        merged[starts[a] + right] = [row[b] for b in right.tolist()]
+        slots[starts[a] + right] = [(a + 1 << RANK_BITS) + row[b] for b in right.tolist()]
     # Every slot that is asked for, even by a piece that starts no pair, is there.
-    room = np.full(max(0, int(starts.max(initial=0)) + size - len(owner)), -1, np.int64)
-    owner, merged = np.concatenate([owner, room]), np.concatenate([merged, room])
+    slots = np.concatenate([slots, np.zeros(max(0, int(starts.max(initial=0)) + size - len(slots)), np.int64)])
     first = sorted((zlib.crc32(bytes([b])) >> 24, ranks.get(bytes([b]), -1)) for b in range(256))
 
-    def literal(values) -> Column:
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+    def literal(values, kind: str = "int") -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-    return RankMap(literal([rank for _, rank in first]), literal(starts.tolist()), literal(owner.tolist()), literal(merged.tolist()))
+    return RankMap(literal([rank for _, rank in first]), literal(starts.tolist()), literal(slots.tolist(), "bigint"))
 
 
 def fold_merges(word: Column, table: RankMap) -> Column:
@@ -90,25 +91,23 @@ def fold_merges(word: Column, table: RankMap) -> Column:
     n = F.octet_length(word)
     start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(table.first, F.shiftright(F.crc32(F.substring(word, i, F.lit(1))), 24).cast("int")))
 
-    def offer(parts: Column, right: Column, k: Column) -> Column:
-        left = F.get(parts, k)
-        slot = F.get(table.left, left) + right
-        return F.when(F.get(table.owner, slot) == left, F.get(table.merged, slot) * PLACES + k)
+    def offer(left: Column, right: Column, k: Column) -> Column:
+        slot = F.get(table.slots, F.get(table.left, left) + right)
+        # The left piece's bits cancel out only if the slot is its own; any other slot gives a number above all ranks.
+        return F.shiftleft(slot.bitwiseXOR(F.shiftleft(left.cast("bigint") + 1, RANK_BITS)), PLACE_BITS) + k
 
-    def step(state: Column, _: Column) -> Column:
-        parts, over = state["parts"], state["over"]
-        least = F.array_min(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda right, k: offer(parts, right, k)))
+    def step(parts: Column, _: Column) -> Column:
+        least = F.array_min(F.transform(parts, lambda left, k: offer(left, F.get(parts, k + 1), k)))
 
         def merge(found: Column) -> Column:
-            i = found.bitwiseAND(F.lit(PLACES - 1))
-            done = F.concat(F.slice(parts, F.lit(1), i), F.array(F.shiftright(found, PLACE_BITS)), F.slice(parts, i + 3, F.size(parts)))
-            return F.when(found.isNull(), F.struct(parts.alias("parts"), F.lit(True).alias("over"))).otherwise(F.struct(done.alias("parts"), F.lit(False).alias("over")))
+            i, made = found.bitwiseAND(F.lit(PLACES - 1)).cast("int"), F.shiftright(found, PLACE_BITS).cast("int")
+            done = F.filter(F.transform(parts, lambda x, k: F.when(k == i, made).when(k != i + 1, x)), lambda x: x.isNotNull())
+            return F.when(found < 1 << RANK_BITS + PLACE_BITS, done).otherwise(parts)
 
         # An array of one element, so that the least offer is worked out once.
-        return F.when(over, state).otherwise(F.get(F.transform(F.array(least), merge), F.lit(0)))
+        return F.get(F.transform(F.array(least), merge), F.lit(0))
 
-    begin = F.struct(start.alias("parts"), (n < 2).alias("over"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, step, lambda s: s["parts"])
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
 
 
 def count_words(rows: DataFrame, split: Splitter) -> DataFrame:
@@ -163,6 +162,18 @@ def short_plans(spark: SparkSession) -> Iterator[None]:
         release_shuffles(spark)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that are run meanwhile send ``BATCH_ROWS`` rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Known(dict):
     """word -> its place in the table, -1 for a word outside it."""
 
@@ -170,6 +181,21 @@ class Known(dict):
         return -1
 
 
+class Vocabulary:
+    """The table's words and their ids; words are put into a dictionary once a worker, not once a task."""
+
+    def __init__(self, table: pa.Table):
+        self.words, ids = (table.column(c).combine_chunks() for c in ("word", "ids"))
+        self.flat_ids = np.append(np.asarray(ids.flatten(), np.int32), np.int32(0))
+        self.starts = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths(), np.int64))])
+        self.known: Known | None = None
+
+    def places(self) -> Known:
+        if self.known is None:
+            self.known, self.words = Known(zip(self.words.to_pylist(), range(len(self.words)))), None
+        return self.known
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
     """(doc_id, ids array<int>): the ids of every whole text, without special tokens."""
     ranks = load_ranks(ranks_path)
@@ -177,16 +203,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         raise ValueError("a rank and a place together have to fit in 31 bits")
     table, split = rank_map(ranks), Splitter.of(pattern)
     rows = text_rows(docs, id_col=id_col, text_col=text_col)
-    counts = settle(count_words(rows, split), "word-counts")
+    with small_batches(docs.sparkSession):
+        counts = settle(count_words(rows, split), "word-counts")
     with short_plans(docs.sparkSession):
-        sent = docs.sparkSession.sparkContext.broadcast((word_table(counts, table, table_words), ranks))
+        sent = docs.sparkSession.sparkContext.broadcast((Vocabulary(word_table(counts, table, table_words)), ranks))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, by_bytes = sent.value
-        ids = vocabulary.column("ids").combine_chunks()
-        flat_ids = np.append(np.asarray(ids.flatten(), np.int32), np.int32(0))
-        starts = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths(), np.int64))])
-        place = Known(zip(vocabulary.column("word").to_pylist(), range(len(ids)))).__getitem__
+        flat_ids, starts, place = vocabulary.flat_ids, vocabulary.starts, vocabulary.places().__getitem__
         for piece in pieces(batches, most=PIECE):
             texts = [split(t.as_py()) for t in piece.column("text")]
             doc_end = np.cumsum([len(t) for t in texts])
@@ -230,7 +254,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     # An array of one element, so that the rare words are folded once a document.
     joined = F.get(F.transform(F.array(folded), put), F.lit(0))
     # Settled, so that no task keeps the workers that look words up beside those that decode or digest ids.
-    with short_plans(docs.sparkSession):
+    with short_plans(docs.sparkSession), small_batches(docs.sparkSession):
         return settle(cut.select("doc_id", F.when(F.size("rare") == 0, F.flatten("runs")).otherwise(joined).alias("ids")), "ids")
 
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -52,6 +53,17 @@ def rows_of(docs):
     return docs.select("doc_id", "text").collect()
 
 
+def test_bpe_memory_of_a_task(spark):
+    """Batches of whole texts are small whatever their number, and a worker holds the table's words once."""
+    sizes = spark.range(0, 4000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with bpe.small_batches(spark):
+        assert max(r.n for r in sizes.collect()) <= bpe.BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    words = bpe.Vocabulary(pa.table({"word": ["a", "bc"], "ids": pa.array([[1], [2, 3]], pa.list_(pa.int32()))}))
+    assert words.places() is words.places() and words.places() == {"a": 0, "bc": 1} and words.starts.tolist() == [0, 1, 3]
+
+
 def test_bpe_round_trip(docs, nothing):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=merges.load_ranks(RANKS), special_tokens={})
     for most in (bpe.TABLE_WORDS, 5):
