@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.portable import discard, exists, settle, settled_at, write_text
+from ..functions.portable import discard, exists, settle, settled_at, spread, write_text
 from . import impurity
 
 TREE_NODE = ["split", "tree", "node_id"]
@@ -45,7 +45,7 @@ def initial_assign(binned: DataFrame, sample: DataFrame) -> DataFrame:
 def initial_state(binned: DataFrame, sample: DataFrame) -> DataFrame:
     """(split, client, bins, y, at): each row once, in the first slot of the trees whose samples hold it."""
     key = ["split", "client", "row_id"]
-    own = sample.groupBy(*key).agg(F.collect_list(F.struct("tree", F.lit(0).alias("slot"), F.lit(True).alias("counted"), "mult")).alias("at"))
+    own = spread(sample, sample.count(), *key).groupBy(*key).agg(F.collect_list(F.struct("tree", F.lit(0).alias("slot"), F.lit(True).alias("counted"), "mult")).alias("at"))
     rows = binned.select(*key, "bins", "y").join(own, key, "left")
     return rows.select("split", "client", "bins", "y", F.coalesce("at", F.array().cast(own.schema["at"].dataType)).alias("at"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.portable import dense_number, draw
+from ..functions.portable import dense_number, draw, spread
 
 
 def feature_count(max_features: str | float | int, n_features: int) -> int:
@@ -42,7 +42,8 @@ def bootstrap(rows: DataFrame, n_trees: int, seed: int, max_samples: float | int
         own = rows.select("split", "client", "row_id").join(F.broadcast(sizes), ["split", "client"]).filter(F.col("row_id") < F.col("m"))
         draws = own.select("split", "client", "n", "m", "row_id", trees).select("split", "client", "tree", "n", F.explode(F.sequence(F.col("row_id"), F.col("m") - 1, F.col("n"))).alias("i"))
         picked = draws.select("split", "client", "tree", (draw(seed, "b", F.col("split"), F.col("client"), F.col("tree"), F.col("i")) % F.col("n")).alias("row_id"))
-        return picked.groupBy("split", "client", "tree", "row_id").agg(F.count("*").alias("mult"))
+        dealt = spread(picked, rows.count() * n_trees, "split", "client", "tree", "row_id")
+        return dealt.groupBy("split", "client", "tree", "row_id").agg(F.count("*").alias("mult"))
     each = rows.select("split", "client", "row_id", trees).withColumn("h", draw(seed, "s", F.col("split"), F.col("client"), F.col("tree"), F.col("row_id")))
     ranked = dense_number(each, ["split", "client", "tree"], F.col("h"), ["row_id"], "nth")
     return ranked.join(F.broadcast(sizes.select("split", "client", "m")), ["split", "client"]).filter("nth < m").select("split", "client", "tree", "row_id", F.lit(1).cast("bigint").alias("mult"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.portable import spread
 from . import binning
 from .binning import matrices, of_splits
 
@@ -154,7 +155,7 @@ def predict_rows(rows: DataFrame, nodes: DataFrame, depth: int, mode: str, weigh
 def oob_rows(rows: DataFrame, sample: DataFrame, n_trees: int) -> DataFrame:
     """(split, client, tree, row_id) of rows that a tree's sample doesn't hold."""
     grid = rows.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    return grid.join(sample.select(*KEY, "tree"), [*KEY, "tree"], "left_anti").select("split", "client", "tree", "row_id")
+    return spread(grid, rows.count() * n_trees, *KEY, "tree").join(sample.select(*KEY, "tree"), [*KEY, "tree"], "left_anti").select("split", "client", "tree", "row_id")
 
 
 def tree_weights(state: DataFrame, nodes: DataFrame, depth: int, denominator: str = "all") -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from grovelight import config, evaluate, forest, run
-from grovelight.operators import binning, grow, impurity, metrics, sampling
+from grovelight.functions import portable
+from grovelight.operators import binning, grow, impurity, metrics, sampling, score
 from grovelight.sources import tables
 
 
@@ -186,3 +187,17 @@ def test_run_of_files(spark, tmp_path):
 def test_cross_validation(spark):
     got = evaluate.cross_validate(grid(spark), config.RunConfig(n_bins=7, n_estimators=3, max_depth=3, max_features=2), k=2)
     assert {r.split: r.mcc > 0.8 for r in got.collect()} == {"r0-f0": True, "r0-f1": True}
+
+
+def test_tasks_of_a_sample_grow_in_number_not_in_size(spark, monkeypatch):
+    """However few shuffle partitions the session has, draws and rows out of the bag are dealt to as many tasks as their rows need."""
+    df = spark.range(1000).select(F.lit("0").alias("split"), (F.col("id") % 3).cast("int").alias("client"), "id")
+    rows = portable.settle(portable.dense_number(df, ["split", "client"], portable.draw(F.col("id")), ["id"], "row_id").drop("id"), "rows")
+    drawn = lambda: sampling.bootstrap(rows, 2, 1)
+    rows_of = lambda d: sorted(map(tuple, d.collect()))
+    want = [rows_of(drawn()), rows_of(score.oob_rows(rows, drawn(), 2))]
+    monkeypatch.setattr(portable, "ROWS_A_TASK", 50)
+    sample = drawn()
+    free = score.oob_rows(rows, sample, 2)
+    assert sample.rdd.getNumPartitions() >= 40 and free.rdd.getNumPartitions() >= 40
+    assert [rows_of(sample), rows_of(free)] == want
