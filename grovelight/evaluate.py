@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import forest as forests
 from .config import RunConfig
-from .functions.portable import dense_number, draw, settle
+from .functions.portable import dense_number, draw, settle, spread
 from .operators import metrics, sampling
 
 
@@ -35,5 +35,6 @@ def cross_validate(rows: DataFrame, config: RunConfig, k: int, repeats: int = 1,
     training = settle(sampling.shuffle_labels(training, seed) if shuffled else training, "training")
     forest = forests.train(training, config)
     tests = dealt.select(named(F.col("fold")).alias("split"), "client", "row_id", "features", "y")
-    scored = forest.predict(tests).join(tests, ["split", "client", "row_id"])
+    key = ["split", "client", "row_id"]
+    scored = spread(forest.predict(tests), tests.count(), *key).join(tests, key)
     return metrics.mcc_multiclass(scored, by=("split",))

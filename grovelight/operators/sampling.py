@@ -102,7 +102,8 @@ def shuffle_labels(rows: DataFrame, seed: int) -> DataFrame:
     drawn = rows.select("split", "client", "row_id", "y").withColumn("h", draw(seed, "l", F.col("client"), F.col("row_id")))
     order = dense_number(drawn, ["split", "client"], F.col("h"), ["row_id"], "nth")
     labels = order.select("split", "client", F.col("nth").alias("row_id"), F.col("y").alias("new_y"))
-    return rows.join(labels, ["split", "client", "row_id"]).withColumn("y", F.col("new_y")).drop("new_y")
+    key = ["split", "client", "row_id"]
+    return rows.join(spread(labels, rows.count(), *key), key).withColumn("y", F.col("new_y")).drop("new_y")
 
 
 #: Steps outside of the numbers until a walk is given up; up to 4,096 numbers none can be that long.
@@ -149,4 +150,4 @@ def permute_labels(rows: DataFrame, seed: int) -> DataFrame:
     sizes = rows.groupBy("split", "client").agg(F.count("*").alias("__n"))
     labels = rows.select(*key, "y").join(F.broadcast(sizes), ["split", "client"])
     moved = labels.select("split", "client", permuted(F.col("row_id"), F.col("__n"), [seed, "y", F.col("split"), F.col("client")]).alias("row_id"), F.col("y").alias("__y"))
-    return rows.join(moved, key).withColumn("y", F.col("__y")).drop("__y")
+    return rows.join(spread(moved, rows.count(), *key), key).withColumn("y", F.col("__y")).drop("__y")

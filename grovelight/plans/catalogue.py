@@ -14,7 +14,7 @@ from .. import forest as forests
 from .. import run as runs
 from ..config import RunConfig
 from ..functions import scorer
-from ..functions.portable import settle, shared_dir
+from ..functions.portable import settle, shared_dir, spread
 from ..operators import binning, grow, impurity, metrics, rules, sampling, score
 from ..sources import tables
 from ..streaming.scoring import score_stream
@@ -510,7 +510,7 @@ def oob_accuracy(spark, d):
 
 def l_pairs(spark, d) -> DataFrame:
     rows, forest = l_trained(spark, d)
-    return forest.predict(rows).join(rows, score.KEY).select("y", "pred")
+    return spread(forest.predict(rows), rows.count(), *score.KEY).join(rows, score.KEY).select("y", "pred")
 
 
 @query(o.with_(_L_SQL, o.predictions(2), _MAJORITY, select="SELECT y, pred, count(*) AS n FROM maj GROUP BY y, pred"))

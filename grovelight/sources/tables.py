@@ -46,8 +46,10 @@ def row_faults(rows: DataFrame) -> DataFrame:
 
 def canonical(df: DataFrame, features: list[Column], y: Column, client: Column, key: list[str], order: list[str], split: Column | None = None) -> DataFrame:
     """Rows with dense ids per (split, client), in the order of the key's draw and then ``order``."""
-    rows = df.withColumns({"split": F.lit("0") if split is None else split, "client": client.cast("int"), "features": F.array(*[c.cast("double") for c in features]), "y": y.cast("double")})
-    numbered = dense_number(rows, ["split", "client"], draw(*[F.col(k) for k in key]), order, "row_id")
+    rows = df.withColumns({"client": client.cast("int"), "features": F.array(*[c.cast("double") for c in features]), "y": y.cast("double")})
+    h = draw(*[F.col(k) for k in key])
+    # A constant is no key: Spark leaves it out of windows but not out of a repartition, and would shuffle the dealt rows again.
+    numbered = dense_number(rows, ["client"], h, order, "row_id").withColumn("split", F.lit("0")) if split is None else dense_number(rows.withColumn("split", split), ["split", "client"], h, order, "row_id")
     return numbered.select("split", "client", "row_id", "features", "y")
 
 

@@ -10,6 +10,7 @@ from grovelight import config, evaluate, forest, run
 from grovelight.functions import portable
 from grovelight.operators import binning, grow, impurity, metrics, sampling, score
 from grovelight.sources import tables
+from tests.conftest import SF
 
 
 def rows(spark, data):
@@ -201,3 +202,25 @@ def test_tasks_of_a_sample_grow_in_number_not_in_size(spark, monkeypatch):
     free = score.oob_rows(rows, sample, 2)
     assert sample.rdd.getNumPartitions() >= 40 and free.rdd.getNumPartitions() >= 40
     assert [rows_of(sample), rows_of(free)] == want
+
+
+def test_tasks_of_a_numbering_grow_in_number_not_in_size(spark, monkeypatch):
+    """Rows are dealt once, by their number, and not shuffled again to the session's few partitions; nor are labels on their way to rows."""
+    rows_of = lambda d: sorted(map(tuple, d.collect()))
+    made = lambda: [tables.lineitem_rows(spark, SF), tables.embedding_rows(spark, SF, 2, F.concat(F.lit("s"), F.col("vec_id") % 2))]
+    want = [rows_of(x) for x in made()]
+    base = portable.settle(tables.part_rows(spark, SF), "rows")
+    moved = lambda: [sampling.shuffle_labels(base, 1), sampling.permute_labels(base, 1), sampling.kfold(base, 3, 1)]
+    want += [rows_of(x) for x in moved()]
+    monkeypatch.setattr(portable, "ROWS_A_TASK", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = made() + moved()
+        assert [rows_of(x) for x in got] == want
+        assert all(x.rdd.getNumPartitions() >= 10 for x in got)
+        # Of windows over rows none is behind a second shuffle.
+        plan = got[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+        at = next(i for i, x in enumerate(plan) if "row_number()" in x)
+        assert "Sort" in plan[at + 1] and "REPARTITION_BY_NUM" in plan[at + 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
