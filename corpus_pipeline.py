@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovelight.llm import bpe, decontaminate, language_id, line_dedup, near_duplicates
-from grovelight.llm.shared import discard, discard_recorded, recorded, release_shuffles, settle
+from grovelight.llm.shared import discard, discard_recorded, recorded, release_shuffles, settle, small_batches
 
 #: A text's least share of known n-grams; below it no learned language explains the text.
 MIN_LANGUAGE_SCORE = 0.2
@@ -20,13 +20,14 @@ _settled: list[str] = []
 
 
 def stage(decide):
-    """A stage reads what the one before has written, so what that one settled on its way is deleted first."""
+    """A stage reads what the one before has written, so what that one settled on its way is deleted first. Whole texts go to
+    Python a few at once: an executor keeps its two batches a task beside the heap that the stages before have grown."""
 
     @functools.wraps(decide)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard_recorded(_settled, docs)
         release_shuffles(spark)
-        with recorded(_settled):
+        with recorded(_settled), small_batches(spark):
             return decide(spark, docs, sf_dir)
 
     return run_stage
@@ -42,7 +43,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return docs
     judged = language_id.predict(docs, model, F.struct(*[F.col(c) for c in names if c != "text"]).alias("row"), F.col("text").alias("whole"))
     good = judged.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return good.select(*[F.col("whole").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names])
+    # Settled, so that texts are judged in the stage's batches.
+    return settle(good.select(*[F.col("whole").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names]), "judged")
 
 
 @stage

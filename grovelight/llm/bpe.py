@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .letters import Splitter
 from .merges import load_ranks, merge_word
-from .shared import pieces, release_shuffles, settle, text_rows
+from .shared import BATCH_ROWS, pieces, release_shuffles, settle, small_batches, text_rows  # noqa: F401
 
 #: A word of up to LONG bytes is folded; its pairs' places take PLACE_BITS bits.
 LONG = 96
@@ -37,8 +37,6 @@ WINDOW = 256
 TABLE_WORDS = 500_000
 COUNTED_AT_ONCE = 250_000
 PIECE = 1 << 18
-#: Rows of whole texts or ids that are sent to Python at once; Spark's own 10,000 may hold tens of megabytes.
-BATCH_ROWS = 500
 
 
 class RankMap(NamedTuple):
@@ -162,18 +160,6 @@ def short_plans(spark: SparkSession) -> Iterator[None]:
         release_shuffles(spark)
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Plans that are run meanwhile send ``BATCH_ROWS`` rows at once to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 class Known(dict):
     """word -> its place in the table, -1 for a word outside it."""
 

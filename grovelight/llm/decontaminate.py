@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHash, fresh, mix, pieces, settle
+from .shared import WordHash, fresh, mix, pieces, settle, small_batches
 
 #: Fixed masks: 1 is read, 0 is ignored.
 MASKS = ("1111111111", "1110111011", "1101101111", "1011110111")
@@ -153,7 +153,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.col(text_col).isNotNull()).select(text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = settle(rows.mapInArrow(scan, f"key binary, doc_id {kind}, tokens array<bigint>, hashes array<bigint>, positions array<int>"), "seed-hits")
+    with small_batches(spark):
+        found = settle(rows.mapInArrow(scan, f"key binary, doc_id {kind}, tokens array<bigint>, hashes array<bigint>, positions array<int>"), "seed-hits")
     texts = found.groupBy("key").agg(F.first(F.struct("tokens", "hashes", "positions")).alias("x")).select("key", "x.*")
     seeds = texts.select("key", F.explode(F.arrays_zip("hashes", "positions")).alias("s")).select("key", F.col("s.hashes").alias("hash"), F.col("s.positions").alias("pos"))
     pairs = seeds.join(test_seeds, "hash").select("key", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
@@ -176,5 +177,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that leak; all columns and all other rows are kept."""
     at = fresh(docs.columns, "__key")
-    bad = settle(leaks(docs, items, id_col=id_col, text_col=text_col).select(F.col("key").alias(at)).distinct(), "leaking-texts")
+    found = leaks(docs, items, id_col=id_col, text_col=text_col).select(F.col("key").alias(at)).distinct()
+    with small_batches(docs.sparkSession):
+        bad = settle(found, "leaking-texts")
     return docs.withColumn(at, text_key(F.col(text_col))).join(bad, at, "left_anti").drop(at)

@@ -6,7 +6,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grovelight.llm import decontaminate, line_dedup, merges, near_duplicates, queries
+from grovelight.functions import portable
+from grovelight.llm import decontaminate, line_dedup, merges, near_duplicates, queries, shared
 from tests.conftest import SF
 from tests.llm.test_operators import brute_components, table
 
@@ -49,6 +50,22 @@ def test_without_labels_all_stay(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()) == [1, 2]
 
 
+def test_stages_send_few_texts_at_once(spark, monkeypatch):
+    """Also the last pass of a stage over whole texts in Python runs inside of the stage."""
+    seen, plain = [], portable.settle
+    size = lambda: int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    monkeypatch.setattr(portable, "settle", lambda df, name: seen.append((name, size())) or plain(df, name))
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), size()
+    for _, decide in corpus_pipeline.STAGES[:4]:
+        docs = decide(spark, docs, SF)
+        assert size() == before and "Python" not in (plan := docs._jdf.queryExecution().executedPlan().toString()) and "InArrow" not in plan
+    assert {"judged", "signatures", "seed-hits", "leaking-texts"} <= {name for name, _ in seen} and max(n for _, n in seen) <= shared.BATCH_ROWS
+    # The operator by itself, too.
+    seen.clear()
+    decontaminate.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert dict(seen)["seed-hits"] <= shared.BATCH_ROWS
+
+
 def test_a_stage_deletes_what_the_former_settled(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     places = []
